@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import ctw, orcids, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_simhash": op8_simhash}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orcids.orc_round_trip(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_ctw": op1_ctw, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_orc": op10_orc}
 ORACLE: dict[str, str] = {}
