@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, orcids, packing, simhash
+from . import ctw, lines, orcids, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,5 @@ def op10_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orcids.orc_round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ctw": op1_ctw, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_orc": op10_orc}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_ctw": op1_ctw, "op2_lines": op2_lines, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_orc": op10_orc}
+ORACLE: dict[str, str] = {"op2_lines": lines.REPORT_SQL}
