@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, lines, orcids, packing, simhash
+from . import chat, ctw, lines, orcids, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_table(spark, sf_dir, "documents"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(_table(spark, sf_dir, "conversations"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -31,5 +39,13 @@ def op10_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orcids.orc_round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ctw": op1_ctw, "op2_lines": op2_lines, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_orc": op10_orc}
-ORACLE: dict[str, str] = {"op2_lines": lines.REPORT_SQL}
+QUERIES = {
+    "op1_ctw": op1_ctw,
+    "op2_lines": op2_lines,
+    "op4_quality": op4_quality,
+    "op7_chat": op7_chat,
+    "op8_simhash": op8_simhash,
+    "op9_packing": op9_packing,
+    "op10_orc": op10_orc,
+}
+ORACLE: dict[str, str] = {"op2_lines": lines.REPORT_SQL, "op7_chat": chat.REPORT_SQL}
