@@ -138,7 +138,6 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The rows that pass, with their columns. References come from all of docs, in a pass of their own."""
-    columns = docs.columns
-    refs = references(measure(docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))))
-    return verdict(measure(docs, text_col), refs, lang_col).where("kept").select(*[F.col(f"`{c}`") for c in columns])
+    """The rows that pass, with their columns. The measures are written beside the rows, so each text is measured once."""
+    measured = written(measure(docs, text_col), "measured")
+    return verdict(measured, references(measured, lang_col), lang_col).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctw, lines, orcids, packing, quality, simhash
+from . import chat, ctw, decontaminate, lines, orcids, packing, quality, simhash, warc, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,22 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(_table(spark, sf_dir, "pages"))
+
+
+def op6_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(_table(spark, sf_dir, "conversations"))
 
@@ -42,7 +54,10 @@ def op10_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ctw": op1_ctw,
     "op2_lines": op2_lines,
+    "op3_leaks": op3_leaks,
     "op4_quality": op4_quality,
+    "op5_warc": op5_warc,
+    "op6_wordpiece": op6_wordpiece,
     "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,

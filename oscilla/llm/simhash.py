@@ -51,14 +51,15 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp as a signed 64-bit integer) of every row. Null or empty texts: zero."""
+    """(doc_id, mark, fp) of every row: a hash of the text and the fingerprint, both as signed 64-bit integers. Null or empty texts: zero."""
 
     def run(batches):
         for b in batches:
             fps = np.fromiter(map(fingerprint, text_bytes(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _flips(bits: range) -> np.ndarray:
@@ -154,6 +155,13 @@ def ball_links(distinct_fps: DataFrame, keys_a_shard: int = 4_000_000) -> DataFr
     return distinct_fps.select("fp").mapInArrow(_emit(shards), "shard int, fps binary, variants binary").groupBy("shard").applyInArrow(_meet, "a long, b long")
 
 
+def rooted_fingerprints(fps: DataFrame) -> DataFrame:
+    """(fp, root) of every distinct fingerprint; root is the same for all of one component."""
+    nodes = written(fps.select("fp").distinct(), "nodes")
+    roots = connected_components(ball_links(nodes))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links of at most three bits.
 
@@ -161,9 +169,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each with its own fingerprint. A component whose doc_ids are all null has a null component_id.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fps")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connected_components(ball_links(nodes))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = written(rooted_fingerprints(fps).join(least, "fp"), "rooted")
+    components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = rooted.select("fp", "root").join(components, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the least doc_id (nulls last; of one doc_id, of the least hash of the text)."""
+    fps = written(fingerprints(docs, id_col, text_col), "fps")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    least = fps.groupBy("fp").agg(F.min(place).alias("place"))
+    kept = rooted_fingerprints(fps).join(least, "fp").groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.doc_id").alias("__doc"), F.col("place.mark").alias("__mark"))
+    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    marked = docs.withColumn("__own", own)
+    rows = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__mark")), "left_semi")
+    return rows.dropDuplicates([id_col, "__own"]).drop("__own")
