@@ -40,13 +40,15 @@ class WordEncoder:
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, new: set[bytes], words: set[bytes]) -> None:
+        """Adds the new ones of a text's words."""
         memo = self.memo
-        if len(memo) + 2 * len(words) > self.room:
+        if len(memo) + 2 * len(new) > self.room:
             memo.clear()
+            new = words
         # a full stop or comma after an ASCII letter or digit is a token of its own
-        stopped = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in self.stops and w[-2] in _ALNUM}
-        plain = list({*words.difference(stopped), *stopped.values()}.difference(memo))
+        stopped = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in self.stops and w[-2] in _ALNUM}
+        plain = list({*new.difference(stopped), *stopped.values()}.difference(memo))
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             memo.update(zip(some, self._ids([w.decode() for w in some]), strict=True))
@@ -60,9 +62,7 @@ class WordEncoder:
             words = text.lower().split()
             distinct = set(words)
             if new := distinct.difference(self.memo):
-                self._learn(new)
-                if not distinct.issubset(self.memo):  # the store was emptied
-                    self._learn(distinct)
+                self._learn(new, distinct)
             out.append(np.frombuffer(b"".join(map(self.memo.__getitem__, words)), self.dtype))
         return out
 
