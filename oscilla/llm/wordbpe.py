@@ -27,7 +27,7 @@ def tokenizer_path(name: str = DEFAULT) -> str:
 class WordEncoder:
     """Only for tokenizers that lower-case, split at white space and drop it."""
 
-    def __init__(self, path: str, room: int = 700_000):
+    def __init__(self, path: str, room: int = 1_100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
