@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import epoch_queries, marker_queries, signal_queries
+
+QUERIES = signal_queries.QUERIES | marker_queries.QUERIES | epoch_queries.QUERIES
+ORACLE = signal_queries.ORACLE | marker_queries.ORACLE | epoch_queries.ORACLE
