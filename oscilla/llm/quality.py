@@ -141,3 +141,51 @@ def keep_quality(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """The rows that pass, with their columns. The measures are written beside the rows, so each text is measured once."""
     measured = written(measure(docs, text_col), "measured")
     return verdict(measured, references(measured, lang_col), lang_col).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def report_sql() -> str:
+    """quality_report() over ``documents`` as DuckDB SQL."""
+    space = r"[\x20\x09-\x0D]"
+    removed, left = [], "t"
+    for p in CLASSES.values():
+        p = p.replace("'", "''")
+        left = f"regexp_replace({left}, '{p}+', '', 'g')"
+        removed.append(left)
+    sizes = ["length(t)", *[f"length({x})" for x in removed]]
+    classes = ", ".join([f"{a} - {b}" for a, b in zip(sizes, sizes[1:], strict=False)] + [sizes[-1]])
+    listed = ", ".join(f"('{lang}', {i}, '{w}')" for lang, ws in COMMON.items() for i, w in enumerate(ws))
+    langs = ", ".join(f"'{x}'" for x in COMMON)
+    term = "(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end)"
+    distance = f"sqrt(greatest(sum({term}) / 2, 0))"
+    return rf"""
+with base as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as t from documents),
+words as (select r, w, row_number() over (partition by r order by i) as i from (select r, unnest(l) as w, generate_subscripts(l, 1) as i from (select r, regexp_split_to_array(t, '{space}+') as l from base)) where w <> ''),
+trigrams as (select r, i, w || ' ' || lead(w) over o || ' ' || lead(w, 2) over o as g from words window o as (partition by r order by i)),
+again as (select r, i from (select r, i, count(*) over (partition by r, g) as n from trigrams where g is not null) where n > 1),
+repeats as (select r, count(distinct i + k) as n from again, (select unnest([0, 1, 2]) as k) group by r),
+lines as (select r, unnest(string_split(t, chr(10))) as l from base),
+dups as (select r, count(*) - count(distinct l) as n from lines where regexp_matches(l, '[^\x20\x09-\x0D]') group by r),
+counts as (select r, count(*) as n, sum(length(w)) as c from words group by r),
+measured as (select b.r, doc_id, lang, length(t) as chars, coalesce(c.n, 0) as n_words, cast(coalesce(c.c, 0) as bigint) as word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(d.n, 0) as n_dup_lines, coalesce(p.n, 0) as n_repeat_words, [{classes}] as cls
+  from base b left join counts c on c.r = b.r left join dups d on d.r = b.r left join repeats p on p.r = b.r),
+toks as (select r, k, count(*) as n from (select r, unnest(regexp_split_to_array(lower(t), '\P{{L}}+')) as k from base) where k <> '' group by r, k),
+total as (select r, sum(n) as n from toks group by r),
+listed as (select * from (values {listed}) as x(ref, i, w)),
+own as (select t.r, ref, i, t.n from toks t join listed on listed.w = t.k),
+cells as (select t.r, x.ref, x.i, coalesce(o.n, 0) as n from total t cross join (select ref, i from listed) x left join own o on o.r = t.r and o.ref = x.ref and o.i = x.i),
+bins as (select r, ref, i, n from cells union all select c.r, c.ref, 1000, max(t.n) - sum(c.n) from cells c join total t on t.r = c.r group by c.r, c.ref),
+known as (select distinct lang as ref from measured m join total t on t.r = m.r where lang in ({langs})),
+wref as (select b.ref, b.i, sum(b.n) / sum(sum(b.n)) over (partition by b.ref) as q from bins b join measured m on m.r = b.r and m.lang = b.ref group by b.ref, b.i),
+wdist as (select r, min(d) as d from (select b.r, b.ref, {distance} as d from (select b.r, b.ref, b.n / t.n as p, q from bins b join total t on t.r = b.r join wref on wref.ref = b.ref and wref.i = b.i) b group by b.r, b.ref) group by r),
+cbins as (select r, lang, unnest(cls) as n, generate_subscripts(cls, 1) as i, chars from measured where chars > 0),
+cref as (select lang as ref, i, sum(n) / sum(sum(n)) over (partition by lang) as q from cbins where lang in (select ref from known) group by lang, i),
+cdist as (select r, min(d) as d from (select r, ref, {distance} as d from (select r, ref, n / chars as p, q from cbins join cref on cref.i = cbins.i) group by r, ref) group by r),
+judged as (select m.*, n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed,
+  case when (m.lang is null or m.lang in (select ref from known)) and m.chars >= {MIN_CHARS} then round(c.d, 6) end as class_distance,
+  case when (m.lang is null or m.lang in (select ref from known)) and coalesce(t.n, 0) >= {MIN_TOKENS} then round(w.d, 6) end as word_distance
+  from measured m left join cdist c on c.r = m.r left join wdist w on w.r = m.r left join total t on t.r = m.r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(class_distance, 0) <= {MAX_CLASS_DISTANCE} and coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} as kept, class_distance, word_distance
+from judged
+"""

@@ -63,4 +63,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_orc": op10_orc,
 }
-ORACLE: dict[str, str] = {"op2_lines": lines.REPORT_SQL, "op7_chat": chat.REPORT_SQL}
+ORACLE: dict[str, str] = {"op2_lines": lines.REPORT_SQL, "op4_quality": quality.report_sql(), "op7_chat": chat.REPORT_SQL}
