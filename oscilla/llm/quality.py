@@ -139,8 +139,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_quality(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The rows that pass, with their columns. The measures are written beside the rows, so each text is measured once."""
-    measured = written(measure(docs, text_col), "measured")
-    return verdict(measured, references(measured, lang_col), lang_col).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    measured = written(measure(rows).drop("text"), "measured")
+    return verdict(measured, references(measured)).where("kept").select("row.*")
 
 
 def report_sql() -> str:

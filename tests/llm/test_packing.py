@@ -18,7 +18,7 @@ def tokenizer():
 
 def test_words_give_the_ids_of_whole_texts(tokenizer, spark, data):
     texts = [r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
-    texts += ["", " ", "It's 12.5%... e.g., 3.\x1c4 \xa0x y İI ÀÉ. €. á Á,", "<|endoftext|> ok", "'s.", "x" * 5000, "naïve\u0085z", "'S 'Re 'LL. don't. K", "a,b., c.. ,, ."]
+    texts += ["", " ", "It's 12.5%... e.g., 3.\x1c4 \xa0x y İI ÀÉ. €. á Á,", "<|endoftext|> ok", "'s.", "x" * 5000, "naïve\u0085z", "abc'd x_ a-b- it's' thonea$$$ two### don't'. 5%%% (q) ...a. é$$ 'S.", "'S 'Re 'LL. don't. K", "a,b., c.. ,, ."]
     enc = wordbpe.WordEncoder(wordbpe.tokenizer_path(), room=5000)
     got = enc.encode([t.encode() for t in texts])
     for t, g in zip(texts, got):
