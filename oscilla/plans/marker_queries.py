@@ -224,6 +224,13 @@ def s4_clock_offsets(spark, d):
     return recording.clock_offsets(ev(spark, d).withColumn("offset_us", F.col("seq") % 1000))
 
 
+@query(f"with {EV} select stream_key, seq, t_us, value from ev")
+def s3_record(spark, d):
+    folder = recording.fresh_folder(spark, "recording")
+    recording.record(events(spark, d).select("stream_key", "seq", "t_us", "value"), folder)
+    return recording.read_recording(spark, folder).select("stream_key", "seq", "t_us", "value")
+
+
 SUMMARY = f"with {EV} select stream_key, arg_min(t_us, seq) as first_us, arg_max(t_us, seq) as last_us, count(*) as n from ev group by stream_key"
 
 

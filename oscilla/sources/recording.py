@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import struct
+import tempfile
+import uuid
 import xml.etree.ElementTree as ET
 
 import numpy as np
@@ -12,9 +14,15 @@ from pyspark.sql import functions as F
 from oscilla.operators.markers import marker_dt
 
 
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one where that is unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def record(samples: DataFrame, path: str, mode: str = "append") -> None:
-    """Appends the samples as they are, one folder a stream; alignment data are kept beside (record_clock_offsets)."""
-    samples.repartition("stream_key").sortWithinPartitions("stream_key", "seq").write.mode(mode).partitionBy("stream_key").parquet(path)
+    """Appends the samples as they are, one folder a stream; alignment data are kept beside (clock_offsets). Large streams are split over tasks."""
+    samples.hint("rebalance", "stream_key").sortWithinPartitions("stream_key", "seq").write.mode(mode).partitionBy("stream_key").parquet(path)
 
 
 def read_recording(spark: SparkSession, path: str) -> DataFrame:
