@@ -77,26 +77,37 @@ def raster(bins: DataFrame, x0: float, x1: float, px: int, full_scale: float) ->
     return both.where("px is not null").select("stream_key", "channel", "px", F.when(nearer, F.col("right.cell")).otherwise(F.col("left.cell")).alias("cell"))
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple[str, float]]) -> DataFrame:
-    """The values at 0-based ranks of each group. picks: name -> (rank as SQL over n, unused). Equal values are counted
-    first, so a very large group is a prefix sum over its distinct values and not one sort of all its rows."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    runs = counts.withColumn("past", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    at = lambda rank: F.max(F.when((F.expr(rank) < F.col("past")) & (F.expr(rank) >= F.col("past") - F.col("c")), F.col(value)))
-    return runs.groupBy(*keys).agg(*[at(rank).alias(name) for name, (rank, _) in picks.items()])
+def ranked(df: DataFrame, keys: list[str], value: str, picks: dict[str, str], buckets: int = 1024) -> DataFrame:
+    """The values at 0-based ranks of each group, NaN and null left out. picks: name -> rank as SQL over n, the group's size.
+
+    Two levels: values are counted in ``buckets`` equal ranges of their group, prefix sums of those few counts find the range that
+    holds each rank, and only that range is put in order. So no task sorts a whole group.
+    """
+    own = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("__v"))
+    span = own.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("n"))
+    part = F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * buckets).cast("int"))).otherwise(0)
+    placed = own.join(span, keys).withColumn("__b", part)
+    counts = placed.groupBy(*keys, "__b", "n").agg(F.count("*").alias("__c"))
+    ahead = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.expr(rank).cast("long").alias("rank")) for name, rank in picks.items()]))
+    found = counts.withColumn("__a", ahead).select(*keys, "__b", "__a", "__c", wanted.alias("p")).where("p.rank >= __a and p.rank < __a + __c")
+    found = found.select(*keys, "__b", F.col("p.name").alias("__name"), (F.col("p.rank") - F.col("__a")).alias("__rank"))
+    runs = placed.join(found, [*keys, "__b"]).groupBy(*keys, "__name", "__rank", "__v").agg(F.count("*").alias("__c"))
+    past = F.sum("__c").over(Window.partitionBy(*keys, "__name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = runs.withColumn("__past", past).where("__rank < __past and __rank >= __past - __c")
+    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in picks])
 
 
 def auto_gain(samples: DataFrame, full_scale: float) -> DataFrame:
     """(stream_key, channel, gain) from raw samples: clamp(full * 0.4 / max(half of the range from rank .1n to .9n, 1e-3), 0.01, 100)."""
-    r = ranked(samples.where("value is not null"), ["stream_key", "channel"], "value", {"lo": ("least(int(0.1 * n), n - 1)", 0), "hi": ("least(int(0.9 * n), n - 1)", 0)})
+    r = ranked(samples.where("value is not null"), ["stream_key", "channel"], "value", {"lo": "least(int(0.1 * n), n - 1)", "hi": "least(int(0.9 * n), n - 1)"})
     return r.select("stream_key", "channel", _gain(F.lit(0.5) * (F.col("hi") - F.col("lo")), full_scale))
 
 
 def auto_gain_bins(bins: DataFrame, full_scale: float) -> DataFrame:
     """The same from an envelope: the half-range at rank min(n - 1, int(.8n))."""
     half = bins.withColumn("half", F.lit(0.5) * (F.col("hi") - F.col("lo")))
-    return ranked(half, ["stream_key", "channel"], "half", {"amp": ("least(int(0.8 * n), n - 1)", 0)}).select("stream_key", "channel", _gain(F.col("amp"), full_scale))
+    return ranked(half, ["stream_key", "channel"], "half", {"amp": "least(int(0.8 * n), n - 1)"}).select("stream_key", "channel", _gain(F.col("amp"), full_scale))
 
 
 def _gain(amp, full_scale: float):

@@ -63,7 +63,7 @@ def recent_epochs(ep: DataFrame, n: int = 60) -> DataFrame:
 
 def robust_range(cells: DataFrame, value: str = "v") -> DataFrame:
     """(channel, half): |v| at 0-based rank int(.95 (n - 1)), times 1.2, at least 1e-3."""
-    r = ranked(cells.withColumn("__a", F.abs(F.col(value))), ["channel"], "__a", {"x": ("int(0.95 * (n - 1))", 0)})
+    r = ranked(cells.withColumn("__a", F.abs(F.col(value))), ["channel"], "__a", {"x": "int(0.95 * (n - 1))"})
     return r.select("channel", F.greatest(F.col("x") * 1.2, F.lit(1e-3)).alias("half"))
 
 

@@ -101,7 +101,9 @@ def test_hold(spark):
 
 def test_rank(spark):
     df = spark.createDataFrame([("g", float(i)) for i in range(10)], "k string, v double")
-    assert decimate.ranked(df, ["k"], "v", {"x": ("least(int(0.8 * n), n - 1)", 0)}).first().x == 8.0
+    assert decimate.ranked(df, ["k"], "v", {"x": "least(int(0.8 * n), n - 1)"}).first().x == 8.0
+    odd = spark.createDataFrame([("g", v) for v in (5.0, 5.0, 5.0, float("nan"), None, -1e300, 1e-300)], "k string, v double")
+    assert [tuple(r) for r in decimate.ranked(odd, ["k"], "v", {"a": "0", "b": "1", "c": "n - 1"}, 4).collect()] == [("g", -1e300, 1e-300, 5.0)]
 
 
 def test_broadband_columns(spark):
