@@ -284,6 +284,15 @@ def f6_chain(spark, d):
     return filtered(spark, d, F6)
 
 
+F7 = _chain_sql(True, []).replace("from held where idx = 0", "from held where idx % 256 = 0").replace("h.idx = p.idx + 1)", "h.idx = p.idx + 1 and h.idx % 256 <> 0)")
+
+
+@query(F7)
+def f7_segments(spark, d):
+    chunks = c.to_chunks(held(spark, d), 128).withColumn("segment", F.expr("chunk_id div 2"))
+    return c.to_samples(c.condition(chunks, F3)).withColumn("value", F.round("value", 6) + 0.0)
+
+
 RATE = f"""with recursive {EV}, k as (select stream_key, t_us, row_number() over (partition by stream_key order by t_us, seq) - 1 as k from ev), r0 as (select stream_key, k, 1 * 1e6 / (t_us - lag(t_us) over (partition by stream_key order by k)) as r, t_us - lag(t_us) over (partition by stream_key order by k) as dt from k),
 r as (select stream_key, k as chunk_id, r, row_number() over (partition by stream_key order by k) as i from r0 where dt > 1), y as (select stream_key, chunk_id, i, r as rate from r where i = 1 union all select r.stream_key, r.chunk_id, r.i, (1 - 0.1::double) * y.rate + 0.1::double * r.r from y join r on r.stream_key = y.stream_key and r.i = y.i + 1)"""
 
