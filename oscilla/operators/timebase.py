@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 BEFORE = (Window.unboundedPreceding, -1)
 
 
+#: Length of the pieces in which as-of lookups go along a stream.
+PIECE_US = 86_400_000_000
+
+
+def asof_last(df: DataFrame, marks: DataFrame, keys: list[str], time: str, piece_us: int = PIECE_US) -> DataFrame:
+    """df with ``p``, that of the last mark at or before its time. marks: keys, time, tie, p.
+
+    A stream is cut into pieces of time, each looked up by itself; what a piece begins with is the last mark of the pieces
+    before it, found among one row a piece. So a long stream is dealt out like many short ones, and no range join is made.
+    """
+    piece = F.floor(F.col(time) / piece_us).alias("__b")
+    m = marks.select(*keys, time, "tie", "p", piece)
+    both = df.select("*", piece, F.lit(1).alias("__own")).unionByName(m.withColumn("__own", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "__b").orderBy(time, "__own", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    within = both.withColumn("__in", F.last("p", ignorenulls=True).over(w)).where("__own = 1").drop("__own", "tie", "p")
+    ends = m.groupBy(*keys, "__b").agg(F.max_by("p", F.struct(time, "tie")).alias("__end"))
+    pieces = df.select(*keys, piece).distinct().unionByName(ends, allowMissingColumns=True).groupBy(*keys, "__b").agg(F.max("__end").alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(*BEFORE)
+    carried = pieces.select(*keys, "__b", F.last("__end", ignorenulls=True).over(before).alias("__carry")).where("__carry is not null")
+    return within.join(carried, [*keys, "__b"], "left").withColumn("p", F.coalesce("__in", "__carry")).drop("__b", "__in", "__carry")
+
+
 def anchor(chunks: DataFrame, dt_us: float) -> DataFrame:
     """t0_us of each stream: the last stamp of its first chunk plus offset, less index * dt. chunks: stream_key, chunk_id, last_idx, last_us, offset_us."""
     first = chunks.groupBy("stream_key").agg(F.min_by(F.struct("last_idx", "last_us", "offset_us"), "chunk_id").alias("c"))
@@ -27,10 +49,8 @@ def apply_clock_offset(df: DataFrame, offsets: DataFrame, mode: str = "latest")
     """Adds local_us. latest: the last offset measured at or before (else the first one); first: the stream's first. offsets: stream_key, collected_us, offset_us."""
     firsts = offsets.groupBy("stream_key").agg(F.min_by("offset_us", "collected_us").alias("first_offset"))
     if mode == "latest":
-        marks = offsets.select("stream_key", F.col("collected_us").alias("t_us"), "offset_us", F.lit(0).alias("__own"))
-        both = df.withColumn("__own", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-        w = Window.partitionBy("stream_key").orderBy("t_us", "__own").rowsBetween(Window.unboundedPreceding, 0)
-        df = both.withColumn("offset_us", F.last("offset_us", ignorenulls=True).over(w)).where("__own = 1").drop("__own")
+        marks = offsets.select("stream_key", F.col("collected_us").alias("t_us"), F.col("offset_us").alias("tie"), F.struct("offset_us").alias("p"))
+        df = asof_last(df, marks, ["stream_key"], "t_us").withColumn("offset_us", F.col("p.offset_us")).drop("p")
     else:
         df = df.withColumn("offset_us", F.lit(None).cast("long"))
     joined = df.join(firsts, "stream_key", "left")
@@ -56,11 +76,9 @@ def gap_prefix(gaps: DataFrame) -> DataFrame:
 
 
 def _last_gap(df: DataFrame, gaps: DataFrame, time: str, on: str) -> DataFrame:
-    """df with the gap at or before ``time`` by one shuffle: union, then the last one seen in time order."""
-    marks = gaps.select("stream_key", F.col(on).alias(time), F.struct("old_us", "gap_us", "cum_us", "resume_real_us").alias("__g"), F.lit(0).alias("__own"))
-    both = df.withColumn("__own", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy("stream_key").orderBy(time, "__own").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("__g", F.last("__g", ignorenulls=True).over(w)).where("__own = 1").drop("__own")
+    """df with the gap (__g) at or before ``time``."""
+    marks = gaps.select("stream_key", F.col(on).alias(time), F.col("cum_us").alias("tie"), F.struct("old_us", "gap_us", "cum_us", "resume_real_us").alias("p"))
+    return asof_last(df, marks, ["stream_key"], time).withColumnRenamed("p", "__g")
 
 
 def real_time(df: DataFrame, gaps: DataFrame, time: str = "old_us") -> DataFrame:
@@ -103,10 +121,10 @@ def sample_and_hold(df: DataFrame, step_us: int = 10_000) -> DataFrame:
     span = df.groupBy("stream_key").agg(F.min("t_us").alias("t0"), F.max("t_us").alias("t1"))
     lines = df.select("stream_key", "channel").distinct().join(span, "stream_key")
     grid = lines.select("stream_key", "channel", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(t1 - t0) div {step_us}"))).alias("idx"), "t0")
-    grid = grid.select("stream_key", "channel", "idx", (F.col("t0") + F.col("idx") * step_us).alias("t_us"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("seq"))
-    both = grid.withColumn("own", F.lit(1)).unionByName(df.select("stream_key", "channel", F.lit(None).cast("long").alias("idx"), "t_us", "value", "seq").withColumn("own", F.lit(0)))
-    w = Window.partitionBy("stream_key", "channel").orderBy("t_us", "own", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("value", F.last("value", ignorenulls=True).over(w)).where("own = 1").select("stream_key", "channel", "idx", "t_us", "value")
+    grid = grid.select("stream_key", "channel", "idx", (F.col("t0") + F.col("idx") * step_us).alias("t_us"))
+    marks = df.where("value is not null").select("stream_key", "channel", "t_us", F.col("seq").alias("tie"), F.struct("value").alias("p"))
+    held = asof_last(grid, marks, ["stream_key", "channel"], "t_us", 4096 * step_us)
+    return held.select("stream_key", "channel", "idx", "t_us", F.col("p.value").alias("value"))
 
 
 def staleness(samples: DataFrame, now_us: int | None = None) -> DataFrame:
