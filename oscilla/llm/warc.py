@@ -12,6 +12,7 @@ import zlib
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,10 +68,18 @@ def capture(page_id, url, payload: bytes, digest: str, copy: int, response_id, r
     ]
 
 
+def _squeeze(batches):
+    """Payloads go through the shuffle compressed."""
+    z = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield b.set_column(2, b.schema.names[2], pa.array([z.compress(x) for x in b.column(2).to_pylist()], pa.binary()))
+
+
 def _write(folder: str, roll_bytes: int, date: str):
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
+        unpack = zstandard.ZstdDecompressor().decompress
         # names are an attempt's own: what a lost or repeated attempt leaves is never listed
         stem, number, out, size, files = f"{root}/{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}", 0, None, 0, []
         for b in batches:
@@ -79,7 +88,7 @@ def _write(folder: str, roll_bytes: int, date: str):
                     name = f"{stem}-{number:04d}.warc.gz"
                     out, size, number = fs.open_output_stream(name), 0, number + 1
                     size += out.write(record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
-                payload = html or b""
+                payload = unpack(html)
                 for data in capture(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), copy, response_id, revisit, date):
                     size += out.write(data)
                 if size >= roll_bytes:
@@ -106,7 +115,8 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ro
     large = p.where(F.length("html") >= min_revisit_bytes).select("page_id", "digest")
     firsts = large.groupBy("digest").agg(F.max("page_id").alias("response_id"))
     decided = large.distinct().join(firsts, "digest").select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "response_id", F.lit(True).alias("shared"))
-    joined = p.join(decided, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left")
+    squeezed = p.select("page_id", "url", "html", "digest").mapInArrow(_squeeze, "page_id long, url string, html binary, digest string")
+    joined = squeezed.join(decided, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left")
     copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
     rows = joined.withColumn("copy", copy).withColumn("revisit", F.coalesce("shared", F.lit(False)) & (~F.col("page_id").eqNullSafe(F.col("response_id")) | (F.col("copy") > 1)))
     return written(rows.select("page_id", "url", "html", "digest", "copy", "response_id", "revisit").mapInArrow(_write(folder, roll_bytes, date), "file string, bytes long"), "archives")
