@@ -35,7 +35,7 @@ def record(kind: str, headers: dict[str, str], block: bytes) -> bytes:
     """One record as a gzip member of its own."""
     head = "".join(f"{k}: {v}\r\n" for k, v in {"WARC-Type": kind, **headers, "Content-Length": str(len(block))}.items())
     data = VERSION + b"\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
-    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
 
@@ -191,7 +191,11 @@ def archive_report(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark: SparkSession = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     folder = folder if "://" in folder else "file://" + folder
-    records = written(read_records(write_archives(pages, folder), folder, with_payload=False).drop("payload").withColumn("payload", F.lit(None).cast("binary")), "records")
+    records = read_records(write_archives(pages, folder), folder, with_payload=False)
+    # the report needs neither addresses nor dates, nor what requests say: they stay out of the shuffles
+    nothing = F.lit(None).cast("string")
+    records = records.withColumns({"uri": nothing, "date": nothing, "fields": F.when(F.col("type") == "metadata", F.col("fields")), "payload": F.lit(None).cast("binary")})
+    records = written(records, "records")
     page = F.regexp_extract(F.get("metadata", F.lit(0))["fields"], r"(?m)^page-id: (-?\d+)", 1)
     rows = assemble(records).select("own", F.when(page != "", page).cast("long").alias("page_id"), "capture", F.size("requests").cast("long").alias("n_requests"))
     rows = written(rows, "captures")
