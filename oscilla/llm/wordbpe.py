@@ -8,6 +8,7 @@ anew), lower-cased, and asks the library for new words only.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
@@ -15,6 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 DEFAULT = "word_bpe_49k.json"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -34,11 +36,11 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
         self.room = room
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.stops = {ord(c): self._ids([c])[0] for c in ".,"}
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.code, self.dtype = "H" if small else "I", np.dtype(np.uint16 if small else np.uint32)
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, new: set[bytes], words: set[bytes]) -> None:
         """Adds the new ones of a text's words."""
@@ -46,14 +48,14 @@ class WordEncoder:
         if len(memo) + 2 * len(new) > self.room:
             memo.clear()
             new = words
-        # a full stop or comma after an ASCII letter or digit is a token of its own
-        stopped = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in self.stops and w[-2] in _ALNUM}
-        plain = list({*new.difference(stopped), *stopped.values()}.difference(memo))
+        # ASCII marks at the end, after an ASCII letter or digit, are split from it before pairs are merged
+        stopped = {w: core for w in new if w[-1] not in _ALNUM and (core := w.rstrip(_MARKS)) and core[-1] in _ALNUM and len(core) < len(w)}
+        plain = list({*new.difference(stopped), *stopped.values(), *(w[len(c) :] for w, c in stopped.items())}.difference(memo))
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             memo.update(zip(some, self._ids([w.decode() for w in some]), strict=True))
         for w, core in stopped.items():
-            memo[w] = memo[core] + self.stops[w[-1]]
+            memo[w] = memo[core] + memo[w[len(core) :]]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
