@@ -174,15 +174,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.select("fp", "root").join(components, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the least doc_id (nulls last; of one doc_id, of the least hash of the text)."""
-    fps = written(fingerprints(docs, id_col, text_col), "fps")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    least = fps.groupBy("fp").agg(F.min(place).alias("place"))
-    kept = rooted_fingerprints(fps).join(least, "fp").groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.doc_id").alias("__doc"), F.col("place.mark").alias("__mark"))
-    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    marked = docs.withColumn("__own", own)
-    rows = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__mark")), "left_semi")
-    return rows.dropDuplicates([id_col, "__own"]).drop("__own")
