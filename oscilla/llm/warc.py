@@ -35,7 +35,8 @@ def record(kind: str, headers: dict[str, str], block: bytes) -> bytes:
     """One record as a gzip member of its own."""
     head = "".join(f"{k}: {v}\r\n" for k, v in {"WARC-Type": kind, **headers, "Content-Length": str(len(block))}.items())
     data = VERSION + b"\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
-    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    # a member of a few hundred bytes gains nothing from a deeper search
+    z = zlib.compressobj(6 if len(data) > 2048 else 1, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
 
@@ -89,7 +90,7 @@ def _write(folder: str, roll_bytes: int, date: str):
                     out, size, number = fs.open_output_stream(name), 0, number + 1
                     size += out.write(record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
                 payload = unpack(html)
-                for data in capture(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), copy, response_id, revisit, date):
+                for data in capture(page_id, url, payload, base64.b32encode(digest).decode(), copy, response_id, revisit, date):
                     size += out.write(data)
                 if size >= roll_bytes:
                     out.close()
@@ -108,17 +109,20 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ro
 
     Of payloads that are equal and at least min_revisit_bytes long that of the largest page_id is a response, the
     others revisit it. Null html is empty. Rows that repeat with the same page_id and payload are captures of
-    their own, and all but the first revisit the first. Null page_ids count as the smallest.
+    their own, and all but the first revisit the first. Null page_ids count as the smallest. An empty table gives no files;
+    other columns are ignored.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha1("html"))
-    large = p.where(F.length("html") >= min_revisit_bytes).select("page_id", "digest")
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.unhex(F.sha1("html")))
+    # one key for page and payload, so that the join and the numbering of copies share one exchange
+    p = p.withColumn("k", F.unhex(F.md5(F.concat_ws("|", F.hex("digest"), F.col("page_id").cast("string")))))
+    large = p.where(F.length("html") >= min_revisit_bytes).select("k", "page_id", "digest")
     firsts = large.groupBy("digest").agg(F.max("page_id").alias("response_id"))
-    decided = large.distinct().join(firsts, "digest").select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "response_id", F.lit(True).alias("shared"))
-    squeezed = p.select("page_id", "url", "html", "digest").mapInArrow(_squeeze, "page_id long, url string, html binary, digest string")
-    joined = squeezed.join(decided, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left")
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    rows = joined.withColumn("copy", copy).withColumn("revisit", F.coalesce("shared", F.lit(False)) & (~F.col("page_id").eqNullSafe(F.col("response_id")) | (F.col("copy") > 1)))
+    decided = large.distinct().join(firsts, "digest").select("k", "response_id", F.lit(True).alias("shared"))
+    squeezed = p.select("page_id", "url", "html", "digest", "k").mapInArrow(_squeeze, "page_id long, url string, html binary, digest binary, k binary")
+    copy = F.row_number().over(Window.partitionBy("k").orderBy("url"))
+    rows = squeezed.join(decided, "k", "left").withColumn("copy", copy)
+    rows = rows.withColumn("revisit", F.coalesce("shared", F.lit(False)) & (~F.col("page_id").eqNullSafe(F.col("response_id")) | (F.col("copy") > 1)))
     return written(rows.select("page_id", "url", "html", "digest", "copy", "response_id", "revisit").mapInArrow(_write(folder, roll_bytes, date), "file string, bytes long"), "archives")
 
 
@@ -175,31 +179,38 @@ def read_records(files: DataFrame, folder: str, with_payload: bool = True) -> Da
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture (response or revisit), requests and metadata (lists: what is concurrent to it).
+    """One nested row per capture: own (its id), capture (response or revisit), requests and metadata (lists: what is concurrent to it).
 
-    A capture without requests or metadata has empty lists; records whose capture is missing are left out.
+    Requests and metadata carry the capture's id as their concurrent-to id, so one grouping brings a transaction
+    together. A capture without requests or metadata has empty lists; records whose capture is missing are left out;
+    of captures with one id the least record counts.
     """
-    beside = lambda kind: records.where(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("own")).agg(F.array_sort(F.collect_list(F.struct("record_id", "uri", "date", "fields"))).alias(kind))
-    captures = records.where("type in ('response', 'revisit')").select(F.col("record_id").alias("own"), F.struct(*_NAMES).alias("capture"))
-    joined = captures.join(beside("request"), "own", "left").join(beside("metadata"), "own", "left")
-    none = F.array().cast("array<struct<record_id:string,uri:string,date:string,fields:string>>")
-    return joined.select("own", "capture", F.coalesce("request", none).alias("requests"), F.coalesce("metadata", none).alias("metadata"))
+    beside = F.col("type").isin("request", "metadata")
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("record_id", "uri", "date", "fields"))))
+    held = records.where("type in ('request', 'metadata', 'response', 'revisit')").withColumn("own", F.when(beside, F.col("concurrent_to")).otherwise(F.col("record_id")))
+    capture = F.min(F.when(~beside, F.struct(*_NAMES))).alias("capture")
+    return held.groupBy("own").agg(capture, listed("request").alias("requests"), listed("metadata").alias("metadata")).where("capture is not null")
 
 
 def archive_report(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id) and n_requests, read back from the archives."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id) and n_requests, read back from the archives.
+
+    An empty table gives no rows. Null ids, null texts, repeats and other columns: see write_archives.
+    """
     spark: SparkSession = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     folder = folder if "://" in folder else "file://" + folder
     records = read_records(write_archives(pages, folder), folder, with_payload=False)
-    # the report needs neither addresses nor dates, nor what requests say: they stay out of the shuffles
-    nothing = F.lit(None).cast("string")
-    records = records.withColumns({"uri": nothing, "date": nothing, "fields": F.when(F.col("type") == "metadata", F.col("fields")), "payload": F.lit(None).cast("binary")})
-    records = written(records, "records")
+    # the report needs neither addresses nor dates, nor what requests say, and of ids only that they are equal: 16 bytes of each go through the shuffle
+    nothing, short = F.lit(None).cast("string"), lambda c: F.unhex(F.md5(c))
+    lean = records.select(
+        F.when(F.col("type") != "request", short("record_id")).alias("record_id"), "type", nothing.alias("uri"), nothing.alias("date"), short("concurrent_to").alias("concurrent_to"),
+        short("refers_to").alias("refers_to"), "payload_digest", "payload_bytes", F.when(F.col("type") == "metadata", F.col("fields")).alias("fields"), F.lit(None).cast("binary").alias("payload"),
+    )
     page = F.regexp_extract(F.get("metadata", F.lit(0))["fields"], r"(?m)^page-id: (-?\d+)", 1)
-    rows = assemble(records).select("own", F.when(page != "", page).cast("long").alias("page_id"), "capture", F.size("requests").cast("long").alias("n_requests"))
-    rows = written(rows, "captures")
-    target = rows.select(F.col("own").alias("to"), F.col("page_id").alias("refers_to"))
-    joined = rows.where("capture.type = 'revisit'").join(target, F.col("capture.refers_to") == F.col("to"), "left").drop("to")
-    both = joined.unionByName(rows.where("capture.type = 'response'").withColumn("refers_to", F.lit(None).cast("long")))
-    return both.select("page_id", F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.type").alias("record_type"), "refers_to", "n_requests")
+    captures = assemble(lean).select("own", F.when(page != "", page).cast("long").alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.type").alias("record_type"), F.col("capture.refers_to").alias("to"), F.size("requests").cast("long").alias("n_requests"))
+    captures = written(captures, "captures")
+    target = captures.select(F.col("own").alias("to"), F.col("page_id").alias("refers_to"))
+    joined = captures.where("record_type = 'revisit'").join(target, "to", "left")
+    both = joined.unionByName(captures.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")))
+    return both.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_requests")
