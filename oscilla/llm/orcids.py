@@ -56,7 +56,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_co
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The written rows; files are split at stripes, and filters on doc_id prune stripes and row groups by their statistics and Bloom filters."""
+    """The written rows, none for an empty table; files are split at stripes, and filters on doc_id prune stripes and row groups by their statistics and Bloom filters."""
     return spark.read.schema(SCHEMA).orc(path)
 
 

@@ -97,17 +97,28 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def _cut(end_id: int):
+def _cut(end_id: int, with_ids: bool):
+    names = [f.split()[0] for f in PIECES.split(", ")]
+
     def run(batches):
         for b in batches:
-            rows = []
-            for doc, n, width, ids, pieces in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                all_ids = np.concatenate((np.frombuffer(ids, f"<u{width}").astype("<u4"), np.array([end_id], "<u4")))
-                for p in pieces:
-                    s, k = p["start"], p["length"]
-                    rows.append((doc, s, k, zlib.crc32(all_ids[s : s + k].tobytes()), n, p["sequence_id"], p["offset"]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
+            doc, n, width, ids, pieces = b.columns
+            ends, flat = pieces.offsets.to_numpy(), pieces.values.slice(pieces.offsets[0].as_py(), pieces.offsets[-1].as_py() - pieces.offsets[0].as_py())
+            ends = ends - ends[0]
+            start, length, sequence, offset = (flat.field(k) for k in ("start", "length", "sequence_id", "offset"))
+            spans, at, crcs, cut = list(zip(start.to_pylist(), length.to_pylist(), strict=True)), 0, [], []
+            for w, raw, to in zip(width.to_pylist(), ids.to_pylist(), ends[1:].tolist(), strict=True):
+                own = np.concatenate((np.frombuffer(raw, f"<u{w}"), np.array([end_id], f"<u{w}"))).astype("<u4")
+                for s, k in spans[at:to]:
+                    crcs.append(zlib.crc32(own[s : s + k]))
+                    if with_ids:
+                        cut.append(own[s : s + k].view("<i4"))
+                at = to
+            of = pa.array(np.repeat(np.arange(b.num_rows), np.diff(ends)))
+            columns = [doc.take(of), start, length, pa.array(crcs, pa.int64()), n.take(of), sequence, offset]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(c) for c in cut]))), pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i4"), *cut]))))
+            yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * with_ids)
 
     return run
 
@@ -118,11 +129,12 @@ def _running(parts: DataFrame, value: str, name: str) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum(value).alias("x")).select("bucket", F.coalesce(F.sum("x").over(before), F.lit(0)).alias(name))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, width: int = 4096, unit: int = 128, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, width: int = 4096, unit: int = 128, depth: int = 4, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ``with_ids`` adds its token ids (ids).
 
     ``width`` is a power of two and a multiple of ``unit``. Null texts are empty (one end id). Rows that repeat, or
-    share a doc_id, are packed each; null doc_ids are kept. The plan rests on at most width/unit counts.
+    share a doc_id, are packed each; null doc_ids are kept. A long text is as many whole sequences as it fills, and a
+    rest. An empty table gives no rows; other columns are ignored. The plan rests on at most width/unit counts.
     """
     spark = docs.sparkSession
     units, path = width // unit, tokenizer or tokenizer_path()
@@ -188,4 +200,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     wholes_of = F.when(F.col("whole") > 0, F.transform(F.sequence(F.lit(0), F.col("whole").cast("int") - 1), lambda i: piece(i * width, F.lit(width), F.lit(base_whole) + F.col("wholes") + i, zero))).otherwise(F.array())
     main_of = F.when(F.col("main") > 0, F.array(piece(F.col("whole") * width, F.col("main"), F.col("sequence"), F.col("offset")))).otherwise(F.array())
     pieces = laid.select("uid", F.concat(wholes_of, main_of, tails_of).alias("pieces"))
-    return ids.join(pieces, "uid").select("doc_id", "n", "width", "ids", "pieces").mapInArrow(_cut(end_id), PIECES)
+    return ids.join(pieces, "uid").select("doc_id", "n", "width", "ids", "pieces").mapInArrow(_cut(end_id, with_ids), PIECES + ", ids array<int>" * with_ids)

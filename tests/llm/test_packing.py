@@ -11,9 +11,7 @@ from oscilla.llm import packing, wordbpe
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(wordbpe.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(wordbpe.tokenizer_path())
 
 
 def test_words_give_the_ids_of_whole_texts(tokenizer, spark, data):
@@ -25,6 +23,17 @@ def test_words_give_the_ids_of_whole_texts(tokenizer, spark, data):
         assert tokenizer.encode(t, add_special_tokens=False).ids == g.tolist(), t[:80]
 
 
+def test_special_tokens_and_odd_characters(tokenizer):
+    """Both added tokens inside, at the ends of and next to words, in either case, and characters that the split or the lower case treat apart."""
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "'s", "'S", "don't", "É", "e\u0301", "ß", "ÀÉ", "ÿ", "µ", "ª", "×", "÷", "\xa0", "\u2003", "\x00", "\x1c", "\x7f", "1", "२", "Ⅷ", "a", "Zz", ".", "..", "`", "~", "{", "漢字", "🙂", "İ", "ı", "ﬁ", "\u0300", " ", "\n", "  ", "²", "½", "Ǆ", "Straße", "'re", "'LL"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(1, 12))) for _ in range(20000)]
+    for t, e, g in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), wordbpe.WordEncoder(wordbpe.tokenizer_path(), room=3000).encode([t.encode() for t in texts]), strict=True):
+        assert e.ids == g.tolist(), t
+    ends = wordbpe.WordEncoder(wordbpe.tokenizer_path()).encode([b"<|endoftext|>", b"a<|startoftext|>b"])
+    assert ends[0].tolist() == [49407] and 49406 in ends[1].tolist()
+
+
 def test_combinations():
     got = packing.combinations_filling(6, 3)
     assert sorted(got) == sorted([(5, 1), (4, 2), (3, 3), (4, 1, 1), (3, 2, 1), (2, 2, 2)])
@@ -78,7 +87,7 @@ def check(docs, pieces, tokenizer, width):
         assert at == width or (at < width and at & (at - 1) == 0), at
 
 
-ROWS = [(1, "a b c"), (2, None), (3, ""), (None, "x y"), (4, "same text"), (4, "same text"), (5, "Lorem ipsum, " * 9000), (6, "word " * 4095), *((i, "tok " * (i * 37 % 4000)) for i in range(10, 300))]
+ROWS = [(1, "a b c"), (2, None), (3, ""), (None, "x y"), (4, "same text"), (4, "same text"), (5, "Lorem ipsum, " * 9000), (6, "word " * 4095), (7, "one<|endoftext|>two"), *((i, "tok " * (i * 37 % 4000)) for i in range(10, 300))]
 
 
 @pytest.mark.parametrize("unit", [128, 512])
@@ -92,3 +101,10 @@ def test_whole_table_and_empty_table(spark, data, tokenizer):
     pieces = packing.pack_documents(docs).collect()
     check([(r.doc_id, r.text) for r in docs.collect()], pieces, tokenizer, 4096)
     assert packing.pack_documents(docs.where("false")).count() == 0
+
+
+def test_ids_of_pieces_and_other_columns(spark, tokenizer):
+    docs = spark.createDataFrame([(i, "w x y " * (i * 300), i, "u") for i in range(12)], "doc_id long, text string, uid long, bucket string")
+    rows = packing.pack_documents(docs, with_ids=True).collect()
+    check([(r.doc_id, r.text) for r in docs.collect()], rows, tokenizer, 4096)
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
