@@ -54,14 +54,24 @@ ITEMS = [
     (3, "Too short."),
     (4, "one two three four five"),
     (5, None),
+    (6, "Compute 3 + 4 * 5 - 6 / 2 = 7"),
+    (7, "1776 1789 1815 1848 1871 1914 1939 1945 1989"),
+    (8, "Paris"),
+    (9, "..."),
 ]
 DOCS = [
     (1, f"{PAD}. {ITEMS[0][1]} {PAD}", {1}),
     (2, f"{PAD}. A train leaves Denver at 75 km per hour and after 8 hours it meets the train from Denver to Omaha. {PAD}", {1}),
     (3, f"{PAD}. A train leaves Denver at 75 km per hour and after 8 hours it meets the train from Dallas to Omaha. {PAD}", set()),
-    (4, "what is the CAPITAL of the small, green island", set()),
+    (4, "what is the CAPITAL of the small, green island", {2}),
     (5, f"{PAD} what is the capital of the small green island {PAD}", {2}),
-    (6, "Too short. Too short.", set()),
+    (6, "Too short. Too short.", {3}),
+    (12, f"{PAD} too short and not alone", set()),
+    (13, f"{PAD} compute 3 + 4 * 5 - 6 / 2 = 7 {PAD}", {6}),
+    (14, f"{PAD}\n{ITEMS[6][1]} {PAD}", {7}),
+    (15, f"- Paris\n{PAD}", {8}),
+    (16, f"{PAD} Paris {PAD}", set()),
+    (17, ITEMS[1][1].title(), {2}),
     (7, "zero one two three four five six", {4}),
     (8, None, set()),
     (9, "", set()),
@@ -73,18 +83,31 @@ DOCS = [
 def test_templates(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, t, _ in DOCS] + [(1, DOCS[0][1], "again"), (None, ITEMS[1][1], "n")], "doc_id long, text string, item_id string").repartition(3)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for room in (0, 1000):
-        got = decontaminate.leaks(docs, items, filter_rows=room).collect()
+    for bits in (6, 12, 24):
+        got = decontaminate.leaks(docs, items, filter_bits=bits).collect()
         by = {}
         for r in got:
             by.setdefault(r.doc_id, set()).add(r.item_id)
         assert by == {d: leak for d, _, leak in DOCS if leak} | {None: {2}}
         assert {r.doc_id: r.exact for r in got if r.item_id == 1} == {1: True, 2: False}
     kept = [r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()]
-    assert sorted(kept) == [d for d, _, leak in DOCS if not leak]
+    assert sorted(kept) == sorted(d for d, _, leak in DOCS if not leak)
     assert decontaminate.leaks(docs, items.where("false")).count() == 0 and decontaminate.leaks(docs.where("false"), items).count() == 0
 
 
+def test_every_item_is_found_verbatim(spark, data):
+    """Each item pasted between other words (under four words: as a line of its own)."""
+    items = spark.read.parquet(f"{data}/benchmark.parquet")
+    rows = [(r.item_id, f"{PAD}\n{r.text}\n{PAD}") for r in items.collect()]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leak_report(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert {(i, i) for i, _ in rows} <= got
+
+
+def test_dropping_leaves_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, ITEMS[1][1], 1, 2, 3, 4, 5), (2, PAD, 1, 2, 3, 4, 5)], "doc_id long, text string, __doc int, __mark int, mark int, row int, `a.b` int")
+    assert decontaminate.drop_leaks(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect() == docs.where("doc_id = 2").collect()
+
+
 def plain(text):
     return [w for w in re.findall(r"[^\W_]+", (text or "").lower())]
 
