@@ -44,19 +44,20 @@ def covered_lines(windows: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """docs with later occurrences of repeated three-line windows taken out of the text; all rows and columns stay.
+    """docs with later occurrences of repeated three-line windows taken out of the text; all rows and columns stay, whatever these are called.
 
-    Null texts stay null and empty ones empty. Lines are compared exactly. Rows that repeat with the same
-    doc_id and text count as one document and keep the same lines. ``counts`` adds n_lines and n_removed.
+    Null texts stay null and empty ones empty; an empty table stays empty. A long text is one row like any other: its lines
+    and windows are worked on by its own task. Lines are compared exactly. Rows that repeat with the same doc_id and text
+    count as one document and keep the same lines. ``counts`` adds n_lines and n_removed.
     """
-    gone = covered_lines(line_windows(docs, id_col, text_col)).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
-    text = F.col(text_col).cast("string")
-    own = F.xxhash64(F.coalesce(text, F.lit("")))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__doc")) & (own == F.col("__mark")), "left")
-    kept = F.array_join(F.transform(F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("__gone", s["i"])), lambda s: s["x"]), "\n")
-    out = [F.when(F.col("__gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("own"))
+    joined = rows.join(covered_lines(line_windows(rows, "id", "text")), F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("mark")), "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("gone", s["i"])), lambda s: s["x"]), "\n")
+    out = [F.col("row").getField(c).alias(c) if c != text_col else F.when(F.col("gone").isNull(), F.col("row").getField(c)).otherwise(kept).alias(c) for c in docs.columns]
     if counts:
-        out += [F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed")]
+        out += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")]
     return joined.select(*out)
 
 

@@ -166,7 +166,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links of at most three bits.
 
     Null and empty texts have fingerprint zero and are linked like any other. Rows that share a doc_id are kept,
-    each with its own fingerprint. A component whose doc_ids are all null has a null component_id.
+    each with its own fingerprint. A component whose doc_ids are all null has a null component_id. An empty table gives
+    no rows; other columns are ignored.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fps")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))

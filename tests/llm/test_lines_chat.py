@@ -89,3 +89,11 @@ def test_chat_edges(spark):
     assert got[5].n_turns == 4 and got[5].loss_chars == 2 and got[None].loss_chars == 1 and got[-7].n_turns == 2 and got[6].loss_chars == 0
     assert got[9].n_turns == 2000 and got[9].loss_chars == sum(len(f"t{i}") for i in range(1, 2000, 2))
     assert chat.chat_report(df.where("false")).count() == 1
+
+
+def test_line_dedup_leaves_columns_of_any_name(spark):
+    text = "one a\ntwo b\nthree c\n" + "long line " * 50000
+    docs = spark.createDataFrame([(1, text, 1, 2, 3, 4, 5), (2, text, 1, 2, 3, 4, 5), (3, None, 1, 2, 3, 4, 5)], "doc_id long, text string, __gone int, __doc int, mark int, row int, `a.b` int")
+    got = lines.dedup_lines(docs).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [text, "", None] and {tuple(r)[2:] for r in got} == {(1, 2, 3, 4, 5)}
+    assert lines.dedup_lines(docs.where("false")).count() == 0

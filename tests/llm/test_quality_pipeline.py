@@ -63,8 +63,8 @@ def test_columns_stay_and_extra_ones_do_no_harm(spark):
 def test_pipeline_against_a_plain_version(spark, data):
     import corpus_pipeline
     from test_lines_chat import slow_lines
+    from test_near import slow_near, slow_set
     from test_packing import check
-    from test_simhash import slow_components, slow_fingerprint
     from test_wordpiece_leaks import plain
     from tokenizers import Tokenizer
 
@@ -75,8 +75,12 @@ def test_pipeline_against_a_plain_version(spark, data):
     kept = {r[0] for r in verdicts if r[7]}
     texts = slow_lines([(r.doc_id, r.text) for r in docs.collect() if r.doc_id in kept])
     ids = sorted(texts)
-    roots = slow_components([slow_fingerprint(texts[i]) for i in ids])
-    ids = [i for k, i in enumerate(ids) if roots[k] == k]
+    sets, root = [slow_set(texts[i]) for i in ids], list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            if root[i] != root[j] and slow_near(sets[i], sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    ids = [i for k, i in enumerate(ids) if root[k] == k]
     words = {i: f" {' '.join(plain(texts[i]))} " for i in ids}
     ids = [i for i in ids if not any(f" {' '.join(plain(x.text))} " in words[i] for x in items)]
     pieces = corpus_pipeline.run(spark, data).collect()
@@ -88,3 +92,19 @@ def test_pipeline_against_a_plain_version(spark, data):
 
 def test_queries_and_sql_match_by_name():
     assert set(ORACLE) <= set(QUERIES) and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
+def test_pipeline_edges(spark, tmp_path):
+    """Null and empty texts, an empty table and columns of any name."""
+    import corpus_pipeline
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, row int, mark int, __own int, __doc int, key string, `a.b` int"
+    long = " ".join(f"word{i}" for i in range(20000))
+    rows = [(1, None, "en"), (2, "", "en"), (None, long, None), (3, long, "en"), (3, long, "en"), (4, "short", "en")]
+    for name, some in (("rows", rows), ("none", [])):
+        spark.createDataFrame([(*r, "s", 1, 1, 2, 3, 4, "k", 5) for r in some], names).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, "What is the capital of the small green island?")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/rows").collect()
+    assert {p.doc_id for p in pieces} == {3} and sum(p.length for p in pieces) == pieces[0].doc_tokens
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
