@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .timebase import previous
+
 
 @dataclass(frozen=True)
 class Options:
@@ -149,17 +151,23 @@ def to_samples(chunks: DataFrame) -> DataFrame:
 
 
 def common_average(samples: DataFrame, channels: DataFrame | None = None) -> DataFrame:
-    """value less the mean over the EEG channels (type eeg or blank; all, if none is) at the same index; one channel alone stays as it is.
+    """value less the mean over the EEG channels (type eeg or blank; all, if the stream has none) at the same index.
 
-    channels: stream_key, channel, type. Without it all channels count.
+    Which channels count, and that a stream of one channel stays as it is, is decided once a stream. At an index where no
+    channel that counts has a sample the value is null. channels: stream_key, channel, type; without it, or for a channel that
+    is not in it, a channel counts.
     """
+    own = samples.select("stream_key", "channel").distinct()
     if channels is None:
-        marked = samples.withColumn("eeg", F.lit(True))
+        own = own.withColumn("eeg", F.lit(True))
     else:
         kind = F.lower(F.trim(F.coalesce(F.col("type"), F.lit(""))))
-        marked = samples.join(channels.select("stream_key", "channel", kind.isin("eeg", "").alias("eeg")), ["stream_key", "channel"], "left").withColumn("eeg", F.coalesce("eeg", F.lit(True)))
-    means = marked.groupBy("stream_key", "idx").agg(F.coalesce(F.avg(F.when(F.col("eeg"), F.col("value"))), F.avg("value")).alias("mean"), F.count("*").alias("c"))
-    return marked.join(means, ["stream_key", "idx"]).select("stream_key", "channel", "idx", F.when(F.col("c") > 1, F.col("value") - F.col("mean")).otherwise(F.col("value")).alias("value"))
+        own = own.join(channels.select("stream_key", "channel", kind.isin("eeg", "").alias("eeg")), ["stream_key", "channel"], "left").withColumn("eeg", F.coalesce("eeg", F.lit(True)))
+    streams = own.groupBy("stream_key").agg(F.max("eeg").alias("some"), (F.count("*") == 1).alias("alone"))
+    counted = own.join(streams, "stream_key").select("stream_key", "channel", "alone", (F.col("eeg") | ~F.col("some")).alias("counts"))
+    marked = samples.join(counted, ["stream_key", "channel"])
+    means = marked.groupBy("stream_key", "idx").agg(F.avg(F.when(F.col("counts"), F.col("value"))).alias("mean"))
+    return marked.join(means, ["stream_key", "idx"]).select("stream_key", "channel", "idx", F.when(F.col("alone"), F.col("value")).otherwise(F.col("value") - F.col("mean")).alias("value"))
 
 
 def channel_reference(samples: DataFrame, channel) -> DataFrame:
@@ -168,24 +176,42 @@ def channel_reference(samples: DataFrame, channel) -> DataFrame:
     return samples.join(ref, ["stream_key", "idx"], "left").select("stream_key", "channel", "idx", (F.col("value") - F.coalesce("ref", F.lit(0.0))).alias("value"))
 
 
-def measured_rate(chunks: DataFrame, alpha: float = 0.1) -> DataFrame:
+def _averaged(x: np.ndarray, start: float, alpha: float, size: int = 256) -> np.ndarray:
+    """y = (1 - alpha) y1 + alpha x from y = start, in blocks: each is one product with a triangle of powers."""
+    lag = np.subtract.outer(np.arange(size), np.arange(size))
+    weights, fade = np.where(lag >= 0, alpha * (1 - alpha) ** np.maximum(lag, 0), 0), (1 - alpha) ** np.arange(1, size + 1)
+    out = np.empty(len(x))
+    for at in range(0, len(x), size):
+        n = min(size, len(x) - at)
+        out[at : at + n] = weights[:n, :n] @ x[at : at + n] + fade[:n] * start
+        start = out[at + n - 1]
+    return out
+
+
+def measured_rate(chunks: DataFrame, alpha: float = 0.1, piece: int = 4096) -> DataFrame:
     """(stream_key, chunk_id, rate): moving average of samples over time between chunks; the first rate begins it, steps of 1 us or less are passed over.
 
-    The weights are a fixed power series, so the average is folded over arrays of one stream's rates. chunks: stream_key, chunk_id, t_us, n.
+    Pieces of ``piece`` chunk ids are averaged from zero by tasks, what they end in is folded along a stream (two numbers a
+    piece), and each piece then runs from its true start. chunks: stream_key, chunk_id, t_us, n.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("stream_key").orderBy("chunk_id")
-    r = chunks.withColumn("d", F.col("t_us") - F.lag("t_us").over(w)).where("d > 1").select("stream_key", "chunk_id", (F.col("n") * 1e6 / F.col("d")).alias("r"))
-    # runs of chunks are folded by tasks like a filter's: y = (1 - a) y1 + a x
-    numbered = r.withColumn("idx", F.row_number().over(w) - 1)
-
-    def fold(key, table):
-        table = table.sort_by("idx")
-        out, y = [], None
-        for x in table["r"].to_pylist():
-            y = x if y is None else (1 - alpha) * y + alpha * x
-            out.append(y)
-        return table.select(["stream_key", "chunk_id"]).append_column("rate", pa.array(out, pa.float64()))
-
-    return numbered.groupBy("stream_key").applyInArrow(fold, "stream_key string, chunk_id long, rate double")
+    stepped = previous(chunks, ["stream_key"], ["chunk_id"], ["t_us"], piece).withColumn("d", F.col("t_us") - F.col("__prev.t_us")).where("d > 1")
+    r = stepped.select("stream_key", "chunk_id", (F.col("n") * 1e6 / F.col("d")).alias("r"), F.floor(F.col("chunk_id") / piece).alias("b"))
+
+    def ends(table):
+        x = table.sort_by("chunk_id")["r"].to_numpy()
+        return pa.table({"stream_key": table["stream_key"][:1], "b": table["b"][:1], "first": x[:1], "keep": [(1 - alpha) ** len(x)], "end": _averaged(x, 0.0, alpha)[-1:]})
+
+    def fold(table):
+        table = table.sort_by("b")
+        now, starts = table["first"][0].as_py(), []
+        for keep, end in zip(table["keep"].to_pylist(), table["end"].to_pylist(), strict=True):
+            starts.append(now)
+            now = keep * now + end
+        return table.select(["stream_key", "b"]).append_column("start", pa.array(starts, pa.float64()))
+
+    def finished(table):
+        table = table.sort_by("chunk_id")
+        return table.select(["stream_key", "chunk_id"]).append_column("rate", pa.array(_averaged(table["r"].to_numpy(), table["start"][0].as_py(), alpha)))
+
+    starts = r.groupBy("stream_key", "b").applyInArrow(ends, "stream_key string, b long, first double, keep double, end double").groupBy("stream_key").applyInArrow(fold, "stream_key string, b long, start double")
+    return r.join(starts, ["stream_key", "b"]).groupBy("stream_key", "b").applyInArrow(finished, "stream_key string, chunk_id long, rate double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timebase import asof_last
+
 
 def bin_width(rate: float, seconds: float = 60, bins: int = 2000) -> int:
     return max(1, int(rate * seconds / bins))
@@ -52,8 +54,11 @@ def uses_bins(n_samples: int, n_channels: int, px: int, budget: int = 200_000) -
 
 
 def view(samples: DataFrame, width: int, px: int, budget: int = 200_000) -> DataFrame:
-    """By stream, bins (lo, hi) where there is too much to show, else the samples themselves (lo = hi); ``pos`` is bin or idx."""
-    size = samples.groupBy("stream_key").agg(F.countDistinct("idx").alias("n"), F.countDistinct("channel").alias("c"))
+    """By stream, bins (lo, hi) where there is too much to show, else the samples themselves (lo = hi); ``pos`` is bin or idx.
+
+    A stream's samples are counted from its first index to its last.
+    """
+    size = samples.groupBy("stream_key").agg((F.max("idx") - F.min("idx") + 1).alias("n"), F.size(F.collect_set("channel")).alias("c"))
     size = size.select("stream_key", ((F.col("n") > 3 * px) & (F.col("n") * F.col("c") > budget)).alias("binned"))
     marked = samples.join(size, "stream_key")
     bins = minmax(marked.where("binned"), width).select("stream_key", "channel", F.lit(True).alias("binned"), F.col("bin").alias("pos"), "lo", "hi")
@@ -64,17 +69,20 @@ def view(samples: DataFrame, width: int, px: int, budget: int = 200_000) -> Data
 def raster(bins: DataFrame, x0: float, x1: float, px: int, full_scale: float) -> DataFrame:
     """(stream_key, channel, px, cell): of the bin nearest to each column's centre, the earlier of two as near. bins have ``t``.
 
-    Both neighbours of a column are found by one pass over bins and columns in order of time.
+    The bin before a column is looked up in pieces of time, and the one after it in the same way on negated times.
     """
     step = (x1 - x0) / px
     lines = bins.select("stream_key", "channel").distinct()
     columns = lines.withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(px - 1)))).withColumn("t", F.lit(x0) + (F.col("px") + 0.5) * step)
-    b = F.struct("t", ((F.col("hi") - F.col("lo")) / full_scale).alias("cell"))
-    both = columns.withColumn("b", F.lit(None).cast("struct<t:double,cell:double>")).unionByName(bins.select("stream_key", "channel", F.lit(None).cast("int").alias("px"), F.col("t").cast("double").alias("t"), b.cast("struct<t:double,cell:double>").alias("b")))
-    w = Window.partitionBy("stream_key", "channel").orderBy("t", F.col("px").asc_nulls_first())
-    both = both.withColumn("left", F.last("b", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("right", F.first("b", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    keys, cell = ["stream_key", "channel"], ((F.col("hi") - F.col("lo")) / full_scale).alias("cell")
+
+    def beside(df, sign, name):
+        marks = bins.select(*keys, (sign * F.col("t")).alias("at"), F.lit(0).alias("tie"), F.struct("t", cell).alias("p"))
+        return asof_last(df.withColumn("at", sign * F.col("t")), marks, keys, "at", 64 * step).withColumnRenamed("p", name).drop("at")
+
+    both = beside(beside(columns, 1.0, "left"), -1.0, "right")
     nearer = F.col("left").isNull() | (F.col("right").isNotNull() & (F.col("t") - F.col("left.t") > F.col("right.t") - F.col("t")))
-    return both.where("px is not null").select("stream_key", "channel", "px", F.when(nearer, F.col("right.cell")).otherwise(F.col("left.cell")).alias("cell"))
+    return both.select(*keys, "px", F.when(nearer, F.col("right.cell")).otherwise(F.col("left.cell")).alias("cell"))
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, picks: dict[str, str], buckets: int = 1024) -> DataFrame:

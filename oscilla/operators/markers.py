@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timebase import PIECE_US, numbered, previous
+
 
 def marker_text(parts: list[str]) -> Column:
     """The parts of a multi-channel marker joined with ", "; empty parts after the first are skipped."""
@@ -15,20 +17,22 @@ def marker_text(parts: list[str]) -> Column:
     return F.array_join(F.concat(F.array(first), kept), ", ")
 
 
-def marker_seq(df: DataFrame) -> DataFrame:
-    """Adds life_seq (0-based in time order) by stream."""
-    return df.withColumn("life_seq", F.row_number().over(Window.partitionBy("stream_key").orderBy("t_us", "seq")) - 1)
+def marker_seq(df: DataFrame, piece_us: int = PIECE_US) -> DataFrame:
+    """Adds life_seq (0-based in time order) by stream; a long stream is numbered in pieces of time."""
+    return numbered(df, ["stream_key"], ["t_us", "seq"], "life_seq", piece_us)
 
 
 def marker_totals(df: DataFrame) -> DataFrame:
     return df.groupBy("stream_key").agg(F.min("t_us").alias("first_us"), F.count("*").alias("n"))
 
 
-def marker_dt(df: DataFrame) -> DataFrame:
+def marker_dt(df: DataFrame, piece_us: int = PIECE_US) -> DataFrame:
     """Adds dt_us and dt_same_us: time since the previous event, and since that with the same label; null if none or negative."""
-    every, same = Window.partitionBy("stream_key").orderBy("t_us", "seq"), Window.partitionBy("stream_key", "label").orderBy("t_us", "seq")
-    d = df.withColumn("dt_us", F.col("t_us") - F.lag("t_us").over(every)).withColumn("dt_same_us", F.col("t_us") - F.lag("t_us").over(same))
-    return d.withColumn("dt_same_us", F.when(F.col("dt_same_us") >= 0, F.col("dt_same_us")))
+    since = F.col("t_us") - F.col("__prev.t_us")
+    d = previous(df, ["stream_key"], ["t_us", "seq"], ["t_us"], piece_us).withColumn("dt_us", since).drop("__prev")
+    # a null label is a label of its own
+    d = previous(d.withColumn("__label", F.struct(F.col("label").isNull(), F.coalesce("label", F.lit("")))), ["stream_key", "__label"], ["t_us", "seq"], ["t_us"], piece_us)
+    return d.withColumn("dt_same_us", F.when(since >= 0, since)).drop("__prev", "__label")
 
 
 def marker_rate(df: DataFrame, now_us, seconds: float) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .timebase import previous
+
 #: Chunk tags of the container: file header, stream header, samples, clock offset, boundary, stream footer.
 TAGS = {"file_header": 1, "stream_header": 2, "samples": 3, "clock_offset": 4, "boundary": 5, "footer": 6}
 
@@ -35,10 +37,10 @@ def metadata_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, F.explode(diffs).alias("field"))
 
 
-def steps(samples: DataFrame) -> DataFrame:
-    """Pairs (stream_key, t_us, next_us) of samples that arrive one after the other."""
-    w = Window.partitionBy("stream_key").orderBy("seq")
-    return samples.withColumn("next_us", F.lead("t_us").over(w)).where("next_us is not null").select("stream_key", "t_us", "next_us")
+def steps(samples: DataFrame, piece: int = 1 << 20) -> DataFrame:
+    """Pairs (stream_key, t_us, next_us) of samples that arrive one after the other; a long stream is cut into pieces of ``piece`` sequence numbers."""
+    paired = previous(samples.select("stream_key", "seq", "t_us"), ["stream_key"], ["seq"], ["t_us"], piece)
+    return paired.where("__prev is not null").select("stream_key", F.col("__prev.t_us").alias("t_us"), F.col("t_us").alias("next_us"))
 
 
 def backsteps(a: DataFrame, ref: DataFrame) -> DataFrame:
@@ -68,14 +70,17 @@ def comparison_windows(a: DataFrame, b: DataFrame, window_us: int, cycles: int,
     return j.select("stream_key", F.explode(F.when(F.col("hi") - F.col("lo") < window_us, one).otherwise(many)).alias("w")).select("stream_key", "w.*")
 
 
-def compare_windows(a: DataFrame, b: DataFrame, windows: DataFrame, edge: int = 0, regular: Column | bool = True) -> DataFrame:
+def compare_windows(a: DataFrame, b: DataFrame, windows: DataFrame, edge: int = 0, regular: Column | bool = True, piece_us: int = 3_600_000_000) -> DataFrame:
     """(stream_key, cycle, n_a, n_b, common, unequal, ok): stamps are matched exactly and values must be equal there.
 
-    A stamp that repeats is matched once, by its first value; its other samples count as unmatched.
+    A stamp that repeats is matched once, by its first value; its other samples count as unmatched. A window goes to the
+    pieces of time that it touches, so stamps meet only windows of their own piece.
     """
     first = lambda d, v: d.groupBy("stream_key", "t_us").agg(F.min_by("value", "seq").alias(v), F.count("*").alias(f"n_{v}"))
     j = first(a, "a").join(first(b, "b"), ["stream_key", "t_us"], "full_outer")
-    inside = windows.join(j, "stream_key", "left").where("t_us between from_us and to_us")
+    part = lambda c: F.floor(F.col(c) / piece_us)
+    touched = windows.where("from_us <= to_us").withColumn("piece", F.explode(F.sequence(part("from_us"), part("to_us"))))
+    inside = touched.join(j.withColumn("piece", part("t_us")), ["stream_key", "piece"]).where("t_us between from_us and to_us")
     both = F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
     counts = inside.groupBy("stream_key", "cycle").agg(F.coalesce(F.sum("n_a"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("n_b"), F.lit(0)).alias("n_b"), F.count(F.when(both, 1)).alias("common"), F.count(F.when(both & ~F.col("a").eqNullSafe(F.col("b")), 1)).alias("unequal"))
     all_ = windows.select("stream_key", "cycle").join(counts, ["stream_key", "cycle"], "left").fillna(0, ["n_a", "n_b", "common", "unequal"])

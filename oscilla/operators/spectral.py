@@ -71,12 +71,14 @@ def stft(chunks: DataFrame, nfft: int, hop: int, fs: float, gaps: DataFrame | No
     head = chunks.select("stream_key", "channel", "chunk_id", "start_idx", "values", F.lit(True).alias("own"))
     lent = chunks.where("chunk_id > 0").select("stream_key", "channel", (F.col("chunk_id") - 1).alias("chunk_id"), "start_idx", F.slice("values", 1, nfft - 1).alias("values"), F.lit(False).alias("own"))
     paired = head.unionByName(lent).groupBy("stream_key", "channel", "chunk_id").agg(F.max_by("start_idx", "own").alias("start_idx"), F.max(F.col("own").cast("int")).alias("o"), F.max_by("values", "own").alias("a"), F.max(F.when(~F.col("own"), F.col("values"))).alias("b")).where("o = 1")
-    joined = paired.select("stream_key", "channel", "start_idx", F.size("a").alias("n"), F.concat("a", F.coalesce("b", F.array().cast("array<double>"))).alias("values"))
+    joined = paired.select("stream_key", "channel", "start_idx", F.size("a").alias("n"), F.col("b").isNotNull().alias("more"), F.concat("a", F.coalesce("b", F.array().cast("array<double>"))).alias("values"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema if f.name in ("stream_key", "channel"))
 
     def run(batches):
         for b in batches:
-            for key, channel, start, n, values in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for key, channel, start, n, more, values in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if more and n < nfft - 1:
+                    raise ValueError(f"a chunk of {n} samples is too short for windows of {nfft}")
                 x = np.asarray(values, float)
                 first = max(0, -(-start // hop) * hop) - start
                 at = np.arange(first, min(n, len(x) - nfft + 1), hop)
@@ -88,9 +90,11 @@ def stft(chunks: DataFrame, nfft: int, hop: int, fs: float, gaps: DataFrame | No
     if gaps is None:
         return columns
     small = gaps.select("stream_key", "at_idx", "gap_samples")
-    across = (F.col("at_idx") > F.col("end_idx") - nfft) & (F.col("at_idx") < F.col("end_idx"))
-    whole = columns.join(small, ["stream_key"], "left").withColumn("cut", F.coalesce(across, F.lit(False)))
-    whole = whole.groupBy("stream_key", "channel", "end_idx").agg(F.max(F.col("cut").cast("int")).alias("cut"), F.first("power").alias("power")).where("cut = 0").drop("cut")
+    # a gap goes to the few windows that it cuts: those that begin before it and end after it
+    first = F.when(F.col("at_idx") < nfft, F.lit(0)).otherwise((F.expr(f"(at_idx - {nfft}) div {hop}") + 1) * hop).cast("long")
+    starts = F.when(first < F.col("at_idx"), F.sequence(first, F.col("at_idx").cast("long") - 1, F.lit(hop).cast("long")))
+    cut = small.select("stream_key", F.explode(F.transform(starts, lambda s: s + nfft)).alias("end_idx")).distinct()
+    whole = columns.join(cut, ["stream_key", "end_idx"], "left_anti").select("stream_key", "channel", "end_idx", "power")
     blanks = small.withColumn("n", F.floor((F.col("gap_samples") + nfft) / hop + 0.5).cast("int")).where("n > 0")
     lines = chunks.select("stream_key", "channel").distinct()
     last = F.expr(f"at_idx div {hop} * {hop}")

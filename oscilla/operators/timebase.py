@@ -30,6 +30,29 @@ def asof_last(df: DataFrame, marks: DataFrame, keys: list[str], time: str, piece
     return within.join(carried, [*keys, "__b"], "left").withColumn("p", F.coalesce("__in", "__carry")).drop("__b", "__in", "__carry")
 
 
+def previous(df: DataFrame, keys: list[str], order: list[str], values: list[str], piece: int = PIECE_US) -> DataFrame:
+    """df with ``__prev``, a struct of the values of the row before it (null at the first).
+
+    As in asof_last, a long stream is cut into pieces by its first order column; a piece's first row takes the
+    last one of the pieces before it.
+    """
+    own = df.withColumn("__b", F.floor(F.col(order[0]) / piece))
+    held = F.struct(*values)
+    within = own.withColumn("__prev", F.lag(held).over(Window.partitionBy(*keys, "__b").orderBy(*order)))
+    ends = own.groupBy(*keys, "__b").agg(F.max_by(held, F.struct(*order)).alias("__end"))
+    carried = ends.select(*keys, "__b", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__b")).alias("__carry"))
+    return within.join(carried, [*keys, "__b"], "left").withColumn("__prev", F.coalesce("__prev", "__carry")).drop("__b", "__carry")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, piece: int = PIECE_US) -> DataFrame:
+    """df with the 0-based place of each row in its stream: that in its piece of time and the rows of the pieces before."""
+    own = df.withColumn("__b", F.floor(F.col(order[0]) / piece))
+    place = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order)) - 1
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(*BEFORE)
+    ahead = own.groupBy(*keys, "__b").agg(F.count("*").alias("__n")).select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    return own.withColumn("__k", place).join(ahead, [*keys, "__b"]).withColumn(name, F.col("__k") + F.col("__ahead")).drop("__b", "__k", "__ahead")
+
+
 def anchor(chunks: DataFrame, dt_us: float) -> DataFrame:
     """t0_us of each stream: the last stamp of its first chunk plus offset, less index * dt. chunks: stream_key, chunk_id, last_idx, last_us, offset_us."""
     first = chunks.groupBy("stream_key").agg(F.min_by(F.struct("last_idx", "last_us", "offset_us"), "chunk_id").alias("c"))
@@ -45,26 +68,25 @@ def time_to_idx(t_us, t0_us, dt_us: float):
     return F.round((t_us - t0_us) / dt_us).cast("long")
 
 
-def apply_clock_offset(df: DataFrame, offsets: DataFrame, mode: str = "latest") -> DataFrame:
+def apply_clock_offset(df: DataFrame, offsets: DataFrame, mode: str = "latest", piece_us: int = PIECE_US) -> DataFrame:
     """Adds local_us. latest: the last offset measured at or before (else the first one); first: the stream's first. offsets: stream_key, collected_us, offset_us."""
     firsts = offsets.groupBy("stream_key").agg(F.min_by("offset_us", "collected_us").alias("first_offset"))
     if mode == "latest":
         marks = offsets.select("stream_key", F.col("collected_us").alias("t_us"), F.col("offset_us").alias("tie"), F.struct("offset_us").alias("p"))
-        df = asof_last(df, marks, ["stream_key"], "t_us").withColumn("offset_us", F.col("p.offset_us")).drop("p")
+        df = asof_last(df, marks, ["stream_key"], "t_us", piece_us).withColumn("offset_us", F.col("p.offset_us")).drop("p")
     else:
         df = df.withColumn("offset_us", F.lit(None).cast("long"))
     joined = df.join(firsts, "stream_key", "left")
     return joined.withColumn("local_us", F.col("t_us") + F.coalesce("offset_us", "first_offset", F.lit(0))).drop("offset_us", "first_offset")
 
 
-def detect_gaps(samples: DataFrame, dt_us: int, min_gap_us: int = 250_000) -> DataFrame:
+def detect_gaps(samples: DataFrame, dt_us: int, min_gap_us: int = 250_000, piece_us: int = PIECE_US) -> DataFrame:
     """gap_no, old_us, gap_us, cum_us, resume_real_us of each dropout: a step of more than dt + min_gap.
 
     old_us is the time at which the gap stands on the gapless axis; backward steps are passed over.
     """
-    w = Window.partitionBy("stream_key").orderBy("t_us", "seq")
-    step = F.col("t_us") - F.lag("t_us").over(w)
-    g = samples.withColumn("gap_us", step - dt_us).where(F.col("gap_us") > min_gap_us).select("stream_key", F.col("t_us").alias("resume_real_us"), "gap_us")
+    step = F.col("t_us") - F.col("__prev.t_us")
+    g = previous(samples.select("stream_key", "t_us", "seq"), ["stream_key"], ["t_us", "seq"], ["t_us"], piece_us).withColumn("gap_us", step - dt_us).where(F.col("gap_us") > min_gap_us).select("stream_key", F.col("t_us").alias("resume_real_us"), "gap_us")
     return gap_prefix(g)
 
 
@@ -75,23 +97,23 @@ def gap_prefix(gaps: DataFrame) -> DataFrame:
     return g.withColumn("old_us", F.col("resume_real_us") - F.col("cum_us")).select("stream_key", "gap_no", "old_us", "gap_us", "cum_us", "resume_real_us")
 
 
-def _last_gap(df: DataFrame, gaps: DataFrame, time: str, on: str) -> DataFrame:
+def _last_gap(df: DataFrame, gaps: DataFrame, time: str, on: str, piece_us: int) -> DataFrame:
     """df with the gap (__g) at or before ``time``."""
     marks = gaps.select("stream_key", F.col(on).alias(time), F.col("cum_us").alias("tie"), F.struct("old_us", "gap_us", "cum_us", "resume_real_us").alias("p"))
-    return asof_last(df, marks, ["stream_key"], time).withColumnRenamed("p", "__g")
+    return asof_last(df, marks, ["stream_key"], time, piece_us).withColumnRenamed("p", "__g")
 
 
-def real_time(df: DataFrame, gaps: DataFrame, time: str = "old_us") -> DataFrame:
+def real_time(df: DataFrame, gaps: DataFrame, time: str = "old_us", piece_us: int = PIECE_US) -> DataFrame:
     """Adds real_us: every gap at or before the gapless time is added."""
-    return _last_gap(df, gaps, time, "old_us").withColumn("real_us", F.col(time) + F.coalesce("__g.cum_us", F.lit(0))).drop("__g")
+    return _last_gap(df, gaps, time, "old_us", piece_us).withColumn("real_us", F.col(time) + F.coalesce("__g.cum_us", F.lit(0))).drop("__g")
 
 
-def old_frame_time(df: DataFrame, gaps: DataFrame, in_gap: str = "clamp", time: str = "t_us") -> DataFrame:
+def old_frame_time(df: DataFrame, gaps: DataFrame, in_gap: str = "clamp", time: str = "t_us", piece_us: int = PIECE_US) -> DataFrame:
     """Adds old_us, the time on the gapless axis. Within a gap: clamp (its place), code (no gap is taken off yet), drop (null)."""
     # a gap is passed once its resumption is; the next gap that begins before t and resumes after it holds t
-    d = _last_gap(df, gaps, time, "resume_real_us").withColumn("__off", F.coalesce("__g.cum_us", F.lit(0))).drop("__g")
+    d = _last_gap(df, gaps, time, "resume_real_us", piece_us).withColumn("__off", F.coalesce("__g.cum_us", F.lit(0))).drop("__g")
     starts = gaps.withColumn("start_real", F.col("resume_real_us") - F.col("gap_us"))
-    d = _last_gap(d, starts, time, "start_real")
+    d = _last_gap(d, starts, time, "start_real", piece_us)
     inside = F.col("__g").isNotNull() & (F.col(time) < F.col("__g.resume_real_us"))
     own = F.col(time) - F.col("__off")
     held = {"clamp": F.col("__g.old_us"), "code": own, "drop": F.lit(None).cast("long")}[in_gap]
@@ -116,12 +138,19 @@ def missing_intervals(gaps: DataFrame, merge_gap_us: int = 0, extra_end_us: int
     return out
 
 
-def sample_and_hold(df: DataFrame, step_us: int = 10_000) -> DataFrame:
-    """(stream_key, channel, idx, t_us, value): the last value at or before each point of a grid that begins at the stream's first sample."""
+def hold_grid(df: DataFrame, step_us: int, points: int = 1 << 16) -> DataFrame:
+    """(stream_key, channel, idx, t_us): the grid from each stream's first sample to its last. It is dealt out in runs of ``points`` before it is unrolled, so one long channel uses all tasks."""
     span = df.groupBy("stream_key").agg(F.min("t_us").alias("t0"), F.max("t_us").alias("t1"))
     lines = df.select("stream_key", "channel").distinct().join(span, "stream_key")
-    grid = lines.select("stream_key", "channel", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(t1 - t0) div {step_us}"))).alias("idx"), "t0")
-    grid = grid.select("stream_key", "channel", "idx", (F.col("t0") + F.col("idx") * step_us).alias("t_us"))
+    last = F.expr(f"(t1 - t0) div {step_us}")
+    runs = lines.select("stream_key", "channel", "t0", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(t1 - t0) div {step_us} div {points}"))).alias("run")).repartition("stream_key", "channel", "run")
+    grid = runs.select("stream_key", "channel", "t0", F.explode(F.sequence(F.col("run") * points, F.least(F.col("last"), F.col("run") * points + (points - 1)))).alias("idx"))
+    return grid.select("stream_key", "channel", "idx", (F.col("t0") + F.col("idx") * step_us).alias("t_us"))
+
+
+def sample_and_hold(df: DataFrame, step_us: int = 10_000) -> DataFrame:
+    """(stream_key, channel, idx, t_us, value): the last value at or before each point of a grid that begins at the stream's first sample."""
+    grid = hold_grid(df, step_us)
     marks = df.where("value is not null").select("stream_key", "channel", "t_us", F.col("seq").alias("tie"), F.struct("value").alias("p"))
     held = asof_last(grid, marks, ["stream_key", "channel"], "t_us", 4096 * step_us)
     return held.select("stream_key", "channel", "idx", "t_us", F.col("p.value").alias("value"))

@@ -10,7 +10,7 @@ from oscilla.operators import condition as c
 from oscilla.operators import events as e
 from oscilla.operators import reconcile as r
 from oscilla.operators import spectral as q
-from oscilla.plans.signal_queries import HELD, held
+from oscilla.plans.signal_queries import GAPS, HELD, gaps, held
 from oscilla.sources.views import EV, HOUR, TRIALS, events, trials
 
 QUERIES, ORACLE = {}, {}
@@ -76,13 +76,27 @@ def q5_stft(spark, d):
     return columns(spark, d).select("stream_key", "end_idx", F.posexplode("power").alias("k", "power")).select("stream_key", "end_idx", "k", F.round("power", 4).alias("power"))
 
 
-@query(f"""with {WINDOWS}, gp as (select distinct stream_key, 200 as at_idx, 50 as gap_samples from win), kept as (select w.stream_key, w.end_idx, false as blank from win w where not (200 > w.end_idx - {NFFT} and 200 < w.end_idx)),
-bl as (select stream_key, 192 as end_idx, true as blank, unnest(range(cast(floor((50 + {NFFT}) / {HOP}.0 + 0.5) as int))) from gp)
-select stream_key, end_idx, blank, count(*) as n from (select stream_key, end_idx, blank from kept union all select stream_key, end_idx, blank from bl) group by all""")
+@query(f"""with {WINDOWS}, {psd_sql('win', 'stream_key, end_idx', NFFT, 1.0)}, gp as (select distinct stream_key, 200 as at_idx, 50 as gap_samples from win)
+select stream_key, end_idx, cast(k as int) as k, round(power, 4) as power from psd where not (200 > end_idx - {NFFT} and 200 < end_idx)
+union all select stream_key, 192, cast(b as int), null from gp, (select unnest(range(cast(floor((50 + {NFFT}) / {HOP}.0 + 0.5) as int))) as b)""")
 def q7_stft_gaps(spark, d):
+    """All powers; of a blank column only its number."""
+    from pyspark.sql import Window
+
     own = held(spark, d)
     long = own.groupBy("stream_key").count().where(f"count >= {NFFT}").select("stream_key", F.lit(200).cast("long").alias("at_idx"), F.lit(50).alias("gap_samples"))
-    return columns(spark, d, long).groupBy("stream_key", "end_idx", F.col("power").isNull().alias("blank")).agg(F.count("*").alias("n"))
+    out = columns(spark, d, long)
+    full = out.where("power is not null").select("stream_key", "end_idx", F.posexplode("power").alias("k", "power")).withColumn("power", F.round("power", 4))
+    blank = out.where("power is null").select("stream_key", "end_idx", (F.row_number().over(Window.partitionBy("stream_key").orderBy("end_idx")) - 1).alias("k"), F.lit(None).cast("double").alias("power"))
+    return full.unionByName(blank)
+
+
+WIDE = q.stft_hop(0.001, NFFT)
+
+
+@query(f"""with {HELD}, sig as (select stream_key, count(*) as n from held group by stream_key) select stream_key, unnest(range(0, n - {NFFT} + 1, 30)) + {NFFT} as end_idx from sig where n >= {NFFT}""")
+def q6_hop(spark, d):
+    return q.stft(c.to_chunks(held(spark, d), 128), NFFT, WIDE, 1000.0).select("stream_key", "end_idx")
 
 
 @query(f"""with {WINDOWS}, {psd_sql('win', 'stream_key, end_idx', NFFT, 1.0)}, db as (select stream_key, end_idx, k, 10 * log10(power + 1e-12) as db from psd), pk as (select stream_key, max(db) as p from db group by stream_key having max(db) > -120),
@@ -95,7 +109,8 @@ def q10_fit_hz_stft(spark, d):
 
 
 # Epochs around purchases on the held grid; 6 samples before and 18 after.
-PRE, POST, CHUNK = 6, 18, 128
+PRE, POST = e.epoch_shape(6000, 18000, 1.0)
+CHUNK = 128
 EPOCHS = f"""{HELD}, tr as (select e.stream_key, e.seq as event, cast(round((e.t_us - sp.t0) / {HOUR}.0) as bigint) as idx, sp.t0, sp.t1 from ev e join sp on sp.stream_key = e.stream_key where e.label in ('purchase', 'login')),
 ok as (select * from tr where idx >= {PRE} and idx + {POST} <= (t1 - t0) // {HOUR} + 1),
 ep as (select o.stream_key, o.event, cast(h.idx - o.idx + {PRE} as int) as bin, h.value as v from ok o join held h on h.stream_key = o.stream_key and h.idx between o.idx - {PRE} and o.idx + {POST} - 1)"""
@@ -121,6 +136,25 @@ def e1_e2_event_index(spark, d):
     return index(spark, d).select("stream_key", "seq", "idx")
 
 
+GAP_INDEX = f"""{GAPS}, tr as (select stream_key, seq, t_us, min(t_us) over (partition by stream_key) as t0, label from ev),
+pl as (select t.*, coalesce(cast((select sum(g.gap_us) from gaps g where g.stream_key = t.stream_key and g.resume_real_us <= t.t_us - {2 * HOUR}) as bigint), 0) as o,
+  (select max(g.old_us) from gaps g where g.stream_key = t.stream_key and g.resume_real_us - g.gap_us <= t.t_us - {2 * HOUR} and t.t_us - {2 * HOUR} < g.resume_real_us) as held from tr t where label in ('purchase', 'login'))"""
+
+
+@query(f"with {GAP_INDEX} select stream_key, seq, cast(round((coalesce(held, t_us - {2 * HOUR} - o) - t0) / {HOUR}.0) as bigint) as idx from pl")
+def e2_event_index_gaps(spark, d):
+    """Triggers two hours early, so that some lie within dropouts."""
+    ev = events(spark, d)
+    anchors = ev.groupBy("stream_key").agg(F.min("t_us").alias("t0_us"))
+    trig = e.triggers(ev.select("stream_key", "seq", "t_us", "label"), "purchase | login").withColumn("t_us", F.col("t_us") - 2 * HOUR)
+    return e.event_index(trig, anchors, gaps(spark, d), float(HOUR)).select("stream_key", "seq", "idx")
+
+
+@query(f"with {EPOCHS} select stream_key, event, count(*) as n, min((bin - {PRE}) * 1000.0::double) as first_ms, max((bin - {PRE}) * 1000.0::double) as last_ms from ep group by all")
+def e3_epoch_shape(spark, d):
+    return cells(cut(spark, d)).withColumn("ms", e.epoch_axis(F.col("bin"), PRE, 1000.0)).groupBy("stream_key", "event").agg(F.count("*").alias("n"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+
+
 @query(f"with {EPOCHS} select * from ep")
 def e4_epochs(spark, d):
     return cells(cut(spark, d)).select("stream_key", "event", "bin", "v")
@@ -142,9 +176,9 @@ def e7_erp_channels(spark, d):
     return e.erp(ep, 4).withColumn("mean", F.round("mean", 6) + 0.0)
 
 
-@query(f"with {EPOCHS}, x as (select distinct stream_key, event from ep) select stream_key, event from x qualify row_number() over (order by event desc, stream_key) <= 60")
+@query(f"with {EPOCHS}, x as (select distinct stream_key, event from ep), t as (select stream_key, event from x qualify row_number() over (order by event desc, stream_key) <= 60) select ep.* from ep join t using (stream_key, event)")
 def e8_recent_epochs(spark, d):
-    return e.recent_epochs(cut(spark, d), 60).select("stream_key", "event")
+    return cells(e.recent_epochs(cut(spark, d), 60)).select("stream_key", "event", "bin", "v")
 
 
 @query(f"with {BASED}, k as (select abs(b) as a, row_number() over (order by abs(b)) - 1 as k, count(*) over () as n from bs) select 0 as channel, round(greatest(a * 1.2, 1e-3), 6) as half from k where k = cast(floor(0.95 * (n - 1)) as bigint)")
@@ -152,10 +186,10 @@ def e9_robust_range(spark, d):
     return e.robust_range(cells(e.baseline(cut(spark, d), PRE))).withColumn("half", F.round("half", 6))
 
 
-@query(f"with {BASED}, a as (select bin, avg(b) as m from bs group by bin) select 0 as channel, count(*) as n, round(list_sum(list(m order by bin)[1:3]), 5) + 0.0 as head from a")
+@query(f"with {BASED}, a as (select bin, avg(b) as m from bs group by bin) select 0 as channel, list(round(m, 5) + 0.0 order by bin) as row from a")
 def e10_erp_matrix(spark, d):
     m = e.erp_matrix(e.erp(e.baseline(cut(spark, d), PRE)))
-    return m.select("channel", F.size("row").cast("long").alias("n"), (F.round(F.aggregate(F.slice("row", 1, 3), F.lit(0.0), lambda a, x: a + x), 5) + 0.0).alias("head"))
+    return m.select("channel", F.transform("row", lambda x: F.round(x, 5) + 0.0).alias("row"))
 
 
 @query(f"with {EPOCHS} select stream_key, event, list(v order by bin) as row from ep group by all")
@@ -180,15 +214,20 @@ def r1_stream_diff(spark, d):
     return r.stream_diff(*ab(spark, d))
 
 
-TAGS = "tg as (select case when user_id % 2 = 0 then 'even' else 'odd' end as file, case when event_type = 'error' then null else user_id % 5 end as stream_id, case event_type when 'error' then 1 when 'click' then 3 when 'view' then 4 when 'login' then 2 else 6 end as tag, event_id from events where event_type in ('click', 'view') or event_id % 400 < 3)"
+TAGS = """pl as (select event_type, cast(user_id as varchar) as file, event_id % 3 as sid, row_number() over (partition by user_id order by event_id) as k, row_number() over (partition by user_id, event_id % 3 order by event_id) as a, row_number() over (partition by user_id, event_id % 3 order by event_id desc) as z from events),
+tn as (select file, sid, case when k = 1 then 1 when a = 1 then 2 when z = 1 then 6 when event_type = 'click' then 3 when event_type = 'view' then 4 else 5 end as tag from pl), tg as (select file, case when tag not in (1, 5) then sid end as stream_id, tag from tn)"""
 
 
 def tags(spark, d):
-    """Events stand for the chunks of two files."""
-    ev = events(spark, d).where("label in ('click', 'view') or seq % 400 < 3")
-    user = F.col("stream_key").cast("long")
-    tag = F.when(F.col("label") == "error", 1).when(F.col("label") == "click", 3).when(F.col("label") == "view", 4).when(F.col("label") == "login", 2).otherwise(6)
-    return ev.select(F.when(user % 2 == 0, "even").otherwise("odd").alias("file"), F.when(F.col("label") != "error", user % 5).alias("stream_id"), tag.alias("tag"))
+    """Events stand for the chunks of a file a user: the first is its header, the first and last of a stream are that one's header and footer."""
+    from pyspark.sql import Window
+
+    ev, s = events(spark, d), F.col("seq")
+    ev = ev.withColumn("sid", s % 3)
+    place = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    tag = F.when(place(["stream_key"], s) == 1, 1).when(place(["stream_key", "sid"], s) == 1, 2).when(place(["stream_key", "sid"], s.desc()) == 1, 6)
+    ev = ev.withColumn("tag", tag.when(F.col("label") == "click", 3).when(F.col("label") == "view", 4).otherwise(5))
+    return ev.select(F.col("stream_key").alias("file"), F.when(~F.col("tag").isin(1, 5), F.col("sid")).alias("stream_id"), "tag")
 
 
 @query(f"with {TAGS} select file, stream_id, tag, count(*) as n from tg group by all")
@@ -201,12 +240,12 @@ def r2_check_structure(spark, d):
     return r.check_structure(r.chunk_inventory(tags(spark, d)))
 
 
-@query("with a as (select n_nationkey, n_name, n_regionkey from nation), b as (select n_nationkey, case when n_nationkey % 4 = 0 then lower(n_name) else n_name end as n_name, case when n_nationkey % 6 = 0 then null else n_regionkey end as n_regionkey from nation where n_nationkey <> 9), j as (select coalesce(a.n_nationkey, b.n_nationkey) as n_nationkey, a.n_name as an, b.n_name as bn, a.n_regionkey as ar, b.n_regionkey as br from a full join b on a.n_nationkey = b.n_nationkey) select n_nationkey, 'n_name' as field from j where an is distinct from bn union all select n_nationkey, 'n_regionkey' from j where ar is distinct from br")
+@query("with a as (select c_custkey, c_name, c_nationkey from customer), b as (select c_custkey, case when c_custkey % 4 = 0 then lower(c_name) else c_name end as c_name, case when c_custkey % 6 = 0 then null else c_nationkey end as c_nationkey from customer where c_custkey <> 9), j as (select coalesce(a.c_custkey, b.c_custkey) as c_custkey, a.c_name as an, b.c_name as bn, a.c_nationkey as ar, b.c_nationkey as br from a full join b on a.c_custkey = b.c_custkey) select c_custkey, 'c_name' as field from j where an is distinct from bn union all select c_custkey, 'c_nationkey' from j where ar is distinct from br")
 def r3_metadata_diff(spark, d):
-    n = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
-    k = F.col("n_nationkey")
-    b = n.where(k != 9).select("n_nationkey", F.when(k % 4 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("n_name"), F.when(k % 6 != 0, F.col("n_regionkey")).alias("n_regionkey"))
-    return r.metadata_diff(n, b, ["n_nationkey"])
+    n = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_nationkey")
+    k = F.col("c_custkey")
+    b = n.where(k != 9).select("c_custkey", F.when(k % 4 == 0, F.lower("c_name")).otherwise(F.col("c_name")).alias("c_name"), F.when(k % 6 != 0, F.col("c_nationkey")).alias("c_nationkey"))
+    return r.metadata_diff(n, b, ["c_custkey"])
 
 
 @query(f"""with {AB}, c as (select stream_key, case when seq % 13 = 0 then seq + 10000000 else seq end as seq, t_us from a), sc as (select stream_key, t_us, lead(t_us) over (partition by stream_key order by seq) as next_us from c), sa as (select stream_key, t_us, lead(t_us) over (partition by stream_key order by seq) as next_us from a) select distinct sc.* from sc where next_us < t_us and (stream_key, t_us, next_us) not in (select stream_key, t_us, next_us from sa where next_us < t_us) and (stream_key, t_us) in (select stream_key, t_us from a) and (stream_key, next_us) in (select stream_key, t_us from a)""")

@@ -144,15 +144,15 @@ def p4_classify_overrides(spark, d):
     return s.classify(x, o).select("s_suppkey", "is_marker")
 
 
-CH = """ch as (select cast(n_regionkey as varchar) as stream_key, n_nationkey as channel, case when n_nationkey % 6 = 0 then '' else n_name end as label,
-  case when n_nationkey % 3 = 0 then '' else 'microvolts' end as unit, case when n_nationkey % 4 = 0 then '' when n_nationkey % 4 = 1 then 'EOG' else 'EEG' end as type,
-  case when n_nationkey % 5 < 2 then n_nationkey * 1.5 end as x, case when n_nationkey % 5 = 3 then 2.5 end as y from nation)"""
+CH = """ch as (select cast(c_nationkey as varchar) as stream_key, c_custkey as channel, case when c_custkey % 6 = 0 then '' else c_name end as label,
+  case when c_custkey % 3 = 0 then '' else 'microvolts' end as unit, case when c_custkey % 4 = 0 then '' when c_custkey % 4 = 1 then 'EOG' else 'EEG' end as type,
+  case when c_custkey % 5 < 2 then c_custkey * 1.5 end as x, case when c_custkey % 5 = 3 then 2.5 end as y from customer)"""
 
 
 def ch(spark, d):
-    k = F.col("n_nationkey")
-    return table(spark, d, "nation").select(
-        F.col("n_regionkey").cast("string").alias("stream_key"), k.alias("channel"), F.when(k % 6 == 0, "").otherwise(F.col("n_name")).alias("label"), F.when(k % 3 == 0, "").otherwise("microvolts").alias("unit"),
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(
+        F.col("c_nationkey").cast("string").alias("stream_key"), k.alias("channel"), F.when(k % 6 == 0, "").otherwise(F.col("c_name")).alias("label"), F.when(k % 3 == 0, "").otherwise("microvolts").alias("unit"),
         F.when(k % 4 == 0, "").when(k % 4 == 1, "EOG").otherwise("EEG").alias("type"), F.when(k % 5 < 2, k * 1.5).alias("x"), F.when(k % 5 == 3, 2.5).alias("y"), F.lit(None).cast("double").alias("z"),
     )
 
@@ -216,7 +216,7 @@ def s8_resolve_template(spark, d):
 @query(f"""with k as ({DT_SQL.replace('select stream_key, seq,', 'select stream_key, seq, t_us, label,')})
 select stream_key, seq, printf('%.6f', t_us / 1e6) as time, coalesce(printf('%.6f', dt_us / 1e6), '') as dt, coalesce(printf('%.6f', dt_same_us / 1e6), '') as dt_same, '"' || replace(label, '"', '""') || '"' as value from k""")
 def s9_marker_lines(spark, d):
-    return recording.marker_lines(ev(spark, d))
+    return recording.marker_lines(ev(spark, d)).drop("t_us")
 
 
 @query(f"with {EV} select stream_key, t_us - (seq % 1000) as collected_us, seq % 1000 as offset_us from ev")

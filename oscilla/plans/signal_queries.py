@@ -39,6 +39,11 @@ def d1_minmax(spark, d):
     return dm.minmax(dense(spark, d), 32)
 
 
+@query(f"with {BINS} select * from bins")
+def d4_bin_width(spark, d):
+    return dm.minmax(dense(spark, d), dm.bin_width(16.0, 60, 30))
+
+
 @query(f"with {BINS} select * from bins")
 def d1_minmax_chunks(spark, d):
     return dm.minmax_chunks(c.to_chunks(dense(spark, d), 256), 32, 256)
@@ -144,6 +149,33 @@ def t6_old_frame_code(spark, d):
     return tb.old_frame_time(probe(spark, d), gaps(spark, d), "code").select("stream_key", "seq", "old_us")
 
 
+@query(OLD + "select stream_key, seq, case when held is null then t_us - o end as old_us from off")
+def t6_old_frame_drop(spark, d):
+    return tb.old_frame_time(probe(spark, d), gaps(spark, d), "drop").select("stream_key", "seq", "old_us")
+
+
+@query(f"with {GAPS}, z as (select stream_key, min(t_us) as t0 from ev group by stream_key), b as (select e.stream_key, e.seq // 32 as bin, z.t0 + cast(round(((e.seq // 32) * 32 + 16) * {HOUR / 16}) as bigint) as old_us from ev e join z using (stream_key)) select distinct stream_key, bin, old_us + coalesce(cast((select sum(g.gap_us) from gaps g where g.stream_key = b.stream_key and g.old_us <= b.old_us) as bigint), 0) as real_us from b")
+def d2_bin_times_gaps(spark, d):
+    """Bins of sequence numbers, with their centres put through the dropouts."""
+    e = ev(spark, d)
+    bins = e.select("stream_key", F.expr("seq div 32").alias("bin")).distinct()
+    anchors = e.groupBy("stream_key").agg(F.min("t_us").alias("t0_us"))
+    return tb.real_time(dm.bin_times(bins, anchors, 32, HOUR / 16), gaps(spark, d)).select("stream_key", "bin", "real_us")
+
+
+#: Two weeks of the events' month.
+VIEW = (1704499200000000, 1705708800000000)
+
+
+@query(f"""with {GAPS}, hd as (select stream_key, max(t_us) as m, max(t_us) + 100000 * (cast(stream_key as bigint) % 3) as edge from ev group by stream_key),
+iv as (select stream_key, resume_real_us - gap_us as a, resume_real_us as b from gaps union all select stream_key, m, edge from hd where edge - m > 50000)
+select stream_key, greatest(a, {VIEW[0]}) as start_us, least(b, {VIEW[1]}) as end_us from iv where least(b, {VIEW[1]}) > greatest(a, {VIEW[0]})""")
+def t9_view_and_edge(spark, d):
+    newest = F.max("t_us")
+    edge = ev(spark, d).groupBy("stream_key").agg(newest.alias("newest_us"), (newest + 100_000 * (F.col("stream_key").cast("long") % 3)).alias("edge_us"))
+    return tb.missing_intervals(gaps(spark, d), -1, 0, VIEW, edge)
+
+
 @query(f"""with {GAPS}, iv as (select stream_key, resume_real_us - gap_us as a, resume_real_us + {HOUR} as b from gaps), n as (select *, case when a - max(b) over (partition by stream_key order by a, b rows between unbounded preceding and 1 preceding) <= {2 * DAY} then 0 else 1 end as new from iv),
 i as (select *, sum(new) over (partition by stream_key order by a, b rows unbounded preceding) as island from n) select stream_key, min(a) as start_us, max(b) as end_us from i group by stream_key, island""")
 def t9_missing_intervals(spark, d):
@@ -218,14 +250,10 @@ def multi(spark, d):
 def f1_common_average(spark, d):
     m = multi(spark, d)
     kinds = m.select("stream_key", "channel").distinct().withColumn("type", F.when(F.col("channel") == "error", "EOG").otherwise(" eeg"))
-    # an index at which no EEG channel has data yet has no mean: null
-    out = c.common_average(m, kinds)
-    eeg = m.where("channel <> 'error' and value is not null").select("stream_key", "idx").distinct().withColumn("has", F.lit(True))
-    out = out.join(eeg, ["stream_key", "idx"], "left")
-    return out.select("stream_key", "channel", "idx", (F.round(F.when(F.col("has"), F.col("value")), 6) + 0.0).alias("value"))
+    return c.common_average(m, kinds).withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query(f"with {MULTI} select m.stream_key, m.channel, m.idx, round(m.value - coalesce(r.value, 0.0), 6) + 0.0 as value from multi m left join multi r on r.stream_key = m.stream_key and r.idx = m.idx and r.channel = 'click'")
+@query(f"with {MULTI} select stream_key, channel, idx, round(value - coalesce(max(case when channel = 'click' then value end) over (partition by stream_key, idx), 0.0), 6) + 0.0 as value from multi")
 def f2_channel_reference(spark, d):
     return c.channel_reference(multi(spark, d), "click").withColumn("value", F.round("value", 6) + 0.0)
 
@@ -284,6 +312,13 @@ def f6_chain(spark, d):
     return filtered(spark, d, F6)
 
 
+@query(_chain_sql(True, []))
+def p15_pick_signal(spark, d):
+    """The conditioned signal, as a stage is on."""
+    raw = c.to_chunks(held(spark, d), 128)
+    return c.to_samples(s.pick_signal(raw, c.condition(raw, F3), high=True, notch=False)).withColumn("value", F.round("value", 6) + 0.0)
+
+
 F7 = _chain_sql(True, []).replace("from held where idx = 0", "from held where idx % 256 = 0").replace("h.idx = p.idx + 1)", "h.idx = p.idx + 1 and h.idx % 256 <> 0)")
 
 

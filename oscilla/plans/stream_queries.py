@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from oscilla.operators.markers import marker_text
 from oscilla.session import table
 from oscilla.sources import recording
-from oscilla.sources.views import EV, micros
+from oscilla.plans.signal_queries import DAY, GAP_ROWS, GAPS
+from oscilla.sources.views import EV, HOUR, micros
 from oscilla.streaming import live
 
 QUERIES, ORACLE = {}, {}
@@ -36,6 +37,33 @@ def s2_stream_markers(spark, d):
     return _written(spark, e.where("t_us is not null")).select("stream_key", "seq", "t_us", "label")
 
 
+def t4_gaps_stream(spark, d):
+    e = _events(spark, d).select(F.col("user_id").cast("string").alias("stream_key"), F.col("event_id").alias("seq"), micros().alias("t_us"))
+    return _written(spark, live.gaps_stream(e, HOUR, DAY)).select("stream_key", "gap_no", "old_us", "gap_us", "cum_us", "resume_real_us")
+
+
+#: Hours since the events' year began; epochs are two hours before and two after a purchase.
+START_US, BEFORE, AFTER = 1704067200000000, 2, 3
+
+
+def _indexed(spark, d):
+    at = micros()
+    return _events(spark, d).select(
+        F.col("user_id").cast("string").alias("stream_key"), F.lit(0).alias("channel"), F.col("event_id").alias("event"), F.floor((at - START_US) / HOUR).alias("idx"), "value", "event_type", F.timestamp_micros(at).alias("ts")
+    )
+
+
+def e12_erp_stream(spark, d):
+    e = _indexed(spark, d)
+    marks = _indexed(spark, d).where("event_type = 'purchase'").select("stream_key", "event", "idx", "ts")
+    return _written(spark, live.erp_stream(e.select("stream_key", "channel", "idx", "value", "ts"), marks, BEFORE, AFTER, "4 hours")).select("stream_key", "event", "bin", "v")
+
+
+QUERIES |= {"t4_gaps_stream": t4_gaps_stream, "e12_erp_stream": e12_erp_stream}
+ORACLE |= {
+    "t4_gaps_stream": f"with {GAPS} {GAP_ROWS}",
+    "e12_erp_stream": f"with {EV}, x as (select *, (t_us - {START_US}) // {HOUR} as idx from ev) select s.stream_key, e.seq as event, s.idx - (e.idx - {BEFORE}) as bin, s.value as v from x e join x s on s.stream_key = e.stream_key and s.idx between e.idx - {BEFORE} and e.idx + {AFTER} - 1 where e.label = 'purchase' and abs(s.t_us - e.t_us) <= 4 * {HOUR}",
+}
 QUERIES |= {"s1_stream_samples": s1_stream_samples, "s2_stream_markers": s2_stream_markers}
 ORACLE |= {
     "s1_stream_samples": f"with {EV} select stream_key, seq, t_us, value from ev",

@@ -15,8 +15,12 @@ from oscilla.operators.markers import marker_dt
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset, a temporary one of a local session."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.gettempdir()
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -43,13 +47,15 @@ def marker_lines(markers: DataFrame) -> DataFrame:
     """time, dt, dt_same as text with six decimals (empty if there is none) and value in quotes, for a CSV file."""
     six = lambda c: F.coalesce(F.format_string("%.6f", F.col(c) / 1e6), F.lit(""))
     d = marker_dt(markers)
-    quoted = F.concat(F.lit('"'), F.replace(F.col("label"), F.lit('"'), F.lit('""')), F.lit('"'))
-    return d.select("stream_key", "seq", six("t_us").alias("time"), F.when(F.col("dt_us").isNull(), "").otherwise(six("dt_us")).alias("dt"), F.when(F.col("dt_same_us").isNull(), "").otherwise(six("dt_same_us")).alias("dt_same"), quoted.alias("value"))
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("label", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    return d.select("stream_key", "seq", "t_us", six("t_us").alias("time"), F.when(F.col("dt_us").isNull(), "").otherwise(six("dt_us")).alias("dt"), F.when(F.col("dt_same_us").isNull(), "").otherwise(six("dt_same_us")).alias("dt_same"), quoted.alias("value"))
 
 
 def write_marker_csv(markers: DataFrame, path: str) -> None:
-    lines = marker_lines(markers).select(F.concat_ws(",", "time", "dt", "dt_same", "value").alias("line"))
-    lines.unionByName(markers.sparkSession.createDataFrame([("time,dt,dt_same,value",)], "line string")).write.mode("overwrite").text(path)
+    """One CSV file in parts: by name they hold the header and then all lines in order of time (rows without one come first)."""
+    lines = marker_lines(markers).select(F.lit(1).alias("place"), "t_us", "stream_key", "seq", F.concat_ws(",", "time", "dt", "dt_same", "value").alias("line"))
+    head = markers.sparkSession.createDataFrame([(0, "time,dt,dt_same,value")], "place int, line string")
+    lines.unionByName(head, allowMissingColumns=True).orderBy("place", "t_us", "stream_key", "seq").select("line").write.mode("overwrite").text(path)
 
 
 # Fixed values of the container: tags that carry a stream id, and the sample formats.

@@ -38,6 +38,97 @@ def minmax_stream(samples: DataFrame, width: int) -> DataFrame:
     return samples.groupBy("stream_key", "channel", F.expr(f"idx div {width}").alias("bin")).agg(F.min(good).alias("lo"), F.max(good).alias("hi"), F.count("*").alias("n"))
 
 
+def _with_state(samples: DataFrame, keys: list[str], order: list[str], step, out: str, state: str) -> DataFrame:
+    """step(pdf in order, state or None) -> (rows out, state) for each key's rows of a batch; one small state a key."""
+
+    def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows, now = step(pd.concat(list(batches)).sort_values(order), held.get if held.exists else None)
+        if now is not None:
+            held.update(now)
+        for name, k in zip(reversed(keys), reversed(key), strict=True):
+            rows.insert(0, name, k)
+        yield rows
+
+    types = {f.name: f.dataType.simpleString() for f in samples.schema}
+    return samples.groupBy(*keys).applyInPandasWithState(run, ", ".join([*(f"{k} {types[k]}" for k in keys), out]), state, "append", GroupStateTimeout.NoTimeout)
+
+
+def closed_bins_stream(samples: DataFrame, width: int) -> DataFrame:
+    """(stream_key, channel, bin, lo, hi) of bins as they close, in append mode: the state is the one bin that is open. Samples come in order of idx from batch to batch."""
+
+    def step(pdf, state):
+        open_bin, lo, hi, n = state or (None, None, None, 0)
+        out = []
+        for b, v in pdf.groupby(pdf["idx"] // width, sort=True)["value"]:
+            if b != open_bin:
+                open_bin, lo, hi, n = int(b), None, None, 0
+            good, n = v[~np.isnan(v)], n + len(v)
+            if len(good):
+                lo, hi = (float(good.min()) if lo is None else min(lo, float(good.min()))), (float(good.max()) if hi is None else max(hi, float(good.max())))
+            if n == width:
+                out.append((open_bin, lo, hi))
+        return pd.DataFrame(out, columns=["bin", "lo", "hi"]).astype({"lo": float, "hi": float}), (open_bin, lo, hi, n)
+
+    return _with_state(samples, ["stream_key", "channel"], ["idx"], step, "bin long, lo double, hi double", "bin long, lo double, hi double, n long")
+
+
+def gaps_stream(samples: DataFrame, dt_us: int, min_gap_us: int = 250_000) -> DataFrame:
+    """The dropouts of detect_gaps() as samples (stream_key, seq, t_us) arrive, in order of time from batch to batch; the state is the last stamp and what has been counted."""
+
+    def step(pdf, state):
+        last, number, total = state or (None, 0, 0)
+        out = []
+        t = pdf["t_us"].to_numpy()
+        steps = np.diff(t, prepend=t[0] if last is None else last) - dt_us
+        for i in np.flatnonzero(steps > min_gap_us):
+            number, total = number + 1, total + int(steps[i])
+            out.append((number, int(t[i]) - total, int(steps[i]), total, int(t[i])))
+        return pd.DataFrame(out, columns=["gap_no", "old_us", "gap_us", "cum_us", "resume_real_us"]), (int(t[-1]), number, total)
+
+    return _with_state(samples, ["stream_key"], ["t_us", "seq"], step, "gap_no long, old_us long, gap_us long, cum_us long, resume_real_us long", "last long, number long, total long")
+
+
+def measured_rate_stream(chunks: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """The moving average of measured_rate() as chunks (stream_key, chunk_id, t_us, n) arrive, in order of chunk_id from batch to batch."""
+
+    def step(pdf, state):
+        last, rate = state or (None, None)
+        out = []
+        for k, t, n in zip(pdf["chunk_id"], pdf["t_us"], pdf["n"], strict=True):
+            if last is not None and t - last > 1:
+                r = n * 1e6 / (t - last)
+                rate = r if rate is None else (1 - alpha) * rate + alpha * r
+                out.append((k, rate))
+            last = int(t)
+        return pd.DataFrame(out, columns=["chunk_id", "rate"]), (last, rate)
+
+    return _with_state(chunks, ["stream_key"], ["chunk_id"], step, "chunk_id long, rate double", "last long, rate double")
+
+
+def hold_stream(samples: DataFrame, step_us: int) -> DataFrame:
+    """(stream_key, channel, idx, t_us, value): the grid points of sample_and_hold() that each batch settles: those before the newest sample, as later ones may still change.
+
+    The grid of a channel begins at its own first sample; samples (t_us, seq, value) come in order of time from batch to batch.
+    """
+
+    def step(pdf, state):
+        t0, done, value = state or (int(pdf["t_us"].iloc[0]), -1, None)
+        t = pdf["t_us"].to_numpy()
+        grid = np.arange(done + 1, max(done + 1, -(-(int(t[-1]) - t0) // step_us)))
+        at = np.searchsorted(t, t0 + grid * step_us, "right") - 1
+        values = pdf["value"].to_numpy(float)
+        own = np.where(at >= 0, values[np.maximum(at, 0)], np.nan if value is None else value)
+        return pd.DataFrame({"idx": grid, "t_us": t0 + grid * step_us, "value": own}), (t0, int(grid[-1]) if len(grid) else done, float(values[-1]))
+
+    return _with_state(samples, ["stream_key", "channel"], ["t_us", "seq"], step, "idx long, t_us long, value double", "t0 long, done long, value double")
+
+
+def catalogue_stream(announcements: DataFrame, ttl: str = "5 seconds") -> DataFrame:
+    """(stream_key, name, first_seen, last_seen): one row a stay, written when a stream has been silent for ``ttl``. announcements: stream_key, name, ts."""
+    seen = announcements.withWatermark("ts", ttl).groupBy("stream_key", F.session_window("ts", ttl).alias("stay"))
+    return seen.agg(F.max_by("name", "ts").alias("name"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).drop("stay")
+
+
 def marker_rate_stream(markers: DataFrame) -> DataFrame:
     """Events a second in sliding windows of 5 s every second; late events are waited for as long as LATE. markers have ts."""
     return markers.withWatermark("ts", LATE).groupBy("stream_key", F.window("ts", "5 seconds", "1 second")).agg((F.count("*") / 5).alias("rate"))
@@ -58,12 +149,12 @@ def filter_stream(samples: DataFrame, options: Options) -> DataFrame:
     return samples.groupBy("stream_key", "channel").applyInPandasWithState(run, "stream_key string, channel int, idx long, value double", "s array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def erp_stream(samples: DataFrame, indexed: DataFrame, pre: int, post: int) -> DataFrame:
-    """(stream_key, channel, event, bin, v): each event joined with its samples once they are there; both sides wait LATE for each other.
+def erp_stream(samples: DataFrame, indexed: DataFrame, pre: int, post: int, late: str = LATE) -> DataFrame:
+    """(stream_key, channel, event, bin, v): each event joined with its samples once they are there; both sides wait ``late`` for each other.
 
     samples: stream_key, channel, idx, value, ts; indexed: stream_key, event, idx, ts. Rows are averaged by the sink.
     """
-    s = samples.withWatermark("ts", LATE)
-    e = indexed.withWatermark("ts", LATE).select("stream_key", "event", F.col("ts").alias("event_ts"), F.explode(F.sequence(F.col("idx") - pre, F.col("idx") + post - 1)).alias("idx"), (F.col("idx") - pre).alias("from"))
-    near = F.expr(f"ts between event_ts - interval {LATE} and event_ts + interval {LATE}")
+    s = samples.withWatermark("ts", late)
+    e = indexed.withWatermark("ts", late).select("stream_key", "event", F.col("ts").alias("event_ts"), F.explode(F.sequence(F.col("idx") - pre, F.col("idx") + post - 1)).alias("idx"), (F.col("idx") - pre).alias("from"))
+    near = F.expr(f"ts between event_ts - interval {late} and event_ts + interval {late}")
     return s.join(e, ["stream_key", "idx"]).where(near).select("stream_key", "channel", "event", (F.col("idx") - F.col("from")).alias("bin"), F.col("value").alias("v"))

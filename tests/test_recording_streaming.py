@@ -117,3 +117,47 @@ def test_epochs_of_a_stream_equal_the_batch_form(spark, tmp_path):
     cut = e.epochs(c.to_chunks(one, 64), marks.withColumnRenamed("event", "seq"), 5, 10, 64).collect()
     want = {(r.event, i): v for r in cut for i, v in enumerate(r["values"])}
     assert len(want) == 30 and {k: got[k] for k in want} == want
+
+
+def test_csv_is_in_order_and_whole(spark, tmp_path):
+    import csv
+    import glob
+
+    rows = [("s", i, 10_000_000 - i * 1000, None if i % 7 == 0 else f'a,"{i}"') for i in range(500)]
+    markers = spark.createDataFrame(rows, "stream_key string, seq long, t_us long, label string").repartition(6)
+    recording.write_marker_csv(markers, f"file://{tmp_path}/csv")
+    text = "".join(open(p, newline="").read() for p in sorted(glob.glob(f"{tmp_path}/csv/part-*")))
+    got = list(csv.reader(text.splitlines()))
+    assert got[0] == ["time", "dt", "dt_same", "value"] and all(len(r) == 4 for r in got)
+    assert [(float(r[0]), r[3]) for r in got[1:]] == [(t / 1e6, label or "") for _, _, t, label in reversed(rows)]
+
+
+def streamed(spark, df, tmp_path, build, order, parts=4):
+    """The rows that a streaming form writes for df, read in ``parts`` batches in order."""
+    n = df.count()
+    for k in range(parts):
+        ranked = df.orderBy(order).collect()[k * n // parts : (k + 1) * n // parts]
+        spark.createDataFrame(ranked, df.schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{k}")
+    source = live.read_stream(spark, f"file://{tmp_path}/in/*", df.schema, maxFilesPerTrigger="1", latestFirst="false")
+    live.record_stream(build(source), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
+    return recording.read_recording(spark, f"file://{tmp_path}/out")
+
+
+def test_streamed_gaps_bins_rates_and_grid(spark, tmp_path):
+    from oscilla.operators import timebase
+
+    df = samples(spark, 600).withColumn("t_us", F.col("t_us") + F.when(F.col("seq") > 250, 900_000).otherwise(0)).withColumn("value", F.when(F.col("idx") % 9 == 0, float("nan")).otherwise(F.col("value")))
+    same = lambda a, b: sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    got = streamed(spark, df.select("stream_key", "seq", "t_us"), tmp_path / "g", lambda s: live.gaps_stream(s, 3000, 250_000), "seq")
+    assert same(got, timebase.detect_gaps(df, 3000, 250_000)) and got.count() == 3
+    bins = df.select("stream_key", "channel", "idx", "value")
+    assert same(streamed(spark, bins, tmp_path / "b", lambda s: live.closed_bins_stream(s, 8), "idx").withColumn("channel", F.col("channel").cast("int")), decimate.minmax(bins, 8))
+    chunks = df.select("stream_key", F.col("idx").alias("chunk_id"), "t_us", F.lit(3).alias("n"))
+    rates = streamed(spark, chunks, tmp_path / "r", live.measured_rate_stream, "chunk_id")
+    rounded = lambda d: d.select("stream_key", "chunk_id", F.round("rate", 6).alias("rate"))
+    assert same(rounded(rates), rounded(c.measured_rate(chunks)))
+    values = df.fillna(-1.0).select("stream_key", "channel", "seq", "t_us", "value")
+    held = streamed(spark, values, tmp_path / "h", lambda s: live.hold_stream(s, 1700), "seq")
+    whole = timebase.sample_and_hold(values, 1700)
+    newest = whole.join(values.groupBy("stream_key").agg(F.max("t_us").alias("m")), "stream_key").where("t_us < m").select("stream_key", "channel", "idx", "t_us", "value")
+    assert same(held, newest)
