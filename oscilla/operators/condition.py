@@ -1,7 +1,7 @@
 """Re-referencing and recursive filters that run in parallel over time.
 
-The chain high-pass, notch, low-pass is linear in a state of six numbers. Each chunk of a signal gives the state that it ends
-in when it begins from zero; those states are folded along each channel (six numbers a chunk), and each chunk then runs once
+The chain high-pass, notch, low-pass is linear in a state of six numbers. Each run of chunks gives the state that it ends
+in when it begins from zero; those states are folded along each channel (six numbers a run), and each run is then filtered
 from its true start. chunks: stream_key, channel, chunk_id, start_idx, values ARRAY<DOUBLE>.
 """
 
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +43,24 @@ def biquad(kind: str, f: float | None, fs: float, q: float) -> tuple[float, ...]
 
 
 class Chain:
+    """The chain as a linear system: state x1, y1 and the two biquads' z1, z2. Blocks of a signal are matrix products."""
+
+    BLOCK = 128
+
     def __init__(self, o: Options):
         self.high = o.high is not None
         self.r = math.exp(-2 * math.pi * o.high / o.fs) if self.high else 0.0
         self.stages = biquad("notch", o.notch, o.fs, o.q), biquad("low", o.low, o.fs, 0.7071)
-
-    def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of x are signals of one length, rows of state their x1, y1 and the two biquads' z1, z2. All rows step together."""
+        # what a unit at each place of a block, and a unit of each state number, do to the block's output and to its end
+        self.out_of_input, self.end_of_input = self.walk(np.eye(self.BLOCK), np.zeros((self.BLOCK, 6)))
+        self.out_of_state, self.end_of_state = self.walk(np.zeros((6, self.BLOCK)), np.eye(6))
+        self.step = self.walk(np.zeros((6, 1)), np.eye(6))[1].T
+        self.powers = [np.eye(6)]
+        for _ in range(self.BLOCK - 1):
+            self.powers.append(self.powers[-1] @ self.step.T)
+
+    def walk(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sample by sample; rows of x are signals of one length, rows of state their states."""
         s = state.T.copy()
         out = np.empty_like(x)
         for i in range(x.shape[1]):
@@ -63,68 +75,68 @@ class Chain:
             out[:, i] = v
         return out, s.T
 
-    def step(self) -> np.ndarray:
-        """What one sample of zero does to the state."""
-        return self.run(np.zeros((6, 1)), np.eye(6))[1].T
-
-
-def _by_length(values: list[np.ndarray]):
-    """Indexes of arrays of one length, so they can step together."""
-    groups: dict[int, list[int]] = {}
-    for i, v in enumerate(values):
-        groups.setdefault(len(v), []).append(i)
-    return groups.values()
-
-
-def condition(chunks: DataFrame, options: Options) -> DataFrame:
+    def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Output and end state of one signal."""
+        whole = len(x) // self.BLOCK * self.BLOCK
+        blocks, rest = x[:whole].reshape(-1, self.BLOCK), x[whole:]
+        if not np.isfinite(x).all():  # a product would carry it to earlier samples
+            out, end = self.walk(x[None, :], np.asarray(state, float)[None, :])
+            return out[0], end[0]
+        starts, now = np.empty((len(blocks), 6)), np.asarray(state, float)
+        for i, own in enumerate(blocks @ self.end_of_input):
+            starts[i] = now
+            now = now @ self.end_of_state + own
+        out = (blocks @ self.out_of_input + starts @ self.out_of_state).ravel()
+        # of a block's first k places the output looks back only, and to an end k places on it is as if they were its last
+        k = len(rest)
+        last = rest @ self.out_of_input[:k, :k] + now @ self.out_of_state[:, :k]
+        return np.concatenate((out, last)), now @ self.powers[k] + rest @ self.end_of_input[self.BLOCK - k :]
+
+
+def _signal(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """A run's chunks in order, and their samples end to end."""
+    table = table.sort_by("chunk_id")
+    values = table["values"].combine_chunks()
+    return table, values.flatten().to_numpy(zero_copy_only=False).astype(float)
+
+
+def condition(chunks: DataFrame, options: Options, run: int = 64) -> DataFrame:
     """chunks with filtered values. Add a column ``segment`` to restart the state at each of its values (a switch, or a gap).
 
-    The first chunk of a channel (or segment) is primed with its first sample, so a constant offset doesn't ring in.
+    A channel is worked on in runs of ``run`` chunk ids; one row a run (six numbers) is folded along a channel. The first
+    sample of a channel (or segment) primes the state, so a constant offset doesn't ring in.
     """
     keys = ["stream_key", "channel", *(["segment"] if "segment" in chunks.columns else [])]
-    key_types = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    types = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
     chain = Chain(options)
+    runs = chunks.select(*keys, F.floor(F.col("chunk_id") / run).alias("run"), "chunk_id", "start_idx", "values")
 
-    def ends(batches):
-        for b in batches:
-            values = [np.asarray(v, float) for v in b.column("values").to_pylist()]
-            state = np.zeros((len(values), 6))
-            for group in _by_length(values):
-                if len(values[group[0]]):
-                    state[group] = chain.run(np.stack([values[i] for i in group]), np.zeros((len(group), 6)))[1]
-            first = [float(v[0]) if len(v) else None for v in values]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (*keys, "chunk_id")), pa.array([len(v) for v in values], pa.int32()), pa.array(first, pa.float64()), pa.array(state.tolist(), pa.list_(pa.float64()))], names=[*keys, "chunk_id", "n", "first", "state"])
-
-    schema = ", ".join(f"{k} {key_types[k]}" for k in (*keys, "chunk_id"))
-    tails = chunks.mapInArrow(ends, f"{schema}, n int, first double, state array<double>")
+    def ends(table: pa.Table) -> pa.Table:
+        one, x = _signal(table)
+        state = pa.array([chain.run(x, np.zeros(6))[1].tolist()], pa.list_(pa.float64()))
+        return one.select([*keys, "run"])[:1].append_column("n", pa.array([len(x)], pa.int64())).append_column("first", pa.array(x[:1] if len(x) else [None], pa.float64())).append_column("state", state)
 
     def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk_id")
-        m, powers, now, starts = chain.step(), {}, None, []
+        table = table.sort_by("run")
+        now, starts = None, []
         for n, first, state in zip(table["n"].to_pylist(), table["first"].to_pylist(), table["state"].to_pylist(), strict=True):
             if now is None and n:
                 now = np.array([first, 0, 0, 0, 0, 0])
             starts.append((now if now is not None else np.zeros(6)).tolist())
             if n:
-                if n not in powers:
-                    powers[n] = np.linalg.matrix_power(m, n)
-                now = powers[n] @ now + np.array(state)
-        return table.select([*keys, "chunk_id"]).append_column("start", pa.array(starts, pa.list_(pa.float64())))
-
-    begins = tails.groupBy(*keys).applyInArrow(fold, f"{schema}, start array<double>")
-    joined = chunks.join(begins, [*keys, "chunk_id"])
-
-    def filtered(batches):
-        for b in batches:
-            values = [np.asarray(v, float) for v in b.column("values").to_pylist()]
-            start, out = np.array(b.column("start").to_pylist(), float).reshape(-1, 6), [[]] * len(values)
-            for group in _by_length(values):
-                if len(values[group[0]]):
-                    for i, y in zip(group, chain.run(np.stack([values[i] for i in group]), start[group])[0], strict=True):
-                        out[i] = y
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (*keys, "chunk_id", "start_idx")), pa.array(out, pa.list_(pa.float64()))], names=[*keys, "chunk_id", "start_idx", "values"])
-
-    return joined.select(*keys, "chunk_id", "start_idx", "values", "start").mapInArrow(filtered, f"{schema}, start_idx long, values array<double>")
+                now = np.linalg.matrix_power(chain.step, n) @ now + np.array(state)
+        return table.select([*keys, "run"]).append_column("start", pa.array(starts, pa.list_(pa.float64())))
+
+    def filtered(table: pa.Table) -> pa.Table:
+        table, x = _signal(table)
+        y = chain.run(x, np.array(table["start"][0].as_py()))[0]
+        offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(table["values"]).to_numpy())))
+        return table.select([*keys, "chunk_id", "start_idx"]).append_column("values", pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(y)))
+
+    tails = runs.groupBy(*keys, "run").applyInArrow(ends, f"{schema}, run long, n long, first double, state array<double>")
+    begins = tails.groupBy(*keys).applyInArrow(fold, f"{schema}, run long, start array<double>")
+    return runs.join(begins, [*keys, "run"]).groupBy(*keys, "run").applyInArrow(filtered, f"{schema}, chunk_id {types['chunk_id']}, start_idx long, values array<double>")
 
 
 def highpass(chunks: DataFrame, fc: float, fs: float) -> DataFrame:

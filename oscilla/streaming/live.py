@@ -140,11 +140,10 @@ def filter_stream(samples: DataFrame, options: Options) -> DataFrame:
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches)).sort_values("idx")
-        x = pdf["value"].to_numpy(float)[None, :]
-        start = np.array(state.get[0] if state.exists else [x[0, 0], 0, 0, 0, 0, 0], float)[None, :]
-        y, end = chain.run(x, start)
-        state.update((end[0].tolist(),))
-        yield pdf.assign(value=y[0])[["stream_key", "channel", "idx", "value"]]
+        x = pdf["value"].to_numpy(float)
+        y, end = chain.run(x, np.array(state.get[0] if state.exists else [x[0], 0, 0, 0, 0, 0], float))
+        state.update((end.tolist(),))
+        yield pdf.assign(value=y)[["stream_key", "channel", "idx", "value"]]
 
     return samples.groupBy("stream_key", "channel").applyInPandasWithState(run, "stream_key string, channel int, idx long, value double", "s array<double>", "append", GroupStateTimeout.NoTimeout)
 

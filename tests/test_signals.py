@@ -35,7 +35,7 @@ def test_biquads(spark, stage, f, low, high):
 
 def test_chunked_filter_equals_one_run(spark):
     o = c.Options(500, 0.5, 60, 40)
-    one = c.Chain(o).run(np.array([values(tone(spark, 3000, 7, 500, 3, 2, 3000))]), np.array([[3.0, 0, 0, 0, 0, 0]]))[0][0]
+    one = c.Chain(o).walk(np.array([values(tone(spark, 3000, 7, 500, 3, 2, 3000))]), np.array([[3.0, 0, 0, 0, 0, 0]]))[0][0]
     assert np.allclose(values(c.condition(tone(spark, 3000, 7, 500, 3, 2, 128), o)), one, atol=1e-9)
 
 
@@ -127,3 +127,27 @@ def test_selection_is_all_or_nothing(spark):
     assert streams.select_streams(cat, "all").count() == 2 and streams.select_streams(cat, "none").count() == 0
     with pytest.raises(ValueError, match="unknown stream z"):
         streams.select_streams(cat, spark.createDataFrame([("a",), ("z",)], "stream_key string"))
+
+
+def test_blocks_equal_single_steps():
+    """Any length, any start, each stage on or off; what is not finite stays where it is."""
+    rng = np.random.default_rng(6)
+    for o in (c.Options(500, 0.5, 60, 100), c.Options(500, None, 50), c.Options(100, 2.0), c.Options(100, None, None, 20)):
+        chain = c.Chain(o)
+        for n in (0, 1, 5, 127, 128, 129, 1000):
+            x, state = rng.normal(size=n) * 100, rng.normal(size=6)
+            want, end = chain.walk(x[None, :], state[None, :])
+            got, last = chain.run(x, state)
+            assert np.allclose(got, want[0], rtol=1e-9, atol=1e-9) and np.allclose(last, end[0], rtol=1e-9, atol=1e-9)
+        x = np.ones(300)
+        x[200] = np.nan
+        got = chain.run(x, np.zeros(6))[0]
+        assert np.isfinite(got[:200]).all() and np.isnan(got[200:]).all()
+
+
+@pytest.mark.parametrize("run", [1, 3, 64])
+def test_runs_of_chunks_equal_one_run(spark, run):
+    o = c.Options(500, 0.5, 60, 100)
+    whole = {r.idx: r.value for r in c.to_samples(c.condition(tone(spark, 1000, 7, 500, 3, 2, 4000), o)).collect()}
+    got = {r.idx: r.value for r in c.to_samples(c.condition(tone(spark, 1000, 7, 500, 3, 2, 70), o, run)).collect()}
+    assert got.keys() == whole.keys() and all(abs(got[k] - whole[k]) < 1e-9 for k in got)
