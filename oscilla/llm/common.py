@@ -20,8 +20,11 @@ def _own_folder() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one of a local session (tests)."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or _own_folder()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
