@@ -6,10 +6,11 @@ only. P_w of a node is half that estimate plus half the product of its children'
 the estimates of all depths by the weights that follow. A context never met in training leaves the
 mixture, so the next shorter one speaks for it.
 
-Work is dealt by the last two context bytes: a shard holds whole subtrees from depth two down. What lies above
-are at most 257 contexts, whose sums are gathered on the driver (65,535 nodes at most, whatever the input).
-Texts are packed into blocks; a block asks each shard for its distinct byte strings, so hot strings are counted
-before they are shuffled, and the answers return to the block. Word counts of the base score go the same way.
+Texts are packed into blocks. A block asks for its distinct byte strings by a hash of the whole string, so no bucket of asks is
+hot, and hot strings are counted before they are shuffled. A bucket counts each string once, whoever asked, and lends it to the
+shard of its last two context bytes, which holds whole subtrees from depth two down: a shard's size is that of its distinct
+strings, not of the asks. What lies above are at most 257 contexts, whose sums are gathered on the driver (65,535 nodes at most,
+whatever the input). Answers go back through the buckets to the blocks. Word counts of the base score are asked the same way.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ from .common import pack_array, pack_sorted, text_bytes, unpack_array, unpack_so
 DEPTH = 5
 EIGHT = np.uint64(8)
 BLOCK = "block string, doc_id array<long>, held array<boolean>, size array<long>, data binary"
-ASKED = "kind string, shard int, block string, keys binary, counts binary"
-SHARD = "kind string, shard int, blocks array<string>, wanted array<binary>, model array<binary>, top array<binary>, tokens long, vocabulary long"
-ANSWER = "block string, kind string, shard int, answer binary"
+ASKED = "kind string, bucket int, block string, keys binary, counts binary"
+COUNTED = "kind string, bucket int, block string, wanted binary, shard int, keys binary, counts binary, tokens long, vocabulary long"
+SHARD = "shard int, buckets array<int>, places array<binary>, model array<binary>, top array<binary>"
+VALUES = "bucket int, shard int, data binary"
+ANSWER = "block string, kind string, bucket int, answer binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
@@ -153,9 +156,24 @@ def byte_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[coded], np.repeat(np.arange(len(texts)), sizes - depth)
 
 
+def _dealt(numbers: np.ndarray, parts: int) -> np.ndarray:
+    return ((numbers * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """By the whole string: asks of one string meet, and no context is hot."""
+    return _dealt(keys, buckets)
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    pair = (keys >> EIGHT) & np.uint64(0xFFFF)
-    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(shards)
+    """By the last two context bytes."""
+    return _dealt((keys >> EIGHT) & np.uint64(0xFFFF), shards)
+
+
+def _parts(own: np.ndarray) -> list[np.ndarray]:
+    """The places of each part, parts and places ascending."""
+    order = np.argsort(own, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(own) else []
 
 
 def held_out(doc_id, fold: int = 2, folds: int = 7) -> bool:
@@ -191,29 +209,26 @@ def _texts(sizes, data: bytes) -> list[bytes]:
     return [raw[e - n : e] for n, e in zip(sizes, ends.tolist(), strict=True)]
 
 
-def _distinct_keys(keys: np.ndarray, marks: np.ndarray, shards: int):
-    """Distinct keys and the marked count of each, by shard: (shard, keys, counts). Six-byte keys leave room for the mark."""
+def _distinct_keys(keys: np.ndarray, marks: np.ndarray, buckets: int):
+    """Distinct keys and the marked count of each, by bucket: (bucket, keys, counts). Six-byte keys leave room for the mark."""
     both = (keys << np.uint64(1)) | marks
     both.sort()
     own = both >> np.uint64(1)
     first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     counts = np.add.reduceat((both & np.uint64(1)).astype(np.int64), first)
     own = own[first]
-    shard = shard_of(own, shards)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    groups = np.split(order, cuts)
-    return [(int(shard[g[0]]), own[g], counts[g]) for g in groups]
+    bucket = bucket_of(own, buckets)
+    return [(int(bucket[g[0]]), own[g], counts[g]) for g in _parts(bucket)]
 
 
-def _words_by_shard(words, shards: int) -> dict[int, list[bytes]]:
+def _words_by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
     out: dict[int, list[bytes]] = {}
     for w in sorted(words):
-        out.setdefault(zlib.crc32(w) % shards, []).append(w)
+        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
     return out
 
 
-def _ask(depth: int, shards: int):
+def _ask(depth: int, buckets: int):
     names = [f.split()[0] for f in ASKED.split(", ")]
 
     def run(batches):
@@ -222,49 +237,78 @@ def _ask(depth: int, shards: int):
                 texts, rows = _texts(sizes, data), []
                 keys, number = byte_keys(texts, depth)
                 marks = (~np.array(held, bool)).astype(np.uint64)[number]
-                for shard, own, counts in _distinct_keys(keys, marks, shards):
-                    rows.append(("bytes", shard, block, pack_sorted(own), pack_array(counts.astype(np.uint32))))
+                for bucket, own, counts in _distinct_keys(keys, marks, buckets):
+                    rows.append(("bytes", bucket, block, pack_sorted(own), pack_array(counts.astype(np.uint32))))
                 del keys, number, marks
                 train, rest = Counter(), set()
                 for t, h in zip(texts, held, strict=True):
                     (rest if h else train).update(t.split())
-                for shard, words in _words_by_shard(rest.union(train), shards).items():
-                    rows.append(("words", shard, block, zstandard.compress(b"\n".join(words), 1), pack_array(np.array([train[w] for w in words], np.uint32))))
-                rows.append(("ends", 0, block, b"", pack_array(np.array([len(held) - sum(held)], np.uint32))))
+                for bucket, words in _words_by_bucket(rest.union(train), buckets).items():
+                    rows.append(("words", bucket, block, zstandard.compress(b"\n".join(words), 1), pack_array(np.array([train[w] for w in words], np.uint32))))
+                if not rows:
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     return run
 
 
-def _merge(depth: int):
-    schema = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("blocks", pa.list_(pa.string())), ("wanted", pa.list_(pa.binary())), ("model", pa.list_(pa.binary())), ("top", pa.list_(pa.binary())), ("tokens", pa.int64()), ("vocabulary", pa.int64())])
+def _count(shards: int):
+    """A bucket's strings, each once: a row per block with what it wants, and (byte strings) a row per shard with keys and counts.
+
+    The wanted places of byte strings are those in the order of (shard, key), in which the values come back.
+    """
+    schema = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.string()), ("wanted", pa.binary()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("vocabulary", pa.int64())])
 
     def run(key, table):
-        kind, shard = key[0].as_py(), key[1].as_py()
+        kind, bucket = key[0].as_py(), key[1].as_py()
         blocks, asked = table["block"].to_pylist(), table["keys"].to_pylist()
         counts = [unpack_array(x, np.uint32).astype(np.int64) for x in table["counts"].to_pylist()]
-        model, top, wanted, tokens, vocabulary = [], [], [], 0, 0
         if kind == "words":
             total: dict[bytes, int] = {}
             words = [zstandard.decompress(x).split(b"\n") for x in asked]
             for ws, n in zip(words, counts, strict=True):
                 for w, c in zip(ws, n.tolist(), strict=True):
                     total[w] = total.get(w, 0) + c
-            wanted = [pack_array(np.fromiter((total[w] for w in ws), np.uint64, len(ws))) for ws in words]
-            tokens, vocabulary = sum(total.values()), sum(c > 0 for c in total.values())
-        elif kind == "ends":
-            blocks, tokens = [], int(sum(c.sum() for c in counts))
-            vocabulary = int(tokens > 0)
+            out = [{"block": b, "wanted": pack_array(np.fromiter((total[w] for w in ws), np.uint64, len(ws)))} for b, ws in zip(blocks, words, strict=True)]
+            out[0] |= {"tokens": sum(total.values()), "vocabulary": sum(c > 0 for c in total.values())}
         else:
             own = [unpack_sorted(x) for x in asked]
             keys, place = np.unique(np.concatenate(own), return_inverse=True)
-            n = np.bincount(place, weights=np.concatenate(counts))
-            mixed, above = subtree(keys, n, depth, 2)
-            lasts = ((keys >> EIGHT) & np.uint64(255)) << EIGHT | (keys & np.uint64(255))
-            model = [pack_array(lasts.astype(np.uint16)), pack_array(mixed.astype(np.float32).ravel())]
-            top = [pack_array(x) for x in above]
-            wanted = [pack_array(x.astype(np.uint32)) for x in np.split(place, np.cumsum([len(x) for x in own])[:-1])]
-        return pa.Table.from_pylist([{"kind": kind, "shard": shard, "blocks": blocks, "wanted": wanted, "model": model, "top": top, "tokens": tokens, "vocabulary": vocabulary}], schema)
+            n = np.bincount(place, weights=np.concatenate(counts)).astype(np.uint64)
+            shard = shard_of(keys, shards)
+            parts = _parts(shard)
+            at = np.empty(len(keys), np.uint32)
+            at[np.concatenate(parts)] = np.arange(len(keys), dtype=np.uint32)
+            wanted = np.split(at[place], np.cumsum([len(x) for x in own])[:-1])
+            out = [{"block": b, "wanted": pack_array(w)} for b, w in zip(blocks, wanted, strict=True)]
+            out += [{"shard": int(shard[g[0]]), "keys": pack_sorted(keys[g]), "counts": pack_array(n[g])} for g in parts]
+        return pa.Table.from_pylist([{"kind": kind, "bucket": bucket, **row} for row in out], schema)
+
+    return run
+
+
+def _weigh_shard(depth: int):
+    """A shard's subtrees: mixtures of its strings, where those of each bucket stand, and the sums for the depths above."""
+    schema = pa.schema([("shard", pa.int32()), ("buckets", pa.list_(pa.int32())), ("places", pa.list_(pa.binary())), ("model", pa.list_(pa.binary())), ("top", pa.list_(pa.binary()))])
+
+    def run(key, table):
+        own = [unpack_sorted(x) for x in table["keys"].to_pylist()]
+        keys = np.concatenate(own)
+        order = np.argsort(keys)
+        n = np.concatenate([unpack_array(x, np.uint64) for x in table["counts"].to_pylist()])[order].astype(float)
+        keys = keys[order]
+        place = np.empty(len(keys), np.uint32)
+        place[order] = np.arange(len(keys), dtype=np.uint32)
+        mixed, above = subtree(keys, n, depth, 2)
+        lasts = ((keys >> EIGHT) & np.uint64(255)) << EIGHT | (keys & np.uint64(255))
+        row = {
+            "shard": key[0].as_py(),
+            "buckets": table["bucket"].to_pylist(),
+            "places": [pack_array(x) for x in np.split(place, np.cumsum([len(x) for x in own])[:-1])],
+            "model": [pack_array(lasts.astype(np.uint16)), pack_array(mixed.astype(np.float32).ravel())],
+            "top": [pack_array(x) for x in above],
+        }
+        return pa.Table.from_pylist([row], schema)
 
     return run
 
@@ -309,26 +353,33 @@ class Top:
         return out
 
 
-def _answer(top: Top):
+def _values(top: Top):
+    """The log10 probabilities of a shard's strings, back to their buckets."""
+
     def run(batches):
         for b in batches:
-            for kind, shard, blocks, wanted, model in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if kind == "bytes":
-                    lasts, mixed = model
-                    scores = top.log10(unpack_array(lasts, np.uint16), unpack_array(mixed, np.float32).reshape(-1, 8).astype(float)).astype(np.float32)
-                    wanted = [pack_array(scores[unpack_array(x, np.uint32)]) for x in wanted]
-                if blocks:
-                    yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array([kind] * len(blocks)), pa.array([shard] * len(blocks), pa.int32()), pa.array(wanted, pa.binary())], names=["block", "kind", "shard", "answer"])
+            for shard, buckets, places, (lasts, mixed) in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                scores = top.log10(unpack_array(lasts, np.uint16), unpack_array(mixed, np.float32).reshape(-1, 8).astype(float)).astype(np.float32)
+                data = [pack_array(scores[unpack_array(x, np.uint32)]) for x in places]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([shard] * len(buckets), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "shard", "data"])
 
     return run
 
 
-def _score(depth: int, shards: int, tokens: int, vocabulary: int, ends: int):
+def _answer(wanted, values):
+    """What each block asked a bucket for."""
+    held = sorted(zip(values["shard"].to_pylist(), values["data"].to_pylist(), strict=True))
+    scores = np.concatenate([unpack_array(x, np.float32) for _, x in held])
+    answers = [pack_array(scores[unpack_array(x, np.uint32)]) for x in wanted["wanted"].to_pylist()]
+    return pa.table([wanted["block"], wanted["kind"], wanted["bucket"], pa.array(answers, pa.binary())], names=["block", "kind", "bucket", "answer"])
+
+
+def _score(depth: int, buckets: int, tokens: int, vocabulary: int, ends: int):
     unit = math.log10(tokens + vocabulary + 1)
     names = [f.split()[0] for f in SCORED.split(", ")]
 
     def run(blocks, answers):
-        got = {(k, s): a for k, s, a in zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["answer"].to_pylist(), strict=True)}
+        got = {(k, s): a for k, s, a in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["answer"].to_pylist(), strict=True)}
         out = []
         for ids, held, sizes, data in zip(blocks["doc_id"].to_pylist(), blocks["held"].to_pylist(), blocks["size"].to_pylist(), blocks["data"].to_pylist(), strict=True):
             texts = _texts(sizes, data)
@@ -340,17 +391,15 @@ def _score(depth: int, shards: int, tokens: int, vocabulary: int, ends: int):
             number = (both & np.uint64(0xFFFF)).astype(np.int64)
             first = np.concatenate(([True], keys[1:] != keys[:-1]))
             place, own = np.cumsum(first) - 1, keys[first]
-            shard = shard_of(own, shards)
+            bucket = bucket_of(own, buckets)
             logs = np.empty(len(own), np.float64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[order])) + 1
-            for g in np.split(order, cuts):
-                logs[g] = unpack_array(got["bytes", int(shard[g[0]])], np.float32)
+            for g in _parts(bucket):
+                logs[g] = unpack_array(got["bytes", int(bucket[g[0]])], np.float32)
             scores = np.bincount(number, weights=logs[place], minlength=len(texts))
             del both, keys, number, first, place
             logs_of, unknown = {}, set()
             split = [t.split() for t in texts]
-            for s, words in _words_by_shard(set().union(*split), shards).items():
+            for s, words in _words_by_bucket(set().union(*split), buckets).items():
                 counts = unpack_array(got["words", s], np.uint64)
                 logs_of.update(zip(words, np.log10(counts + 1.0).tolist(), strict=True))
                 unknown.update(w for w, c in zip(words, counts.tolist(), strict=True) if not c)
@@ -366,25 +415,32 @@ def _score(depth: int, shards: int, tokens: int, vocabulary: int, ends: int):
     return run
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", most_buckets: int = 1 << 14, most_shards: int = 512) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every row.
 
     The model learns from rows whose crc32(doc_id as text) mod 7 is not 2 (null doc_id: empty text). Texts are lower-cased
     (A-Z); null is empty. ``score`` is the log10 probability of the text's bytes and a closing zero byte; bits per
     byte are -score * log2(10) / (n_bytes + 1). Rows that repeat count each time. ``depth`` is 2 to 5. An empty table
-    gives no rows; without training rows every bit has probability one half.
+    gives no rows; without training rows every bit has probability one half. Other columns are ignored, and texts may be of any
+    length that a task can hold. There are as many buckets as blocks, up to ``most_buckets``; a bucket reads some 10 MB for
+    each time that the blocks outnumber them.
     """
     if not 2 <= depth <= 5:
         raise ValueError("depth is 2 to 5")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = written(picked.mapInArrow(_pack(block_bytes), BLOCK), "blocks")
-    shards = min(4096, max(16, blocks.count()))
-    asked = blocks.mapInArrow(_ask(depth, shards), ASKED)
-    merged = written(asked.groupBy("kind", "shard").applyInArrow(_merge(depth), SHARD), "shards")
-    totals = {r.kind: r for r in merged.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("vocabulary").alias("vocabulary")).collect()}
-    tokens, vocabulary = (sum(r[c] for r in totals.values()) for c in ("tokens", "vocabulary"))
-    ends = totals["ends"].tokens if "ends" in totals else 0
-    above = merged.where("kind = 'bytes'").select("top").mapInArrow(_top_rows, "node long, n0 double, n1 double, lw double")
-    top = Top(above.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "lw")]).collect())
-    answers = merged.select("kind", "shard", "blocks", "wanted", "model").mapInArrow(_answer(top), ANSWER)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, shards, tokens, vocabulary, ends), SCORED)
+    n_blocks = blocks.count()
+    buckets, shards = min(most_buckets, max(16, n_blocks)), min(most_shards, max(16, n_blocks))
+    asked = blocks.mapInArrow(_ask(depth, buckets), ASKED)
+    counted = written(asked.groupBy("kind", "bucket").applyInArrow(_count(shards), COUNTED), "counted")
+    ends = blocks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
+    sums = counted.agg(F.sum("tokens").alias("tokens"), F.sum("vocabulary").alias("vocabulary")).first()
+    tokens, vocabulary = (sums.tokens or 0) + ends, (sums.vocabulary or 0) + (ends > 0)
+    weighed = counted.where("shard is not null").select("shard", "bucket", "keys", "counts").groupBy("shard").applyInArrow(_weigh_shard(depth), SHARD)
+    weighed = written(weighed, "shards")
+    top = Top(weighed.select("top").mapInArrow(_top_rows, "node long, n0 double, n1 double, lw double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "lw")]).collect())
+    values = weighed.select("shard", "buckets", "places", "model").mapInArrow(_values(top), VALUES)
+    wanted = counted.where("block is not null").select("kind", "bucket", "block", "wanted")
+    answers = wanted.where("kind = 'bytes'").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_answer, ANSWER)
+    answers = answers.unionByName(wanted.where("kind = 'words'").select("block", "kind", "bucket", F.col("wanted").alias("answer")))
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, buckets, tokens, vocabulary, ends), SCORED)

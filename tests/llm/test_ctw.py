@@ -92,6 +92,21 @@ def test_edges(spark):
     assert math.isclose(r.score, 5 * 8 * math.log10(0.5), rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("buckets,shards", [(1, 1), (3, 2), (64, 7)])
+def test_hot_pair_long_text_and_other_columns(spark, buckets, shards):
+    """One two-byte pair fills most texts, one text is long, and columns are named like those of the intermediate tables."""
+    rows = [*((i, "ab" * 50) for i in range(20)), (20, "ab" * 3000), (21, "ba ab the ab"), (22, None), (23, "\u00e9\u4e2d " * 7)]
+    docs = spark.createDataFrame([(*r, "x", 1, b"y") for r in rows], "doc_id long, text string, kind string, bucket int, block binary").repartition(3)
+    same(ctw.score_documents(docs, 5, 500, most_buckets=buckets, most_shards=shards).collect(), slow_scores(rows, 5))
+
+
+def test_buckets_split_what_shards_hold():
+    """A pair's strings are one shard and many buckets."""
+    keys = np.arange(1 << 12, dtype=np.uint64) << np.uint64(24) | np.uint64(0x652000)
+    assert len(set(ctw.shard_of(keys, 512))) == 1
+    assert np.bincount(ctw.bucket_of(keys, 16).astype(int), minlength=16).max() < 2 * len(keys) / 16
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 7.5, 8, 100.5, 1e9])
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-9)
