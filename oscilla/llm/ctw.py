@@ -141,7 +141,7 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: int):
 
 
 def byte_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context << 8 | byte) of every byte of every text and of a closing zero byte, zeros before the text; and the text's number."""
+    """(context << 8 | byte) of every byte of every text and of a closing zero byte, zeros before the text; and the text's number (of 65,536 texts at most)."""
     pad = b"\0" * depth
     data = np.frombuffer(b"".join(x for t in texts for x in (pad, t, b"\0")), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + depth + 1
@@ -153,7 +153,7 @@ def byte_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(sizes) - sizes
     for j in range(depth):
         coded[starts + j] = False
-    return keys[coded], np.repeat(np.arange(len(texts)), sizes - depth)
+    return keys[coded], np.repeat(np.arange(len(texts), dtype=np.uint16), sizes - depth)
 
 
 def _dealt(numbers: np.ndarray, parts: int) -> np.ndarray:
@@ -210,13 +210,15 @@ def _texts(sizes, data: bytes) -> list[bytes]:
 
 
 def _distinct_keys(keys: np.ndarray, marks: np.ndarray, buckets: int):
-    """Distinct keys and the marked count of each, by bucket: (bucket, keys, counts). Six-byte keys leave room for the mark."""
-    both = (keys << np.uint64(1)) | marks
-    both.sort()
-    own = both >> np.uint64(1)
-    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-    counts = np.add.reduceat((both & np.uint64(1)).astype(np.int64), first)
-    own = own[first]
+    """Distinct keys and the marked count of each, by bucket: (bucket, keys, counts). Six-byte keys leave room for the mark; they are changed in place."""
+    keys <<= np.uint64(1)
+    keys |= marks
+    keys.sort()
+    marks = (keys & np.uint64(1)).astype(bool)
+    keys >>= np.uint64(1)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    counts = np.add.reduceat(marks, first, dtype=np.int64)
+    own = keys[first]
     bucket = bucket_of(own, buckets)
     return [(int(bucket[g[0]]), own[g], counts[g]) for g in _parts(bucket)]
 
@@ -236,7 +238,7 @@ def _ask(depth: int, buckets: int):
             for block, held, sizes, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 texts, rows = _texts(sizes, data), []
                 keys, number = byte_keys(texts, depth)
-                marks = (~np.array(held, bool)).astype(np.uint64)[number]
+                marks = (~np.array(held, bool))[number]
                 for bucket, own, counts in _distinct_keys(keys, marks, buckets):
                     rows.append(("bytes", bucket, block, pack_sorted(own), pack_array(counts.astype(np.uint32))))
                 del keys, number, marks
@@ -385,18 +387,22 @@ def _score(depth: int, buckets: int, tokens: int, vocabulary: int, ends: int):
             texts = _texts(sizes, data)
             keys, number = byte_keys(texts, depth)
             # six-byte keys and the text's number share one integer: a plain sort brings equal keys together
-            both = (keys << np.uint64(16)) | number.astype(np.uint64)
-            both.sort()
-            keys = both >> np.uint64(16)
-            number = (both & np.uint64(0xFFFF)).astype(np.int64)
+            keys <<= np.uint64(16)
+            keys |= number
+            keys.sort()
+            number = (keys & np.uint64(0xFFFF)).astype(np.uint16)
+            keys >>= np.uint64(16)
             first = np.concatenate(([True], keys[1:] != keys[:-1]))
-            place, own = np.cumsum(first) - 1, keys[first]
+            own = keys[first]
+            del keys
             bucket = bucket_of(own, buckets)
             logs = np.empty(len(own), np.float64)
             for g in _parts(bucket):
                 logs[g] = unpack_array(got["bytes", int(bucket[g[0]])], np.float32)
+            place = np.cumsum(first, dtype=np.int32)
+            place -= 1
             scores = np.bincount(number, weights=logs[place], minlength=len(texts))
-            del both, keys, number, first, place
+            del number, first, place, own, logs
             logs_of, unknown = {}, set()
             split = [t.split() for t in texts]
             for s, words in _words_by_bucket(set().union(*split), buckets).items():
