@@ -40,7 +40,7 @@ def _byte_letters() -> dict[int, int]:
 class WordEncoder:
     """Only for tokenizers that lower-case, split at white space and drop it."""
 
-    def __init__(self, path: str, room: int = 1_300_000):
+    def __init__(self, path: str, room: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
