@@ -10,10 +10,6 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-#: The white space that separates words in every contract here: \x20 and \x09 to \x0D (what ``bytes.split()`` uses).
-SPACE = r"[\x20\x09-\x0D]+"
-
-
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="oscilla-")

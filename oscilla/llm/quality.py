@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import written
 
 # The commonest function words of each reference language.
 COMMON = {
@@ -59,7 +59,11 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keep = [F.col(f"`{c}`") for c in docs.columns]
     t = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
     lines = F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    t = t.select(*keep, "__t", F.array_remove(F.split("__t", SPACE), "").alias("__w"), lines.alias("__l"), F.array_remove(F.split(F.lower("__t"), r"\P{L}+"), "").alias("__k"))
+    # every space as \x20: a split at one plain character needs no pattern
+    plain = F.col("__t")
+    for c in "\t\n\v\f\r":
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    t = t.select(*keep, "__t", F.array_remove(F.split(plain, " "), "").alias("__w"), lines.alias("__l"), F.array_remove(F.split(F.lower("__t"), r"\P{L}+"), "").alias("__k"))
     # each class is counted by what is left when it is taken out
     at = F.col("__t")
     for i, pattern in enumerate(CLASSES.values()):
@@ -68,8 +72,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n = len(CLASSES)
     sizes = [F.length("__t"), *[F.length(f"__c{i}") for i in range(n)]]
     classes = F.array(*[(sizes[i] - sizes[i + 1]).cast("long") for i in range(n)], sizes[n].cast("long"))
-    t = t.withColumn("__classes", classes).withColumn("__symbols", F.regexp_count("__t", F.lit(r"[#*$%&|<>]")).cast("long"))
-    t = t.withColumn("__chars", F.length(F.regexp_replace("__t", SPACE, "")).cast("long"))
+    # no other class holds a space or a symbol, so these two count all of them
+    names = list(CLASSES)
+    t = t.withColumn("__classes", classes).withColumn("__symbols", F.get("__classes", F.lit(names.index("symbol"))))
+    t = t.withColumn("__chars", F.length("__t").cast("long") - F.get("__classes", F.lit(names.index("space"))))
     t = t.withColumn("__dups", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
     t = t.select(*keep, "__w", "__k", "__classes", "__symbols", "__chars", "__dups", _windows(F.col("__w")).alias("__h"))
     t = t.withColumn("__h", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.col("__h")).otherwise(F.array().cast("array<bigint>")))
