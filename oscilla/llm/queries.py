@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctw, decontaminate, lines, orcids, packing, quality, simhash, warc, wordpiece
+from . import chat, ctw, decontaminate, lines, orcids, packing, phrases, quality, simhash, warc, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orcids.orc_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ctw": op1_ctw,
     "op2_lines": op2_lines,
@@ -62,5 +66,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_orc": op10_orc,
+    "op11_phrases": op11_phrases,
 }
-ORACLE: dict[str, str] = {"op2_lines": lines.REPORT_SQL, "op4_quality": quality.report_sql(), "op7_chat": chat.REPORT_SQL}
+ORACLE: dict[str, str] = {"op2_lines": lines.REPORT_SQL, "op4_quality": quality.report_sql(), "op7_chat": chat.REPORT_SQL, "op11_phrases": phrases.REPORT_SQL}
