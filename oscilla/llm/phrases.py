@@ -280,7 +280,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
 REPORT_SQL = rf"""
 with base as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 pieces as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as p from base),
-words as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), x -> x <> '') as w from pieces),
+words as (select lang, [x for x in regexp_split_to_array(p, '[\x20\x09]+') if x <> ''] as w from pieces),
 total as (select lang, sum(len(w)) as n from words group by lang),
 grams as ({" union all ".join(f"select lang, {k} as k, unnest([array_to_string(w[i:i + {k - 1}], ' ') for i in range(1, len(w) - {k - 2})]) as phrase from words where len(w) >= {k}" for k in range(1, MAX_WORDS + 1))}),
 f as (select lang, k, phrase, count(*) as a from grams group by lang, k, phrase having count(*) >= {MIN_COUNT}),
