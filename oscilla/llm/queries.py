@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctw, decontaminate, lines, negatives, orcids, packing, phrases, quality, simhash, warc, wordpiece
+from . import chat, ctw, decontaminate, languages, lines, negatives, orcids, packing, phrases, quality, simhash, warc, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.document_languages(_table(spark, sf_dir, "documents"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_orc": op10_orc,
     "op11_phrases": op11_phrases,
+    "op12_languages": op12_languages,
     "op13_negatives": op13_negatives,
 }
 ORACLE: dict[str, str] = {"op2_lines": lines.REPORT_SQL, "op4_quality": quality.report_sql(), "op7_chat": chat.REPORT_SQL, "op11_phrases": phrases.REPORT_SQL, "op13_negatives": negatives.REPORT_SQL}
