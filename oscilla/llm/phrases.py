@@ -28,7 +28,7 @@ MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 SAMPLE, SAMPLE_COUNT = 8, 4
 TABLE_BITS = 26
 #: Bytes of text that a task takes at a time.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Parts by which the phrases of one language are ranked before the last ranking.
 PARTS = 64
 
