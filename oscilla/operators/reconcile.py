@@ -37,6 +37,18 @@ def metadata_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, F.explode(diffs).alias("field"))
 
 
+def header_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, a, b) of every element of two headers' XML (keys, path, value) that differs; null on the side that has none.
+
+    Repeated elements, as channels are, are matched by their number in the path, so the tables may be nested as deep as they
+    like. Empty elements are as if not there. No rows for a key that only one side has: stream_diff() tells these.
+    """
+    side = lambda d, name: d.where("value <> ''").select(*keys, "path", F.col("value").alias(name))
+    both = a.select(*keys).distinct().join(b.select(*keys).distinct(), keys)
+    j = side(a, "a").join(side(b, "b"), [*keys, "path"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    return j.join(both, keys, "left_semi").select(*keys, "path", "a", "b")
+
+
 def steps(samples: DataFrame, piece: int = 1 << 20) -> DataFrame:
     """Pairs (stream_key, t_us, next_us) of samples that arrive one after the other; a long stream is cut into pieces of ``piece`` sequence numbers."""
     paired = previous(samples.select("stream_key", "seq", "t_us"), ["stream_key"], ["seq"], ["t_us"], piece)

@@ -1,13 +1,10 @@
-"""Recordings: tables of raw samples as partitioned Parquet, marker exports, and bulk reading of chunked containers."""
+"""Recordings: tables of raw samples as partitioned Parquet, and marker exports. Containers are read by sources/containers.py."""
 
 from __future__ import annotations
 
-import struct
 import tempfile
 import uuid
-import xml.etree.ElementTree as ET
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +42,10 @@ def recording_summary(samples: DataFrame) -> DataFrame:
 
 def marker_lines(markers: DataFrame) -> DataFrame:
     """time, dt, dt_same as text with six decimals (empty if there is none) and value in quotes, for a CSV file."""
-    six = lambda c: F.coalesce(F.format_string("%.6f", F.col(c) / 1e6), F.lit(""))
+    six = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.6f", F.col(c) / 1e6))
     d = marker_dt(markers)
     quoted = F.concat(F.lit('"'), F.replace(F.coalesce("label", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    return d.select("stream_key", "seq", "t_us", six("t_us").alias("time"), F.when(F.col("dt_us").isNull(), "").otherwise(six("dt_us")).alias("dt"), F.when(F.col("dt_same_us").isNull(), "").otherwise(six("dt_same_us")).alias("dt_same"), quoted.alias("value"))
+    return d.select("stream_key", "seq", "t_us", six("t_us").alias("time"), six("dt_us").alias("dt"), six("dt_same_us").alias("dt_same"), quoted.alias("value"))
 
 
 def write_marker_csv(markers: DataFrame, path: str) -> None:
@@ -56,108 +53,3 @@ def write_marker_csv(markers: DataFrame, path: str) -> None:
     lines = marker_lines(markers).select(F.lit(1).alias("place"), "t_us", "stream_key", "seq", F.concat_ws(",", "time", "dt", "dt_same", "value").alias("line"))
     head = markers.sparkSession.createDataFrame([(0, "time,dt,dt_same,value")], "place int, line string")
     lines.unionByName(head, allowMissingColumns=True).orderBy("place", "t_us", "stream_key", "seq").select("line").write.mode("overwrite").text(path)
-
-
-# Fixed values of the container: tags that carry a stream id, and the sample formats.
-WITH_STREAM = {2, 3, 4, 6}
-FORMATS = {"float32": "<f4", "double64": "<f8", "int8": "<i1", "int16": "<i2", "int32": "<i4", "int64": "<i8"}
-CHUNKS = "file string, position long, tag int, stream_id long, content binary"
-
-
-def _chunks(content: bytes):
-    if content[:4] != b"XDF:":
-        raise ValueError("not a container: the magic bytes are missing")
-    at = 4
-    while at < len(content):
-        width = content[at]
-        size = int.from_bytes(content[at + 1 : at + 1 + width], "little")
-        start = at + 1 + width
-        tag = struct.unpack_from("<H", content, start)[0]
-        yield at, tag, content[start + 2 : start + size]
-        at = start + size
-
-
-def read_chunks(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per chunk of every container that matches: file, position, tag, stream_id (null where the tag has none) and content."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                for at, tag, body in _chunks(bytes(content)):
-                    own = tag in WITH_STREAM
-                    rows.append((file, at, tag, struct.unpack_from("<I", body)[0] if own else None, body[4:] if own else body))
-            import pandas as pd
-
-            yield pd.DataFrame(rows, columns=["file", "position", "tag", "stream_id", "content"]).astype({"stream_id": "Int64"})
-
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, CHUNKS)
-
-
-def stream_headers(chunks: DataFrame) -> DataFrame:
-    """(file, stream_id, name, type, source_id, channel_count, channel_format, nominal_srate) from the headers' XML."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for file, sid, content in zip(pdf["file"], pdf["stream_id"], pdf["content"], strict=True):
-                info = ET.fromstring(bytes(content))
-                get = lambda k, info=info: info.findtext(k) or ""
-                out.append((file, sid, get("name"), get("type"), get("source_id"), int(get("channel_count") or 0), get("channel_format"), float(get("nominal_srate") or 0)))
-            import pandas as pd
-
-            yield pd.DataFrame(out, columns=["file", "stream_id", "name", "type", "source_id", "channel_count", "channel_format", "nominal_srate"])
-
-    return chunks.where("tag = 2").select("file", "stream_id", "content").mapInPandas(run, "file string, stream_id long, name string, type string, source_id string, channel_count int, channel_format string, nominal_srate double")
-
-
-def _sized(content: bytes, at: int) -> tuple[int, int]:
-    width = content[at]
-    return int.from_bytes(content[at + 1 : at + 1 + width], "little"), at + 1 + width
-
-
-def stream_samples(chunks: DataFrame, headers: DataFrame) -> DataFrame:
-    """(file, stream_id, position, n, t, channel, value, text): samples in order of position and n; t is null where the chunk leaves it to the rate."""
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for file, sid, position, content, count, form in zip(pdf["file"], pdf["stream_id"], pdf["position"], pdf["content"], pdf["channel_count"], pdf["channel_format"], strict=True):
-                content = bytes(content)
-                n, at = _sized(content, 0)
-                for i in range(n):
-                    t, at = (struct.unpack_from("<d", content, at + 1)[0], at + 9) if content[at] == 8 else (None, at + 1)
-                    for c in range(count):
-                        if form == "string":
-                            size, at = _sized(content, at)
-                            rows.append((file, sid, position, i, t, c, None, content[at : at + size].decode("utf-8", "replace")))
-                            at += size
-                        else:
-                            kind = np.dtype(FORMATS[form])
-                            rows.append((file, sid, position, i, t, c, float(np.frombuffer(content, kind, 1, at)[0]), None))
-                            at += kind.itemsize
-            yield pd.DataFrame(rows, columns=["file", "stream_id", "position", "n", "t", "channel", "value", "text"])
-
-    joined = chunks.where("tag = 3").join(headers.select("file", "stream_id", "channel_count", "channel_format"), ["file", "stream_id"])
-    return joined.select("file", "stream_id", "position", "content", "channel_count", "channel_format").mapInPandas(run, "file string, stream_id long, position long, n int, t double, channel int, value double, text string")
-
-
-def stream_offsets(chunks: DataFrame) -> DataFrame:
-    """(file, stream_id, collected, offset) in seconds."""
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            yield pd.DataFrame([(f, s, *struct.unpack_from("<dd", bytes(c))) for f, s, c in zip(pdf["file"], pdf["stream_id"], pdf["content"], strict=True)], columns=["file", "stream_id", "collected", "offset"])
-
-    return chunks.where("tag = 4").select("file", "stream_id", "content").mapInPandas(run, "file string, stream_id long, collected double, offset double")
-
-
-def ingest_recordings(spark: SparkSession, glob: str) -> dict[str, DataFrame]:
-    """The tables of all containers that match: chunks, streams, samples, clock_offsets. A task reads a file; split files above 2 GB before."""
-    chunks = read_chunks(spark, glob)
-    headers = stream_headers(chunks)
-    return {"chunks": chunks, "streams": headers, "samples": stream_samples(chunks, headers), "clock_offsets": stream_offsets(chunks)}

@@ -1,44 +1,11 @@
-import struct
-
-import numpy as np
 from pyspark.sql import functions as F
 
 from oscilla.operators import condition as c
-from oscilla.operators import decimate, reconcile
+from oscilla.operators import decimate
 from oscilla.sources import recording
 from oscilla.streaming import live
 
 
-def chunk(tag, body):
-    size = len(body) + 2
-    return b"\x04" + struct.pack("<IH", size, tag) + body
-
-
-def container(stream_id, form, samples):
-    """A file with one stream: header, one chunk of (time or None, values) samples, a clock offset and a footer."""
-    n = len(samples[0][1])
-    xml = f"<info><name>S{stream_id}</name><type>EEG</type><source_id>src</source_id><channel_count>{n}</channel_count><nominal_srate>100</nominal_srate><channel_format>{form}</channel_format></info>"
-    sid = struct.pack("<I", stream_id)
-    body = b"\x01" + bytes([len(samples)])
-    for t, vs in samples:
-        body += b"\x00" if t is None else b"\x08" + struct.pack("<d", t)
-        for v in vs:
-            body += b"\x01" + bytes([len(v.encode())]) + v.encode() if form == "string" else np.array([v], recording.FORMATS[form]).tobytes()
-    return b"XDF:" + chunk(1, b"<info/>") + chunk(2, sid + xml.encode()) + chunk(3, sid + body) + chunk(4, sid + struct.pack("<dd", 5.5, 0.25)) + chunk(5, b"\0" * 16) + chunk(6, sid + b"<info/>")
-
-
-def test_containers_are_read_back(spark, tmp_path):
-    (tmp_path / "a.xdf").write_bytes(container(7, "int16", [(1.0, [1, -2]), (None, [3, 4])]))
-    (tmp_path / "b.xdf").write_bytes(container(8, "string", [(2.0, ["left, é"]), (2.5, [""])]))
-    t = recording.ingest_recordings(spark, f"file://{tmp_path}/*.xdf")
-    got = sorted((r.stream_id, r.n, r.t, r.channel, r.value, r.text) for r in t["samples"].collect())
-    assert got == [(7, 0, 1.0, 0, 1.0, None), (7, 0, 1.0, 1, -2.0, None), (7, 1, None, 0, 3.0, None), (7, 1, None, 1, 4.0, None), (8, 0, 2.0, 0, None, "left, é"), (8, 1, 2.5, 0, None, "")]
-    assert {(r.stream_id, r.name, r.channel_count, r.nominal_srate) for r in t["streams"].collect()} == {(7, "S7", 2, 100.0), (8, "S8", 1, 100.0)}
-    assert {(r.collected, r.offset) for r in t["clock_offsets"].collect()} == {(5.5, 0.25)}
-    checks = reconcile.check_structure(reconcile.chunk_inventory(t["chunks"])).collect()
-    assert len(checks) == 2 and all(r.ok for r in checks)
-
-
 def samples(spark, n=1000):
     return spark.range(n).select(F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("stream_key"), F.lit(0).alias("channel"), F.expr("id div 3").alias("idx"), F.col("id").alias("seq"), (F.col("id") * 1000).alias("t_us"), F.sin("id").alias("value"))
 
