@@ -1,12 +1,13 @@
-"""Collocations by Toivonen's method: a sample proposes frequent phrases, one pass over all texts counts these and their border.
+"""Collocations by Toivonen's method: a sample proposes frequent phrases, a pass over all texts bounds these and their border, another counts.
 
 A phrase can be frequent only if it is so without its last and without its first word. The sample's frequent phrases, by a
-lowered count, are the proposal; its negative border are all phrases that are not proposed though both shorter ones are. The
-full pass counts both exactly. A frequent phrase of the border shows that the sample fell short: it joins the proposal, and a
-further pass counts what this adds to the border, until no such phrase is left. So the result never depends on the sample.
+lowered count, are the proposal; its negative border are all phrases that are not proposed though both shorter ones are. The first full pass
+counts both in buckets by a hash of the phrase, so that a bucket's sum is at least the count of each phrase in it. A border phrase whose
+bucket reaches the least count shows that the sample may have fallen short. The second full pass counts, phrase by phrase, all that stands in such buckets and,
+for whatever was not proposed, what grows from it at every length, so that one such pass closes the border. The result never depends on the sample or the hash.
 
-A task tells whether a phrase is proposed by a table of bits of one fixed size. Two phrases may share a bit; then more is
-counted than the border, and what is counted is still exact. Counts are held by the phrase itself, not by a hash of it.
+Tasks are told what is proposed, and which buckets are full, by tables of bits whose size is fixed by that of the sample (2 ** MOST_BITS at
+most). Phrases that share a bit are counted for nothing; what is counted is exact.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
+from .common import pack_array, pack_sorted, text_bytes, unpack_array, unpack_sorted, written
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: One text in so many is in the sample, where a phrase met so often is proposed.
 SAMPLE, SAMPLE_COUNT = 8, 4
-TABLE_BITS = 26
-#: Bytes of text that a task takes at a time.
-BLOCK = 1 << 20
+#: Tables of bits have one for each so many bytes of the sample, within bounds; buckets are told by BUCKET_BITS bits of a hash.
+BYTES_A_BIT, LEAST_BITS, MOST_BITS, BUCKET_BITS = 4, 16, 30, 40
+#: Bytes of text that a task takes at a time, buckets that it gathers before it tells them, and bytes of text a shard of the buckets.
+BLOCK, HELD, BYTES_A_SHARD, MOST_SHARDS = 1 << 20, 1 << 21, 1 << 18, 1 << 16
 #: Parts by which the phrases of one language are ranked before the last ranking.
 PARTS = 64
 
@@ -54,16 +56,23 @@ def _digests(values: list[bytes]) -> np.ndarray:
 
 
 class Bits:
-    """A set of phrases by one bit each, of 2 ** bits."""
+    """A set of buckets by one bit each, of a power of two."""
 
     def __init__(self, words: np.ndarray):
         self.words, self.shift = words, np.uint64(64 - (len(words).bit_length() + 5))
 
-    def has(self, h: np.ndarray) -> np.ndarray:
-        slot = (h * _TIMES) >> self.shift
+    def slots(self, bucket: np.ndarray) -> np.ndarray:
+        return (bucket * _TIMES) >> self.shift
+
+    def has(self, bucket: np.ndarray) -> np.ndarray:
+        slot = self.slots(bucket)
         return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)) > 0
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - BUCKET_BITS)
+
+
 def _blocks(langs: list[str], texts: list[bytes], words: int, size: int) -> Iterator[tuple[list[str], list[bytes], list[int]]]:
     """Texts of some ``size`` bytes together, each with the number of its bytes where a counted phrase may begin.
 
@@ -136,110 +145,144 @@ class Words:
         return ids, [pa.RecordBatch.from_arrays([pa.array(self.langs, pa.string()).take(pa.array(self.lang[first])), self.spans(first, words), pa.array(n[n > 0])], names=["lang", "phrase", "n"])]
 
 
-def _language_hash(langs: list[str]) -> np.ndarray:
-    return _digests([x.encode() for x in langs])
+def _first_level(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    lang = _digests([x.encode() for x in w.langs])
+    return np.arange(len(w.start)), _mixed(lang[w.lang], w.hash)
+
+
+def _longer(w: Words, places: np.ndarray, good: np.ndarray, words: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where phrases of so many words begin both of whose shorter ones (at ``places``, with hashes h) are good, and their hashes. good: by word."""
+    longer = places[good[places] & good[places + 1]]
+    longer = longer[longer + words <= len(w.start)]
+    longer = longer[w.piece[longer] == w.piece[longer + words - 1]]
+    return longer, _mixed(h[np.searchsorted(places, longer)], w.hash[longer + words - 1])
+
+
+def _by_word(w: Words, places: np.ndarray, values: np.ndarray, kind=bool) -> np.ndarray:
+    out = np.zeros(len(w.start) + 1, kind)
+    out[places] = values
+    return out
+
 
+def _buckets(w: Words, proposed: Bits | None, least: int, most: int) -> Iterator[np.ndarray]:
+    """Buckets of all phrases of ``least`` to ``most`` words that begin here and whose shorter ones are proposed."""
+    places, h = _first_level(w)
+    for words in range(1, most + 1):
+        if words > 1:
+            places, h = _longer(w, places, _by_word(w, places, proposed.has(_bucket(h))), words, h)
+        if words >= least:
+            yield _bucket(h[w.own[places]])
 
-def _counts(w: Words, proposed: Bits | None, before: Bits | None, most: int, from_level: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of ``from_level`` to ``most`` words whose two shorter ones are proposed, without those for which they were so before."""
-    if not len(w.start):
-        return
-    every = np.arange(len(w.start))
-    h = _mixed(_language_hash(w.langs)[w.lang], w.hash)
+
+def _exact(w: Words, proposed: Bits, full: Bits, most: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases in full buckets, and of all phrases that were not met by the first pass as a shorter one was not proposed; '' counts words."""
+    places, h = _first_level(w)
     total = np.bincount(w.lang[w.own], minlength=len(w.langs))
-    first = from_level == 1
-    ids, rows = w.counted(every, (w.lang << 32 | w.code).astype(np.uint64), 1, np.full(len(every), first))
-    if first:
-        yield pa.RecordBatch.from_arrays([pa.array(w.langs, pa.string()), pa.array([""] * len(w.langs)), pa.array(total)], names=["lang", "phrase", "n"])
-        yield from rows
-    if proposed is None:
-        return
-    places, met = every, np.ones(len(every), bool)
-    for words in range(2, most + 1):
-        # by place in the block: the phrase of one word less that begins there, whether it is proposed, and whether it was so (and was met) before
-        number, good, old = np.zeros(len(every) + 1, np.uint64), np.zeros(len(every) + 1, bool), np.zeros(len(every) + 1, bool)
-        number[places], good[places] = ids.astype(np.uint64), proposed.has(h)
-        if before is not None:
-            old[places] = met & before.has(h)
-        longer = places[good[places] & good[places + 1]]
-        longer = longer[longer + words <= len(every)]
-        longer = longer[w.piece[longer] == w.piece[longer + words - 1]]
-        if not len(longer):
+    yield pa.RecordBatch.from_arrays([pa.array(w.langs, pa.string()), pa.array([""] * len(w.langs)), pa.array(total)], names=["lang", "phrase", "n"])
+    keys, met = (w.lang << 32 | w.code).astype(np.uint64), np.ones(len(places), bool)
+    for words in range(1, most + 1):
+        if words > 1:
+            before = _by_word(w, places, met & proposed.has(_bucket(h)))
+            number = _by_word(w, places, ids, np.uint64)
+            places, h = _longer(w, places, _by_word(w, places, good), words, h)
+            met = before[places] & before[places + 1]
+            # a phrase is told by its words but for the last and its words but for the first
+            keys = number[places] << np.uint64(32) | number[places + 1]
+        if not len(places):
             return
-        h = _mixed(h[np.searchsorted(places, longer)], w.hash[longer + words - 1])
-        # a phrase is told by its words but for the last and its words but for the first
-        keys = number[longer] << np.uint64(32) | number[longer + 1]
-        places, met = longer, old[longer] & old[longer + 1]
-        ids, rows = w.counted(places, keys, words, ~met & (words >= from_level))
+        good = ~met | full.has(_bucket(h))
+        ids, rows = w.counted(places, keys, words, good)
         yield from rows
 
 
-def count_phrases(texts: DataFrame, proposed=None, before=None, most: int = MAX_WORDS, from_level: int = 1, block: int = BLOCK) -> DataFrame:
-    """(lang, phrase, n) over all rows of texts (lang, text). The phrase '' counts all words. proposed, before: broadcast tables of bits."""
+def _worked(texts: DataFrame, block: int, work, schema: str) -> DataFrame:
+    """work(stream of Words) for each task's texts (lang, text)."""
 
     def run(batches):
-        new, old = (Bits(x.value) if x is not None else None for x in (proposed, before))
-        for b in batches:
-            for langs, raw, room in _blocks(b.column(0).to_pylist(), text_bytes(b.column(1)), MAX_WORDS, block):
-                yield from _counts(Words(langs, raw, room), new, old, most, from_level)
-
-    return texts.select("lang", "text").mapInArrow(run, COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        parts = (x for b in batches for x in _blocks(b.column(0).to_pylist(), text_bytes(b.column(1)), MAX_WORDS, block))
+        yield from work(w for w in (Words(*x) for x in parts) if len(w.start))
 
+    return texts.select("lang", "text").mapInArrow(run, schema)
 
-def phrase_hashes(langs: list[str], phrases: list[bytes]) -> np.ndarray:
-    """What _counts works out for each phrase."""
-    out, split = np.zeros(len(phrases), np.uint64), [p.split(b" ") for p in phrases]
-    lang = _language_hash(langs) if langs else out
-    for k in range(max(map(len, split), default=0)):
-        at = np.array([i for i, ws in enumerate(split) if len(ws) > k], np.int64)
-        out[at] = _mixed(lang[at] if k == 0 else out[at], _digests([split[i][k] for i in at.tolist()]))
-    return out
 
+def bucket_sums(texts: DataFrame, proposed, words: tuple[int, int], least: int, shards: int, block: int) -> DataFrame:
+    """(bucket, n) of the buckets that ``least`` phrases or more stand in, of those from words[0] to words[1] long whose shorter ones are proposed.
 
-def table_of(found: DataFrame, bits: int, known: np.ndarray | None = None) -> np.ndarray | None:
-    """A table of 2 ** bits bits, 64 a word, of the phrases found (lang, phrase) and those known; None where all are known. The driver gets the table's words only."""
-    shift = np.uint64(64 - bits)
-    have = Bits(known) if known is not None else None
+    Tasks tell their buckets by shard, as sorted arrays: a few bytes a phrase.
+    """
+    upper = np.uint64(BUCKET_BITS - (shards.bit_length() - 1))
+
+    def told(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        shard, first = np.unique(keys >> upper, return_index=True)
+        cut = [slice(a, b) for a, b in zip(first, np.append(first[1:], len(keys)), strict=True)]
+        for at in range(0, len(cut), 512):
+            some = cut[at : at + 512]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[at : at + 512].astype(np.int32)), pa.array([pack_sorted(keys[x]) for x in some], pa.binary()), pa.array([pack_array(n[x].astype(np.uint32)) for x in some], pa.binary())], names=["shard", "keys", "counts"])
+
+    def work(stream):
+        new = Bits(proposed.value) if proposed is not None else None
+        held, size = [], 0
+        for w in stream:
+            for keys in _buckets(w, new, *words):
+                held.append(keys)
+                size += len(keys)
+            if size >= HELD:
+                yield from told(held)
+                held, size = [], 0
+        if size:
+            yield from told(held)
+
+    def summed(key, t):
+        keys = np.concatenate([unpack_sorted(x) for x in t.column("keys").to_pylist()])
+        n = np.concatenate([unpack_array(x, np.uint32) for x in t.column("counts").to_pylist()]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, first = np.unique(keys[order], return_index=True)
+        n = np.add.reduceat(n[order], first)
+        return pa.table({"bucket": pa.array(keys[n >= least].view(np.int64)), "n": pa.array(n[n >= least])})
+
+    return _worked(texts, block, work, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(summed, "bucket long, n long")
+
+
+def table_of(buckets: DataFrame, bits: int, known: np.ndarray | None = None) -> np.ndarray:
+    """A table of 2 ** bits bits, 64 a word, of the buckets found and those known. The driver gets the table's words only."""
+    out = np.zeros(1 << bits - 6, np.uint64) if known is None else known.copy()
+    like = Bits(np.zeros(1 << bits - 6, np.uint64))
 
     def run(batches):
         for b in batches:
-            h = phrase_hashes(b.column(0).to_pylist(), text_bytes(b.column(1)))
-            if have is not None:
-                h = h[~have.has(h)]
-            slot = (h * _TIMES) >> shift
+            slot = like.slots(b.column(0).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], names=["word", "bit"])
 
-    new = found.select("lang", "phrase").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("taken")).toArrow()
-    if known is not None and not new.num_rows:
-        return None
-    out = np.zeros(1 << bits - 6, np.uint64) if known is None else known.copy()
+    new = buckets.select("bucket").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("taken")).toArrow()
     out[new.column("word").to_numpy()] |= new.column("taken").to_numpy().view(np.uint64)
     return out
 
 
-def frequent_phrases(texts: DataFrame, min_count: int = MIN_COUNT, most: int = MAX_WORDS, sample: int = SAMPLE, sample_count: int = SAMPLE_COUNT, bits: int = TABLE_BITS, block: int = BLOCK) -> DataFrame:
+def frequent_phrases(texts: DataFrame, min_count: int = MIN_COUNT, most: int = MAX_WORDS, sample: int = SAMPLE, sample_count: int = SAMPLE_COUNT, bits: int | None = None, block: int = BLOCK) -> DataFrame:
     """(lang, phrase, n) of all phrases of up to ``most`` words that occur ``min_count`` times or more in texts (lang, text, mark), and of '' by language.
 
-    The sample are rows whose mark is divisible by ``sample``; it decides how many passes there are, not what they find.
+    The sample are rows whose hashed mark is divisible by ``sample``; it decides how much work the passes are, not what they find.
     """
     send = texts.sparkSession.sparkContext.broadcast
-    part = written(texts.where(F.pmod(F.xxhash64("mark"), F.lit(sample)) == 0), "phrase-sample") if sample > 1 else texts
+    part = written(texts.where(F.pmod(F.xxhash64("mark"), F.lit(sample)) == 0), "phrase-sample")
+    size = part.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    bits = bits or min(max((size // BYTES_A_BIT).bit_length(), LEAST_BITS), MOST_BITS)
+    shards = lambda n: 1 << min(max((n // BYTES_A_SHARD).bit_length(), 4), MOST_SHARDS.bit_length() - 1)
     table = None
     for words in range(1, most):
-        counts = count_phrases(part, None if table is None else send(table), None, words, words, block)
-        more = table_of(counts.where((F.col("n") >= sample_count) & (F.col("phrase") != "")), bits, table)
-        if more is None:
-            break
-        table = more
-    frequent = lambda counts: written(counts.where((F.col("n") >= min_count) | (F.col("phrase") == "")), "phrases")
-    found = new = frequent(count_phrases(texts, send(table), None, most, 1, block))
-    while True:
-        fell_short = new.where((F.size(F.split("phrase", " ")) < most) & (F.col("phrase") != ""))
-        more = table_of(fell_short, bits, table)
-        if more is None:
-            return found
-        new = frequent(count_phrases(texts, send(more), send(table), most, 2, block))
-        found, table = found.unionByName(new), more
+        found = bucket_sums(part, None if table is None else send(table), (words, words), sample_count, shards(size), block)
+        table = table_of(found, bits, table)
+    proposed = send(table)
+    full = send(table_of(bucket_sums(texts, proposed, (1, most), min_count, shards(size * sample), block), bits))
+
+    def work(stream):
+        new, reached = Bits(proposed.value), Bits(full.value)
+        for w in stream:
+            yield from _exact(w, new, reached, most)
+
+    counts = _worked(texts, block, work, COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return written(counts.where((F.col("n") >= min_count) | (F.col("phrase") == "")), "phrases")
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", min_count: int = MIN_COUNT, most: int = MAX_WORDS, top: int = TOP, **how) -> DataFrame:

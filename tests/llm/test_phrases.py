@@ -47,7 +47,7 @@ def corpus(n=400):
     return [*rows, (1, None, "en"), (2, "", None), (3, " \n.", "fr"), (4, "a b " * 3000, "de"), (4, "a b " * 3000, "de")]
 
 
-@pytest.mark.parametrize("how", [{}, {"sample": 3, "sample_count": 9, "block": 700}, {"sample": 2, "sample_count": 10**6}, {"sample": 1, "sample_count": 20, "bits": 6, "block": 100}])
+@pytest.mark.parametrize("how", [{}, {"sample": 3, "sample_count": 9, "block": 700}, {"sample": 2, "sample_count": 10**6}, {"sample": 1, "sample_count": 20, "bits": 6, "block": 100}, {"sample": 2, "sample_count": 60}])
 def test_equals_counting_everything(spark, how):
     """With samples that propose much, little or nothing, tables of bits that say yes too often, and blocks shorter than a text."""
     rows = corpus()
