@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -61,45 +61,82 @@ def stft_columns(hop_seconds: float) -> int:
     return min(1500, max(30, int(120 / hop_seconds)))
 
 
-def stft(chunks: DataFrame, nfft: int, hop: int, fs: float, gaps: DataFrame | None = None) -> DataFrame:
-    """(stream_key, channel, end_idx, power): the window before each multiple of hop from nfft on; power is null for blanks.
-
-    Each chunk goes to its own id and, by its first nfft - 1 samples, to the one before; a window belongs to the chunk
-    of its first sample. Chunks are of one length (the last may be shorter) of at least nfft - 1 samples.
-    gaps (stream_key, at_idx, gap_samples): windows across one are left out and blanks are put after the last column before it.
-    """
+def _overlapped(chunks: DataFrame, nfft: int) -> DataFrame:
+    """(stream_key, channel, chunk_id, start_idx, n, more, values): each chunk with the first nfft - 1 samples of the next one; n is its own length."""
     head = chunks.select("stream_key", "channel", "chunk_id", "start_idx", "values", F.lit(True).alias("own"))
     lent = chunks.where("chunk_id > 0").select("stream_key", "channel", (F.col("chunk_id") - 1).alias("chunk_id"), "start_idx", F.slice("values", 1, nfft - 1).alias("values"), F.lit(False).alias("own"))
     paired = head.unionByName(lent).groupBy("stream_key", "channel", "chunk_id").agg(F.max_by("start_idx", "own").alias("start_idx"), F.max(F.col("own").cast("int")).alias("o"), F.max_by("values", "own").alias("a"), F.max(F.when(~F.col("own"), F.col("values"))).alias("b")).where("o = 1")
-    joined = paired.select("stream_key", "channel", "start_idx", F.size("a").alias("n"), F.col("b").isNotNull().alias("more"), F.concat("a", F.coalesce("b", F.array().cast("array<double>"))).alias("values"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema if f.name in ("stream_key", "channel"))
+    return paired.select("stream_key", "channel", "chunk_id", "start_idx", F.size("a").alias("n"), F.col("b").isNotNull().alias("more"), F.concat("a", F.coalesce("b", F.array().cast("array<double>"))).alias("values"))
+
+
+def _columns(joined: DataFrame, nfft: int, hop: int, fs: float) -> DataFrame:
+    """Powers of the windows of _overlapped() rows that begin in their chunk, by their parts (begin, limit): every hop from begin on, those that end by limit (null: none)."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in ("stream_key", "channel"))
 
     def run(batches):
         for b in batches:
-            for key, channel, start, n, more, values in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for key, channel, start, n, more, values, parts in zip(*(b.column(c).to_pylist() for c in ("stream_key", "channel", "start_idx", "n", "more", "values", "parts")), strict=True):
                 if more and n < nfft - 1:
                     raise ValueError(f"a chunk of {n} samples is too short for windows of {nfft}")
                 x = np.asarray(values, float)
-                first = max(0, -(-start // hop) * hop) - start
-                at = np.arange(first, min(n, len(x) - nfft + 1), hop)
-                if len(at):
-                    p = power(np.lib.stride_tricks.sliding_window_view(x, nfft)[at], fs)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(at)), pa.array([channel] * len(at), b.column(1).type), pa.array(start + at + nfft, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=["stream_key", "channel", "end_idx", "power"])
-
-    columns = joined.mapInArrow(run, f"{schema}, end_idx long, power array<double>")
-    if gaps is None:
-        return columns
-    small = gaps.select("stream_key", "at_idx", "gap_samples")
-    # a gap goes to the few windows that it cuts: those that begin before it and end after it
-    first = F.when(F.col("at_idx") < nfft, F.lit(0)).otherwise((F.expr(f"(at_idx - {nfft}) div {hop}") + 1) * hop).cast("long")
-    starts = F.when(first < F.col("at_idx"), F.sequence(first, F.col("at_idx").cast("long") - 1, F.lit(hop).cast("long")))
-    cut = small.select("stream_key", F.explode(F.transform(starts, lambda s: s + nfft)).alias("end_idx")).distinct()
-    whole = columns.join(cut, ["stream_key", "end_idx"], "left_anti").select("stream_key", "channel", "end_idx", "power")
-    blanks = small.withColumn("n", F.floor((F.col("gap_samples") + nfft) / hop + 0.5).cast("int")).where("n > 0")
-    lines = chunks.select("stream_key", "channel").distinct()
-    last = F.expr(f"at_idx div {hop} * {hop}")
-    empty = lines.join(blanks, "stream_key").select("stream_key", "channel", F.explode(F.sequence(F.lit(1), "n")).alias("k"), last.alias("end_idx")).select("stream_key", "channel", "end_idx", F.lit(None).cast("array<double>").alias("power"))
-    return whole.unionByName(empty)
+                for part in parts:
+                    first = part["begin"] + max(0, -(-(start - part["begin"]) // hop)) * hop
+                    last = start + min(n, len(x) - nfft + 1)
+                    at = np.arange(first, last if part["limit"] is None else min(last, part["limit"] - nfft + 1), hop) - start
+                    if len(at):
+                        p = power(np.lib.stride_tricks.sliding_window_view(x, nfft)[at], fs)
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(at)), pa.array([channel] * len(at), b.column("channel").type), pa.array(start + at + nfft, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=["stream_key", "channel", "end_idx", "power"])
+
+    return joined.select("stream_key", "channel", "start_idx", "n", "more", "values", "parts").mapInArrow(run, f"{schema}, end_idx long, power array<double>")
+
+
+def stft(chunks: DataFrame, nfft: int, hop: int, fs: float) -> DataFrame:
+    """(stream_key, channel, end_idx, power): the windows that begin at multiples of hop.
+
+    Each chunk goes to its own id and, by its first nfft - 1 samples, to the one before; a window belongs to the chunk
+    of its first sample. Chunks are of one length (the last may be shorter) of at least nfft - 1 samples.
+    """
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.lit(None).cast("long").alias("limit")))
+    return _columns(_overlapped(chunks, nfft).withColumn("parts", whole), nfft, hop, fs)
+
+
+def stft_through_gaps(chunks: DataFrame, anchors: DataFrame, gaps: DataFrame, nfft: int, hop: int, dt_us: int, chunk: int) -> DataFrame:
+    """(stream_key, channel, col, end_idx, t_us, power): the columns of each channel in order, with blanks (null end_idx and power) for dropouts.
+
+    No window holds samples of both sides of a gap, and none ends right at one: the first window after it begins with the first sample after it,
+    and windows go on from there by hop. In between stand int((gap + nfft dt) / hop + 0.5) blanks. A column's time is that just after its
+    window, in real time; a blank's is a hop after the column before it (the first sample's time, if there is none).
+    anchors: stream_key, t0_us; gaps: as detect_gaps() tells them; chunks hold ``chunk`` samples.
+    """
+    step = hop * dt_us
+    marks = gaps.join(anchors, "stream_key").select("stream_key", F.col("gap_no").cast("long").alias("seg"), F.round((F.col("old_us") - F.col("t0_us")) / dt_us).cast("long").alias("begin"), "cum_us", F.floor((F.col("gap_us") + nfft * dt_us) / F.lit(float(step)) + 0.5).cast("long").alias("blanks"))
+    zero = F.lit(0).cast("long")
+    starts = anchors.select("stream_key", zero.alias("seg"), zero.alias("begin"), zero.alias("cum_us"), zero.alias("blanks"))
+    segments = starts.unionByName(marks).withColumn("limit", F.lead("begin").over(Window.partitionBy("stream_key").orderBy("seg")) - 1)
+    # a part goes to the chunks that it touches
+    heads = chunks.groupBy("stream_key", "channel").agg(F.max(F.col("start_idx") + F.size("values")).alias("n"))
+    ends = heads.groupBy("stream_key").agg(F.max("n").alias("most"))
+    upto = F.coalesce("limit", F.col("most"))
+    touched = segments.join(ends, "stream_key").where(upto >= F.col("begin")).select("stream_key", "begin", "limit", F.explode(F.sequence(F.expr(f"begin div {chunk}"), (upto / chunk).cast("long"))).alias("chunk_id"))
+    parts = touched.groupBy("stream_key", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("begin", "limit"))).alias("parts"))
+    powers = _columns(_overlapped(chunks, nfft).join(parts, ["stream_key", "chunk_id"]), nfft, hop, 1e6 / dt_us)
+    # how many columns each part has, and what stands before it, from one row a part
+    line = Window.partitionBy("stream_key", "channel").orderBy("seg")
+    upto_here = line.rowsBetween(Window.unboundedPreceding, 0)
+    laid = heads.join(segments.join(anchors, "stream_key"), "stream_key").where(F.col("begin") < F.col("n"))
+    room = F.least(F.coalesce("limit", F.col("n")), F.col("n")) - F.col("begin") - nfft
+    laid = laid.withColumn("cols", F.when(room >= 0, F.floor(room / hop) + 1).otherwise(0)).withColumn("blank_sum", F.sum("blanks").over(upto_here))
+    newest = F.col("t0_us") + (F.col("begin") + nfft + (F.col("cols") - 1) * hop) * dt_us + F.col("cum_us")
+    laid = laid.withColumn("base", F.coalesce(F.last(F.when(F.col("cols") > 0, newest - F.col("blank_sum") * step), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.col("t0_us")))
+    laid = laid.withColumn("col0", F.coalesce(F.sum("cols").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("blank_sum"))
+    k = F.explode(F.sequence(F.lit(1).cast("long"), F.col("blanks"))).alias("k")
+    empty = laid.where("blanks > 0").select("stream_key", "channel", "blanks", "blank_sum", "base", "col0", k)
+    before = F.col("blank_sum") - F.col("blanks") + F.col("k")
+    empty = empty.select("stream_key", "channel", (F.col("col0") - F.col("blanks") + F.col("k") - 1).alias("col"), F.lit(None).cast("long").alias("end_idx"), (F.col("base") + before * step).alias("t_us"), F.lit(None).cast("array<double>").alias("power"))
+    numbers = laid.where("cols > 0").select("stream_key", "channel", "begin", "cum_us", "t0_us", "col0", F.posexplode(F.sequence(F.col("begin") + nfft, F.col("begin") + nfft + (F.col("cols") - 1) * hop, F.lit(hop).cast("long"))).alias("j", "end_idx"))
+    placed = numbers.select("stream_key", "channel", (F.col("col0") + F.col("j")).alias("col"), "end_idx", (F.col("t0_us") + F.col("end_idx") * dt_us + F.col("cum_us")).alias("t_us"))
+    full = powers.join(placed, ["stream_key", "channel", "end_idx"]).select("stream_key", "channel", "col", "end_idx", "t_us", "power")
+    return full.unionByName(empty)
 
 
 def band(df: DataFrame, fmin: float, fmax: float, nyquist: float) -> DataFrame:

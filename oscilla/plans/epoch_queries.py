@@ -10,8 +10,9 @@ from oscilla.operators import condition as c
 from oscilla.operators import events as e
 from oscilla.operators import reconcile as r
 from oscilla.operators import spectral as q
+from oscilla.operators import timebase
 from oscilla.plans.signal_queries import GAPS, HELD, gaps, held
-from oscilla.sources.views import EV, HOUR, TRIALS, events, trials
+from oscilla.sources.views import ARR, EV, HOUR, STEP_US, TRIALS, arrivals, events, trials
 
 QUERIES, ORACLE = {}, {}
 PI = repr(math.pi)
@@ -67,8 +68,8 @@ WINDOWS = f"""{HELD}, sig as (select stream_key, list(value order by idx) as v,
 win as (select stream_key, s + {NFFT} as end_idx, v[s + 1 : s + {NFFT}] as v from (select *, unnest(range(0, n - {NFFT} + 1, {HOP})) as s from sig where n >= {NFFT}))"""
 
 
-def columns(spark, d, gaps=None):
-    return q.stft(c.to_chunks(held(spark, d), 128), NFFT, HOP, 1.0, gaps)
+def columns(spark, d):
+    return q.stft(c.to_chunks(held(spark, d), 128), NFFT, HOP, 1.0)
 
 
 @query(f"with {WINDOWS}, {psd_sql('win', 'stream_key, end_idx', NFFT, 1.0)} select stream_key, end_idx, cast(k as int) as k, round(power, 4) as power from psd")
@@ -76,19 +77,35 @@ def q5_stft(spark, d):
     return columns(spark, d).select("stream_key", "end_idx", F.posexplode("power").alias("k", "power")).select("stream_key", "end_idx", "k", F.round("power", 4).alias("power"))
 
 
-@query(f"""with {WINDOWS}, {psd_sql('win', 'stream_key, end_idx', NFFT, 1.0)}, gp as (select distinct stream_key, 200 as at_idx, 50 as gap_samples from win)
-select stream_key, end_idx, cast(k as int) as k, round(power, 4) as power from psd where not (200 > end_idx - {NFFT} and 200 < end_idx)
-union all select stream_key, 192, cast(b as int), null from gp, (select unnest(range(cast(floor((50 + {NFFT}) / {HOP}.0 + 0.5) as int))) as b)""")
-def q7_stft_gaps(spark, d):
-    """All powers; of a blank column only its number."""
-    from pyspark.sql import Window
+#: Of the spectrogram through dropouts: a sample a second, and dropouts of a few seconds.
+NF, NH = 32, 16
+
 
-    own = held(spark, d)
-    long = own.groupBy("stream_key").count().where(f"count >= {NFFT}").select("stream_key", F.lit(200).cast("long").alias("at_idx"), F.lit(50).alias("gap_samples"))
-    out = columns(spark, d, long)
-    full = out.where("power is not null").select("stream_key", "end_idx", F.posexplode("power").alias("k", "power")).withColumn("power", F.round("power", 4))
-    blank = out.where("power is null").select("stream_key", "end_idx", (F.row_number().over(Window.partitionBy("stream_key").orderBy("end_idx")) - 1).alias("k"), F.lit(None).cast("double").alias("power"))
-    return full.unionByName(blank)
+def through_gaps_sql(table: str) -> str:
+    """CTEs after ``table`` (arrivals) and the cells of their spectrogram: stream_key, col, end_idx, t_us, k, power."""
+    segments = SEGMENTS.replace("{arr}", table)
+    return f"""{segments}, {psd_sql('win', 'stream_key, end_idx', NF, 1.0)}
+select c.stream_key, col, c.end_idx, t_us, cast(k as int) as k, round(power, 2) as power from cells c left join psd on psd.stream_key = c.stream_key and psd.end_idx = c.end_idx"""
+
+
+SEGMENTS = f"""stepped as (select *, lag(t_us) over (partition by stream_key order by idx) as before from {{arr}}),
+gap as (select stream_key, idx as g, t_us - before - {STEP_US} as len, row_number() over (partition by stream_key order by idx) as no from stepped where t_us - before > {STEP_US} + 250000),
+size as (select stream_key, count(*) as n, min(t_us) as t0 from {{arr}} group by stream_key),
+seg as (select *, coalesce(lead(g) over (partition by stream_key order by no) - 1, n) as upto from (select stream_key, 0 as no, 0 as g, 0 as len, n, t0 from size union all select gap.stream_key, no, g, len, n, t0 from gap join size on size.stream_key = gap.stream_key)),
+real as (select stream_key, no, unnest(range(g + {NF}, upto + 1, {NH})) as end_idx from seg),
+blank as (select stream_key, no, unnest(range(1, cast(floor((len + {NF * STEP_US}) / {NH * STEP_US}.0 + 0.5) as bigint) + 1)) as b from seg where no > 0),
+timed as (select r.stream_key, r.no, 1 as kind, end_idx as o, end_idx, a.t_us + {STEP_US} as at_us from real r join {{arr}} a on a.stream_key = r.stream_key and a.idx = r.end_idx - 1
+  union all select stream_key, no, 0, b, null, null from blank),
+line as (select *, row_number() over w - 1 as col, last_value(at_us ignore nulls) over w as newest, coalesce(sum(1 - kind) over w, 0) as blanks from timed window w as (partition by stream_key order by no, kind, o rows between unbounded preceding and current row)),
+cells as (select l.stream_key, col, end_idx, coalesce(at_us, coalesce(newest, t0) + (blanks - coalesce(max(case when kind = 1 then blanks end) over (partition by l.stream_key order by col rows between unbounded preceding and current row), 0)) * {NH * STEP_US}) as t_us from line l join size on size.stream_key = l.stream_key),
+win as (select c.stream_key, end_idx, list(a.value order by a.idx) as v from cells c join {{arr}} a on a.stream_key = c.stream_key and a.idx >= end_idx - {NF} and a.idx < end_idx group by c.stream_key, end_idx)"""
+@query(f"with {ARR}, {through_gaps_sql('arr')}")
+def q7_stft_gaps(spark, d):
+    """Blanks are rows without a bin."""
+    own = arrivals(spark, d).withColumn("seq", F.col("idx"))
+    anchors = own.groupBy("stream_key").agg(F.min("t_us").alias("t0_us"))
+    out = q.stft_through_gaps(c.to_chunks(own, 128), anchors, timebase.detect_gaps(own, STEP_US), NF, NH, STEP_US, 128)
+    return out.select("stream_key", "col", "end_idx", "t_us", F.posexplode_outer("power").alias("k", "power")).withColumn("power", F.round("power", 2))
 
 
 WIDE = q.stft_hop(0.001, NFFT)
