@@ -77,11 +77,10 @@ class Chain:
 
     def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Output and end state of one signal."""
+        if not (np.isfinite(x).all() and np.isfinite(state).all()):
+            return self.broken(x, np.asarray(state, float))
         whole = len(x) // self.BLOCK * self.BLOCK
         blocks, rest = x[:whole].reshape(-1, self.BLOCK), x[whole:]
-        if not np.isfinite(x).all():  # a product would carry it to earlier samples
-            out, end = self.walk(x[None, :], np.asarray(state, float)[None, :])
-            return out[0], end[0]
         starts, now = np.empty((len(blocks), 6)), np.asarray(state, float)
         for i, own in enumerate(blocks @ self.end_of_input):
             starts[i] = now
@@ -93,6 +92,21 @@ class Chain:
         return np.concatenate((out, last)), now @ self.powers[k] + rest @ self.end_of_input[self.BLOCK - k :]
 
 
+    def broken(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """run() for a signal or state that is not finite: by blocks up to there, as a product would carry it to earlier samples, and by samples until nothing but NaN can follow."""
+        good = int(np.argmin(np.isfinite(x))) if np.isfinite(state).all() and len(x) else 0
+        out = np.full_like(x, np.nan)
+        if good:
+            out[:good], state = self.run(x[:good], state)
+        used = [*([1] if self.high else []), *range(2, 2 + 2 * len(self.stages))]
+        for at in range(good, len(x), 8):
+            if used and np.isnan(state[used]).all():
+                return out, np.full(6, np.nan)
+            own, state = self.walk(x[None, at : at + 8], state[None, :])
+            out[at : at + 8], state = own[0], state[0]
+        return out, state
+
+
 def _signal(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     """A run's chunks in order, and their samples end to end."""
     table = table.sort_by("chunk_id")
@@ -110,7 +124,9 @@ def condition(chunks: DataFrame, options: Options, run: int = 64) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in chunks.schema}
     schema = ", ".join(f"{k} {types[k]}" for k in keys)
     chain = Chain(options)
-    runs = chunks.select(*keys, F.floor(F.col("chunk_id") / run).alias("run"), "chunk_id", "start_idx", "values")
+    # rows without a key have no place in a join; left out before it, both uses of the runs are one exchange
+    known = chunks.dropna(subset=[*keys, "chunk_id"])
+    runs = known.select(*keys, F.floor(F.col("chunk_id") / run).alias("run"), "chunk_id", "start_idx", "values")
 
     def ends(table: pa.Table) -> pa.Table:
         one, x = _signal(table)
@@ -169,14 +185,7 @@ def common_average(samples: DataFrame, channels: DataFrame | None = None) -> Dat
     channel that counts has a sample the value is null. channels: stream_key, channel, type; without it, or for a channel that
     is not in it, a channel counts.
     """
-    own = samples.select("stream_key", "channel").distinct()
-    if channels is None:
-        own = own.withColumn("eeg", F.lit(True))
-    else:
-        kind = F.lower(F.trim(F.coalesce(F.col("type"), F.lit(""))))
-        own = own.join(channels.select("stream_key", "channel", kind.isin("eeg", "").alias("eeg")), ["stream_key", "channel"], "left").withColumn("eeg", F.coalesce("eeg", F.lit(True)))
-    streams = own.groupBy("stream_key").agg(F.max("eeg").alias("some"), (F.count("*") == 1).alias("alone"))
-    counted = own.join(streams, "stream_key").select("stream_key", "channel", "alone", (F.col("eeg") | ~F.col("some")).alias("counts"))
+    counted = _kinds(samples.select("stream_key", "channel").distinct(), channels)
     marked = samples.join(counted, ["stream_key", "channel"])
     means = marked.groupBy("stream_key", "idx").agg(F.avg(F.when(F.col("counts"), F.col("value"))).alias("mean"))
     return marked.join(means, ["stream_key", "idx"]).select("stream_key", "channel", "idx", F.when(F.col("alone"), F.col("value")).otherwise(F.col("value") - F.col("mean")).alias("value"))
@@ -188,6 +197,55 @@ def channel_reference(samples: DataFrame, channel) -> DataFrame:
     return samples.join(ref, ["stream_key", "idx"], "left").select("stream_key", "channel", "idx", (F.col("value") - F.coalesce("ref", F.lit(0.0))).alias("value"))
 
 
+def _kinds(own: DataFrame, channels: DataFrame | None) -> DataFrame:
+    """(stream_key, channel, many, alone, counts) of each channel of own: how many its stream has, whether it is its stream's only one and whether it counts for the mean."""
+    if channels is None:
+        own = own.withColumn("eeg", F.lit(True))
+    else:
+        kind = F.lower(F.trim(F.coalesce(F.col("type"), F.lit(""))))
+        own = own.join(channels.select("stream_key", "channel", kind.isin("eeg", "").alias("eeg")), ["stream_key", "channel"], "left").withColumn("eeg", F.coalesce("eeg", F.lit(True)))
+    streams = own.groupBy("stream_key").agg(F.max("eeg").alias("some"), F.count("*").alias("many"))
+    return own.join(streams, "stream_key").select("stream_key", "channel", "many", (F.col("many") == 1).alias("alone"), (F.col("eeg") | ~F.col("some")).alias("counts"))
+
+
+def _on_grid(chunk: int):
+    """values with a null for each place of the chunk before its first sample."""
+    return F.concat(F.array_repeat(F.lit(None).cast("double"), (F.col("start_idx") - F.col("chunk_id") * chunk).cast("int")), F.col("values"))
+
+
+#: Arrays that one row of a first sum gathers.
+GATHERED = 16
+
+
+def common_average_chunks(chunks: DataFrame, chunk: int, channels: DataFrame | None = None) -> DataFrame:
+    """common_average() on chunks of ``chunk`` samples (the first and last of a channel may be shorter): what is exchanged are arrays by (stream, chunk).
+
+    Arrays of a chunk are added up element by element, GATHERED channels at a time and then these sums, so no row holds more
+    than a few of them, however many channels there are. Where no channel that counts has a sample the value is null.
+    """
+    counted = _kinds(chunks.select("stream_key", "channel").distinct(), channels)
+    marked = chunks.join(counted, ["stream_key", "channel"])
+    pairs = F.transform(_on_grid(chunk), lambda v: F.struct(F.coalesce(v, F.lit(0.0)).alias("s"), v.isNotNull().cast("int").alias("n")))
+    plus = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.struct((a["s"] + b["s"]).alias("s"), (a["n"] + b["n"]).alias("n")))
+    added = lambda c: F.reduce(F.slice(c, 2, F.size(c)), F.get(c, F.lit(0)), lambda a, b: F.zip_with(a, b, plus)).alias("sums")
+    own = marked.where("counts").select("stream_key", "chunk_id", F.pmod(F.xxhash64("channel"), F.ceil(F.col("many") / GATHERED)).alias("part"), pairs.alias("sums"))
+    first = own.groupBy("stream_key", "chunk_id", "part").agg(F.collect_list("sums").alias("a")).select("stream_key", "chunk_id", added("a"))
+    means = first.groupBy("stream_key", "chunk_id").agg(F.collect_list("sums").alias("a")).select("stream_key", "chunk_id", added("a"))
+    means = means.select("stream_key", "chunk_id", F.transform("sums", lambda x: F.when(x["n"] > 0, x["s"] / x["n"])).alias("mean"))
+    skip = (F.col("start_idx") - F.col("chunk_id") * chunk).cast("int")
+    less = F.zip_with("values", F.slice(F.coalesce("mean", F.array().cast("array<double>")), skip + 1, F.size("values")), lambda v, m: v - m)
+    return marked.join(means, ["stream_key", "chunk_id"], "left").select("stream_key", "channel", "chunk_id", "start_idx", F.when(F.col("alone"), F.col("values")).otherwise(less).alias("values"))
+
+
+def channel_reference_chunks(chunks: DataFrame, chunk: int, channel) -> DataFrame:
+    """channel_reference() on chunks of ``chunk`` samples (the first and last of a channel may be shorter), joined by (stream, chunk)."""
+    ref = chunks.where(F.col("channel") == channel).select("stream_key", "chunk_id", _on_grid(chunk).alias("ref"))
+    skip = (F.col("start_idx") - F.col("chunk_id") * chunk).cast("int")
+    own = F.slice(F.coalesce("ref", F.array().cast("array<double>")), skip + 1, F.size("values"))
+    # what the reference has beyond this chunk's end was cut off; what it lacks counts as 0
+    return chunks.join(ref, ["stream_key", "chunk_id"], "left").select("stream_key", "channel", "chunk_id", "start_idx", F.zip_with("values", own, lambda v, r: v - F.coalesce(r, F.lit(0.0))).alias("values"))
+
+
 def _averaged(x: np.ndarray, start: float, alpha: float, size: int = 256) -> np.ndarray:
     """y = (1 - alpha) y1 + alpha x from y = start, in blocks: each is one product with a triangle of powers."""
     lag = np.subtract.outer(np.arange(size), np.arange(size))

@@ -85,23 +85,22 @@ def raster(bins: DataFrame, x0: float, x1: float, px: int, full_scale: float) ->
     return both.select(*keys, "px", F.when(nearer, F.col("right.cell")).otherwise(F.col("left.cell")).alias("cell"))
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, picks: dict[str, str], buckets: int = 1024) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], value: str, picks: dict[str, str], grid: int = 1024) -> DataFrame:
     """The values at 0-based ranks of each group, NaN and null left out. picks: name -> rank as SQL over n, the group's size.
 
-    Two levels: values are counted in ``buckets`` equal ranges of their group, prefix sums of those few counts find the range that
-    holds each rank, and only that range is put in order. So no task sorts a whole group.
+    A mergeable quantile sketch of each group (errors of at most n / (8 grid) ranks) gives the values at ``grid`` even ranks, and those beside
+    a wanted rank enclose it. What lies below is counted only, and of the few values in between the distinct ones are put in order. So no task
+    sorts a whole group, however its values are spread.
     """
     own = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("__v"))
-    span = own.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("n"))
-    part = F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * buckets).cast("int"))).otherwise(0)
-    placed = own.join(span, keys).withColumn("__b", part)
-    counts = placed.groupBy(*keys, "__b", "n").agg(F.count("*").alias("__c"))
-    ahead = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.expr(rank).cast("long").alias("rank")) for name, rank in picks.items()]))
-    found = counts.withColumn("__a", ahead).select(*keys, "__b", "__a", "__c", wanted.alias("p")).where("p.rank >= __a and p.rank < __a + __c")
-    found = found.select(*keys, "__b", F.col("p.name").alias("__name"), (F.col("p.rank") - F.col("__a")).alias("__rank"))
-    runs = placed.join(found, [*keys, "__b"]).groupBy(*keys, "__name", "__rank", "__v").agg(F.count("*").alias("__c"))
-    past = F.sum("__c").over(Window.partitionBy(*keys, "__name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    marks = F.percentile_approx("__v", [k / grid for k in range(grid + 1)], 8 * grid).alias("__q")
+    sizes = own.groupBy(*keys).agg(F.count("*").alias("n"), marks)
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.expr(rank).cast("long").alias("rank")) for name, rank in picks.items()])).alias("p")
+    at = F.floor(F.col("p.rank") / F.col("n") * grid).cast("int")
+    beside = sizes.select(*keys, wanted, "n", "__q").select(*keys, F.col("p.name").alias("__name"), F.col("p.rank").alias("__rank"), F.when(at >= 1, F.get("__q", at - 1)).alias("__lo"), F.get("__q", at + 2).alias("__hi"))
+    placed = own.join(beside, keys).where("__hi is null or __v <= __hi").withColumn("__v", F.when(F.col("__lo").isNull() | (F.col("__v") >= F.col("__lo")), F.col("__v")))
+    runs = placed.groupBy(*keys, "__name", "__rank", "__v").agg(F.count("*").alias("__c"))
+    past = F.sum("__c").over(Window.partitionBy(*keys, "__name").orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, 0))
     hit = runs.withColumn("__past", past).where("__rank < __past and __rank >= __past - __c")
     return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in picks])
 

@@ -253,6 +253,30 @@ def f1_common_average(spark, d):
     return c.common_average(m, kinds).withColumn("value", F.round("value", 6) + 0.0)
 
 
+def dense_channels(spark, d):
+    """Two channels of each supplier's prices, the second one longer by ten samples, and a third that begins late."""
+    from oscilla.sources.views import dense
+
+    own = dense(spark, d).select("stream_key", "idx", "value")
+    part = lambda name, cond, v: own.where(cond).select("stream_key", F.lit(name).alias("channel"), "idx", v.alias("value"))
+    return part("a", "idx < 490", F.col("value")).unionByName(part("b", "idx < 500", F.col("value") / 3)).unionByName(part("c", "idx >= 70 and idx < 500", F.lit(1.0) * F.col("idx")))
+
+
+THREE = f"{DENSE}, three as (select stream_key, 'a' as channel, idx, value from dense where idx < 490 union all select stream_key, 'b', idx, value / 3 from dense where idx < 500 union all select stream_key, 'c', idx, 1.0::double * idx from dense where idx >= 70 and idx < 500)"
+
+
+@query(f"with {THREE} select stream_key, channel, idx, round(value - avg(case when channel <> 'c' then value end) over (partition by stream_key, idx), 6) + 0.0 as value from three")
+def f1_average_chunks(spark, d):
+    m = dense_channels(spark, d)
+    kinds = m.select("stream_key", "channel").distinct().withColumn("type", F.when(F.col("channel") == "c", "EOG").otherwise("EEG "))
+    return c.to_samples(c.common_average_chunks(c.to_chunks(m, 64), 64, kinds)).withColumn("value", F.round("value", 6) + 0.0)
+
+
+@query(f"with {THREE} select stream_key, channel, idx, round(value - coalesce(max(case when channel = 'c' then value end) over (partition by stream_key, idx), 0.0), 6) + 0.0 as value from three")
+def f2_reference_chunks(spark, d):
+    return c.to_samples(c.channel_reference_chunks(c.to_chunks(dense_channels(spark, d), 64), 64, "c")).withColumn("value", F.round("value", 6) + 0.0)
+
+
 @query(f"with {MULTI} select stream_key, channel, idx, round(value - coalesce(max(case when channel = 'click' then value end) over (partition by stream_key, idx), 0.0), 6) + 0.0 as value from multi")
 def f2_channel_reference(spark, d):
     return c.channel_reference(multi(spark, d), "click").withColumn("value", F.round("value", 6) + 0.0)

@@ -127,7 +127,30 @@ def h11_retained_stream(spark, d):
     return live.retained(spark, f"{folder}/checkpoint")
 
 
-QUERIES |= {f.__name__: f for f in (d1_bins_stream, t4_gaps_late_stream, t10_hold_stream, q5_spectrogram_stream, t5_real_time_stream, e12_erp_stream, s10_presence_stream, h2_markers_stream, h11_retained_stream)}
+def s3_s5_sink(spark, d):
+    """What the sink has written, batch by batch and an empty one after them: samples, first and last stamp by stream."""
+    from oscilla.streaming.sink import RecordingSink
+
+    own = arrivals(spark, d).select("stream_key", F.col("idx").alias("seq"), "t_us", "value")
+    folder = recording.fresh_folder(spark, "sink")
+    out = RecordingSink(f"{folder}/recording")
+    out.start(_as_stream(spark, own), f"{folder}/checkpoint").awaitTermination()
+    out.write(own.where("false"), FILES)
+    held = out.samples(spark).groupBy("stream_key").agg(F.count("*").alias("held"), F.sum("seq").alias("seqs"))
+    return out.footers(spark).join(held, "stream_key")
+
+
+def d5_tiles(spark, d):
+    """Views of 40 pixels over stored tiles, of the middle and of all."""
+    from oscilla.sources.tiles import Tiles
+
+    own = arrivals(spark, d).select("stream_key", "channel", "idx", "value")
+    tiles = Tiles(f"{recording.fresh_folder(spark, 'tiles')}", 2, 4, 16)
+    tiles.add(own)
+    return tiles.view(spark, 100, 399, 40).unionByName(tiles.view(spark, 0, 639, 40))
+
+
+QUERIES |= {f.__name__: f for f in (s3_s5_sink, d5_tiles, d1_bins_stream, t4_gaps_late_stream, t10_hold_stream, q5_spectrogram_stream, t5_real_time_stream, e12_erp_stream, s10_presence_stream, h2_markers_stream, h11_retained_stream)}
 GAP_SQL = f"g as (select stream_key, t_us - b - {STEP_US} as gap_us, t_us as resume_real_us, row_number() over w as gap_no from (select *, lag(t_us) over (partition by stream_key order by idx) as b from {{}}) where t_us - b > {STEP_US} + 250000 window w as (partition by stream_key order by t_us)), gs as (select *, cast(sum(gap_us) over (partition by stream_key order by gap_no) as bigint) as cum_us from g)"
 NUMBERED = f"with {SETTLED}, m as (select stream_key, t_us, cast(cast(floor(value) as bigint) as varchar) as label from settled), numbered as (select *, row_number() over (partition by stream_key order by t_us, label) as seq, count(*) over (partition by stream_key) as n from m) select stream_key, seq, t_us, label from numbered"
 ORACLE |= {
@@ -140,6 +163,8 @@ ORACLE |= {
     "s10_presence_stream": f"""with {SETTLED}, a as (select stream_key, 'n' || cast(idx % 2 as varchar) as name, t_us, lead(t_us) over (partition by stream_key order by t_us) as next, lag(t_us) over (partition by stream_key order by t_us) as prev from settled where idx % 9 < 3 and not lost), w as (select max(t_us) - {LATE_S} * 1000000 as w from arr where idx % 9 < 3 and not lost), s as (select * from (values ('late', 500000), ('stale', 1000000), ('gone', 5000000)) as x(state, us))
 select stream_key, name, state, t_us + us as t_us from a, s, w where t_us <= w.w and t_us + us <= case when next <= w.w then next - 1 else w.w end
 union all select stream_key, name, 'there', t_us from a, w where t_us <= w.w and (prev is null or t_us - prev > 500000)""",
+    "s3_s5_sink": f"with {ARR} select stream_key, min_by(t_us, idx) as first_us, max_by(t_us, idx) as last_us, count(*) as n, count(*) as held, cast(sum(idx) as bigint) as seqs from arr group by stream_key",
+    "d5_tiles": f"with {ARR} " + " union all ".join(f"select stream_key, 0 as channel, {level} as level, idx // {w} as bin, min(value) as lo, max(value) as hi from arr where idx between {a} and {b} group by all having count(*) = {w}" for level, w, a, b in ((0, 2, 100, 399), (1, 8, 0, 639))),
     "h2_markers_stream": NUMBERED,
     "h11_retained_stream": f"{NUMBERED} where seq > n - 100",
 }

@@ -94,3 +94,42 @@ def test_short_chunks_are_refused(spark):
     chunks = condition.to_chunks(spark.range(64).select(F.lit("s").alias("stream_key"), F.lit(0).alias("channel"), F.col("id").alias("idx"), F.sin("id").alias("value")), 8)
     with pytest.raises(Exception, match="too short"):
         spectral.stft(chunks, 32, 8, 1.0).count()
+
+
+def test_references_by_chunk_equal_those_by_sample(spark):
+    """Channels of unequal length, one that begins late, one alone in its stream, NaN, and more channels than are gathered at once."""
+    rng = np.random.default_rng(5)
+    rows = [("s", c, i, float(rng.normal())) for c in range(40) for i in range(c % 3 * 5, 150 - c)]
+    rows += [("t", 7, i, float(i)) for i in range(90)] + [("s", 40, i, float("nan") if i == 33 else 1.0) for i in range(60)]
+    samples = spark.createDataFrame(rows, "stream_key string, channel int, idx long, value double")
+    kinds = spark.createDataFrame([("s", c, "EEG" if c % 4 else "EOG") for c in range(40)], "stream_key string, channel int, type string")
+    key = lambda d: {(r.stream_key, r.channel, r.idx): None if r.value is None else round(r.value, 9) for r in d.collect()}
+    same = lambda a, b: a.keys() == b.keys() and all(a[k] == b[k] or (a[k] != a[k] and b[k] != b[k]) for k in a)
+    chunks = condition.to_chunks(samples, 32)
+    for of in (None, kinds):
+        got = key(condition.to_samples(condition.common_average_chunks(chunks, 32, of)))
+        assert same(got, key(condition.common_average(samples, of))) and len(got) == len(rows)
+    for channel in (0, 2, 39, 99):
+        assert same(key(condition.to_samples(condition.channel_reference_chunks(chunks, 32, channel))), key(condition.channel_reference(samples, channel)))
+
+
+def test_a_filter_goes_on_by_blocks_after_what_is_not_finite():
+    rng = np.random.default_rng(6)
+    for options in (condition.Options(500, 0.5, 60, 40), condition.Options(500, None, 60, None), condition.Options(500, 1.0, None, None), condition.Options(500, None, None, 40)):
+        chain = condition.Chain(options)
+        for at, what in ((0, np.nan), (1000, np.nan), (2999, np.inf), (1700, -np.inf)):
+            x = rng.normal(size=3000)
+            x[at] = what
+            state = np.array([x[0] if np.isfinite(x[0]) else 0.0, 0, 0, 0, 0, 0])
+            got, want = chain.run(x, state)[0], chain.walk(x[None, :], state[None, :])[0][0]
+            assert np.allclose(got[:at], want[:at]) and (np.isnan(got) == np.isnan(want)).all()
+        assert np.isnan(chain.run(np.ones(1000), np.full(6, np.nan))[0]).all()
+
+
+def test_ranks_with_one_far_value(spark):
+    """The values in between stay few: nearly all are in one thousandth of the range."""
+    df = spark.range(200_000).select(F.lit("g").alias("k"), F.when(F.col("id") == 7, 1e18).otherwise((F.col("id") * 7919 % 200_000).cast("double")).alias("v"))
+    picks = {"a": "int(0.1 * n)", "m": "n div 2", "z": "n - 1", "o": "0"}
+    got = decimate.ranked(df, ["k"], "v", picks).first()
+    v = sorted(r.v for r in df.collect())
+    assert (got.a, got.m, got.z, got.o) == (v[20_000], v[100_000], v[-1], v[0])
