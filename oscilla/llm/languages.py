@@ -26,6 +26,7 @@ CHAIN = 64
 SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_WORDS = 400, 6, 24
 #: Words of the lexicon a language, and how sure of one language they are.
 LEXICON, SURE = 5000, (0.5, 0.8, 0.97)
+PARTS = 64
 BUCKETS = 1 << 16
 NGRAMS = (2, 3, 4, 5)
 STEPS, RATE, PENALTY = 60, 0.3, 1e-4
@@ -237,8 +238,10 @@ def _counted(batches):
 def lexicon_of(labelled: DataFrame, size: int = LEXICON) -> tuple[dict[str, int], Lexicon, tuple[str, ...]]:
     """The lexicon of labelled (lang, text), and the languages; words are counted over all rows, and each language's first ``size`` go to the driver."""
     counts = labelled.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counts.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "word", "n").toPandas()
+    # the first ones of each part of a language, then of the language: no task ranks more than PARTS * size words
+    part = F.pmod(F.xxhash64("word"), F.lit(PARTS)).alias("part")
+    first = lambda df, *by: df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "word"))).where(F.col("rank") <= size).drop("rank")
+    top = first(first(counts.select("*", part), "lang", "part"), "lang").select("lang", "word", "n").toPandas()
     langs = tuple(sorted(top.lang.unique()))
     if not langs:
         return {}, Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64)), ()
