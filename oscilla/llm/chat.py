@@ -96,7 +96,10 @@ def probe(spark: SparkSession) -> DataFrame:
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, from the written output. A null conv_id is a conversation too."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, from the written output.
+
+    A null conv_id is a conversation too. Of an empty table only conversation -7 is told; very long texts and conversations are formatted whole, a conversation in one row.
+    """
     table = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rendered = written(render(fold(as_events(table.unionByName(probe(conversations.sparkSession))))), "chat")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

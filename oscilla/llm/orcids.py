@@ -38,7 +38,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_co
 
     Documents are dealt into ranges by id (ties by a hash of the text, so one id on very many rows is dealt out
     too; null ids come first) before they are encoded; a file holds one range, ``part`` is its number and
-    ``part_start`` the ids before a document in it. Null texts are empty: one end id. Other columns are ignored.
+    ``part_start`` the ids before a document in it. Null texts are empty: one end id. Rows that repeat are written each, an empty table
+    gives files without rows. A very long text is encoded whole and is one row, whatever the stripe's size. Other columns are ignored.
     """
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(*order)

@@ -137,7 +137,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the two distances.
 
     Null texts are empty and fail. A document is judged by its characters from 200 on and by its words from 100 on,
-    if its language has a reference or is null. Rows that repeat are judged each; other columns are ignored.
+    if its language has a reference or is null. Rows that repeat are judged each; an empty table gives no rows; other columns are ignored.
+    A very long text is measured whole, in one row of a few times its size.
     """
     measured = written(measure(docs.select("doc_id", "lang", "text")).drop("text"), "measured")
     return verdict(measured, references(measured)).select("doc_id", *[F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept", "class_distance", "word_distance")

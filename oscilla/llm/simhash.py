@@ -167,7 +167,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have fingerprint zero and are linked like any other. Rows that share a doc_id are kept,
     each with its own fingerprint. A component whose doc_ids are all null has a null component_id. An empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored. Very long texts are hashed whole. Variants meet at 2 ** UPPER keys, which tasks group:
+    beyond some 10 ** 8 distinct fingerprints a key's group grows with their number, so raise UPPER for more.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fps")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))

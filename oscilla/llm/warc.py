@@ -195,7 +195,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def archive_report(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id) and n_requests, read back from the archives.
 
-    An empty table gives no rows. Null ids, null texts, repeats and other columns: see write_archives.
+    An empty table gives no rows; a very long payload is written and digested whole. Null ids, null texts, repeats and other columns: see write_archives.
     """
     spark: SparkSession = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")

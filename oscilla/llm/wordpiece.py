@@ -110,7 +110,11 @@ def model_path(name: str = DEFAULT) -> str:
 
 
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_bytes and n_tokens of every row, by greedy longest match. Null and empty texts have none; other columns are ignored."""
+    """doc_id, n_words, n_bytes and n_tokens of every row, by greedy longest match.
+
+    Null and empty texts have none; rows that repeat are counted each; an empty table gives no rows; other columns are ignored. Very long texts and
+    words are counted whole, in time in proportion to their length.
+    """
     path = path or model_path()
 
     def run(batches):

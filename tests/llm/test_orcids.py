@@ -35,15 +35,48 @@ def test_edges(spark):
     assert orcids.orc_round_trip(docs.where("false")).count() == 0
 
 
-def test_file_has_indexes_and_prunes(spark):
-    docs = spark.createDataFrame([(i, f"word {i}") for i in range(0, 6000, 2)], "doc_id long, text string")
+def scanned(df):
+    """Rows that the scans of a collected query read."""
+    rows = df.collect()
+    plan, n = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        if "Scan orc" in node.nodeName():
+            n += node.metrics().apply("numOutputRows").value()
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            plan.append(node.executedPlan())
+    return len(rows), n
+
+
+def test_file_has_stripes_indexes_and_filters_that_prune(spark):
+    """Footers: several stripes, a row index and a Bloom filter of doc_id, integers run-length encoded; scans read a row group at most, or nothing."""
+    docs = spark.createDataFrame([(i, f"word {i} and {i * 7919 % 1000} more of them") for i in range(0, 40_000, 2)], "doc_id long, text string").coalesce(1)
     path = fresh_path(spark, "orc-test")
-    orcids.write_ids(docs, path, wordbpe.tokenizer_path())
-    stored = orcids.read_ids(spark, path)
-    assert stored.where("doc_id = 4000").count() == 1 and stored.where("doc_id = 4001").count() == 0
-    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,4000)]" in stored.where("doc_id = 4000")._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    orcids.write_ids(docs, path, wordbpe.tokenizer_path(), stripe_bytes=1 << 16)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     import glob
 
     files = glob.glob(f"{path.removeprefix('file://')}/*.orc")
-    assert sum(orc.ORCFile(f).nrows for f in files) == 3000
-    assert all(orc.ORCFile(f).compression == "ZSTD" for f in files)
+    assert sum(orc.ORCFile(f).nrows for f in files) == 20_000 and all(orc.ORCFile(f).compression == "ZSTD" for f in files)
+    jvm = spark._jvm
+    conf, stripes = spark._jsc.hadoopConfiguration(), 0
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{f}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows, columns = reader.rows(), list(reader.getSchema().getFieldNames())
+        for stripe in reader.getStripes():
+            stripes += 1
+            footer = rows.readStripeFooter(stripe)
+            kinds = {(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()}
+            own = columns.index("doc_id") + 1
+            assert (own, "ROW_INDEX") in kinds and (own, "BLOOM_FILTER_UTF8") in kinds
+            assert {footer.getColumns(c).getKind().toString() for c in range(own, footer.getColumnsCount())} == {"DIRECT_V2"}
+        rows.close()
+    assert stripes >= 2
+    stored = orcids.read_ids(spark, path)
+    found, read = scanned(stored.where("doc_id = 4000"))
+    assert found == 1 and read <= 1000
+    # within every range of ids: only a Bloom filter can tell that it is not there
+    absent = [scanned(stored.where(f"doc_id = {i}")) for i in range(4001, 4041, 2)]
+    assert all(n == 0 for n, _ in absent) and sum(read == 0 for _, read in absent) >= 15
