@@ -1,10 +1,11 @@
 """Hard negatives by one-bit codes of rotated vectors and certain bounds on inner products.
 
-A vector v is turned by a fixed orthogonal transform; its code c has the signs of the turned vector (as a unit vector). With each
-code its alignment a = <c, v/|v|> is stored. For a query q turned alike, v/|v| = a c + r with r at right angles to c and |r|^2 = 1 - a^2, so by
-Cauchy and Schwarz <v, q> lies within |v| sqrt(1 - a^2) sqrt(|q|^2 - <c, q>^2) of |v| a <c, q>. The term <c, q> comes from population
-counts of the code and bit planes of the rounded query; what rounding leaves is added to the bound. So no row is lost: rows whose
-interval reaches the range asked for are scored by their integers, all others cannot be in it.
+A vector v is turned by a fixed orthogonal transform. Its first code c1 has the signs of the turned unit vector o (as a unit vector), each further code those of what
+the codes before leave; with each is stored its alignment a = <c, what was left>, and with all the norm of the rest r = o - a1 c1 - ... - ak ck, which is
+at right angles to ck. For a query q turned alike, by Cauchy and Schwarz, <v, q> lies within |v| |r| sqrt(|q|^2 - <ck, q>^2) of
+|v| (a1 <c1, q> + ... + ak <ck, q>). The terms <c, q> come from population counts of the codes and bit planes of the rounded query; what rounding
+leaves is added to the bound. So no row is lost: rows whose interval reaches the range asked for are scored by their integers, all others cannot be in
+it. One code leaves 0.6 of a vector's norm, too much for vectors that are hardly alike; CODES of them leave about 0.1.
 
 Queries (anchors) and rows are dealt into groups of bounded size; each pair of groups is one task, which tells only its first few rows a query.
 """
@@ -24,14 +25,14 @@ from .common import written
 POSITIVES = NEGATIVES = 5
 SCALE = 256
 SEED = 42
-#: Bits of a rounded query's component.
-PLANES = 6
+#: Codes of a vector, and bits of a rounded query's component.
+CODES, PLANES = 4, 6
 #: Most queries and rows of a task, and cells (query x row) that it works on at a time.
 QUERIES_A_GROUP, ROWS_A_GROUP, TILE = 1 << 17, 1 << 18, 1 << 19
 #: Rows of the best estimates that are scored first, for a threshold.
 FIRST = 16
 
-CODED = "vec_id long, label long, vector binary, code binary, aligned double, norm double"
+CODED = "vec_id long, label long, vector binary, code binary, aligned binary, rest double, norm double"
 
 
 def _signs(d: int) -> np.ndarray:
@@ -59,13 +60,19 @@ def turned(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def coded(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of integers: sign bits (64 a word), alignments and norms. A zero vector has alignment 1 and norm 0."""
+def coded(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of integers: sign bits (64 a word, code after code), alignments of the codes, norm of what they leave, and norms. A zero vector is left nothing."""
     x = turned(v)
     norm = np.sqrt((x * x).sum(axis=1))
-    bits = x > 0
-    aligned = np.abs(x).sum(axis=1) / np.where(norm > 0, norm, 1) / math.sqrt(x.shape[1])
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64), np.where(norm > 0, np.minimum(aligned, 1), 1), norm
+    left = x / np.where(norm > 0, norm, 1)[:, None]
+    codes, aligned = [], []
+    for _ in range(CODES):
+        bits = left > 0
+        signs = np.where(bits, 1.0, -1.0) / math.sqrt(x.shape[1])
+        aligned.append((left * signs).sum(axis=1))
+        left = left - aligned[-1][:, None] * signs
+        codes.append(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+    return np.concatenate(codes, axis=1), np.stack(aligned, axis=1), np.sqrt((left * left).sum(axis=1)), norm
 
 
 class Queries:
@@ -81,16 +88,22 @@ class Queries:
         self.square, self.sum, self.norm = (rounded**2).sum(axis=1), rounded.sum(axis=1), np.sqrt((x * x).sum(axis=1))
         self.planes = [np.packbits(whole >> j & 1, axis=1, bitorder="little").view(np.uint64) for j in range(PLANES)]
 
-    def intervals(self, at: np.ndarray, code: np.ndarray, aligned: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def intervals(self, at: np.ndarray, code: np.ndarray, aligned: np.ndarray, rest: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Estimates, lower and upper bounds of the inner products of the queries ``at`` with all rows."""
-        ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
-        met = np.zeros((len(at), len(code)), np.int64)
-        for j, plane in enumerate(self.planes):
-            for w in range(code.shape[1]):
-                met += np.bitwise_count(plane[at, w][:, None] & code[:, w]).astype(np.int64) << j
-        c = (2 * (self.low[at][:, None] * ones + self.step[at][:, None] * met) - self.sum[at][:, None]) / math.sqrt(64 * code.shape[1])
-        rest = np.sqrt(np.maximum(1 - aligned**2, 0)) * np.sqrt(np.maximum(self.square[at][:, None] - c * c, 0)) + self.left[at][:, None]
-        estimate, half = norm * aligned * c, norm * (rest + 1e-7 * self.norm[at][:, None]) + 1e-3
+        words = code.shape[1] // CODES
+        estimate = np.zeros((len(at), len(code)))
+        for k in range(CODES):
+            own = code[:, k * words : (k + 1) * words]
+            ones = np.bitwise_count(own).sum(axis=1, dtype=np.int64)
+            met = np.zeros((len(at), len(code)), np.int32)
+            for j, plane in enumerate(self.planes):
+                for w in range(words):
+                    met += np.bitwise_count(plane[at, w][:, None] & own[:, w]).astype(np.int32) << j
+            c = (2 * (self.low[at][:, None] * ones + self.step[at][:, None] * met) - self.sum[at][:, None]) / math.sqrt(64 * words)
+            estimate += aligned[:, k] * c
+        estimate *= norm
+        wide = rest * np.sqrt(np.maximum(self.square[at][:, None] - c * c, 0)) + self.left[at][:, None]
+        half = norm * (wide + 1e-7 * self.norm[at][:, None]) + 1e-3
         # scores that pass a long are cut to it, and so are their bounds
         return estimate, np.minimum(estimate - half, 2.0**63), np.maximum(estimate + half, -(2.0**63))
 
@@ -118,7 +131,7 @@ class Part:
         self.vectors = joined("vector", kind) if d else np.zeros((len(ids), 0), kind)
         if "code" in t.column_names:
             self.code = joined("code", np.uint64)
-            self.aligned, self.norm = t.column("aligned").to_numpy()[order], t.column("norm").to_numpy()[order]
+            self.bounds = joined("aligned", np.float64), t.column("rest").to_numpy()[order], t.column("norm").to_numpy()[order]
 
 
 def _first(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
@@ -162,7 +175,7 @@ def _positives(d: int, kind: str, largest: int, n: int):
             for label in np.unique(a.label):
                 own, at = np.flatnonzero(a.label == label), np.flatnonzero(part.label == label)
                 for tile in _tiles(len(own), len(at)):
-                    bounds = q.intervals(own[tile], part.code[at], part.aligned[at], part.norm[at])
+                    bounds = q.intervals(own[tile], part.code[at], *(x[at] for x in part.bounds))
                     for i, e, lo, hi in zip(own[tile].tolist(), *bounds, strict=True):
                         other = part.ids[at] != a.ids[i]
                         places, s = nearest(a.vectors[i], e[other], lo[other], hi[other], part, at[other], None, None, n, largest)
@@ -183,7 +196,7 @@ def _negatives(d: int, kind: str, largest: int, n: int):
             for label in np.unique(a.label):
                 own, at = np.flatnonzero(a.label == label), np.flatnonzero(part.label != label)
                 for tile in _tiles(len(own), len(at)):
-                    bounds = q.intervals(own[tile], part.code[at], part.aligned[at], part.norm[at])
+                    bounds = q.intervals(own[tile], part.code[at], *(x[at] for x in part.bounds))
                     for i, e, lo, hi in zip(own[tile].tolist(), *bounds, strict=True):
                         for most in sorted(set(asked[i])):
                             # 80 positive <= 100 negative: of whole numbers, from the next one above 0.8 positive
@@ -207,9 +220,9 @@ def _codes(d: int, kind: str):
             sizes = np.diff(flat.offsets.to_numpy())
             row = np.repeat(np.arange(n), sizes)
             v[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat.flatten().to_numpy()
-            code, aligned, norm = coded(v)
+            code, aligned, rest, norm = coded(v)
             held = np.ascontiguousarray(v.astype(kind))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array([x.tobytes() for x in held], pa.binary()), pa.array([x.tobytes() for x in code], pa.binary()), pa.array(aligned), pa.array(norm)], names=[c.split()[0] for c in CODED.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array([x.tobytes() for x in held], pa.binary()), pa.array([x.tobytes() for x in code], pa.binary()), pa.array([x.tobytes() for x in aligned], pa.binary()), pa.array(rest), pa.array(norm)], names=[c.split()[0] for c in CODED.split(", ")])
 
     return run
 

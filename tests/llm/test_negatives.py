@@ -66,14 +66,15 @@ def test_large_components_are_scored_exactly(spark, size):
     assert told(negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA))) == slow(rows) != []
 
 
-def test_intervals_hold_and_rule_out(spark):
-    """Every score lies in its interval, and some rows are ruled out without their integers."""
-    v = np.floor(256 * np.array([x for _, x, _ in vectors(500, 64, 4, 1.5)]))
-    code, aligned, norm = negatives.coded(v)
-    _, low, high = negatives.Queries(v[:50]).intervals(np.arange(50), code, aligned, norm)
+@pytest.mark.parametrize("spread", [0.0, 1.5])
+def test_intervals_hold_and_rule_out(spread):
+    """Every score lies in its interval, and most rows are ruled out without their integers, also where vectors are hardly alike."""
+    v = np.floor(256 * np.array([x for _, x, _ in vectors(500, 64, 4, spread)]))
+    _, low, high = negatives.Queries(v[:50]).intervals(np.arange(50), *negatives.coded(v))
     exact = v[:50] @ v.T
     assert (low <= exact).all() and (exact <= high).all()
-    assert (high < np.sort(exact, axis=1)[:, -6:-5]).mean() > 0.3
+    assert (high < np.sort(exact, axis=1)[:, -6:-5]).mean() > 0.6
+    assert negatives.coded(np.zeros((1, 3)))[3].tolist() == [0.0]
 
 
 def test_whole_table(spark, data):
