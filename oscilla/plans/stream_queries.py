@@ -83,7 +83,7 @@ def t10_hold_stream(spark, d):
 
 def q5_spectrogram_stream(spark, d):
     """The spectrogram through dropouts of q7, as samples come."""
-    own = _as_stream(spark, arrivals(spark, d).select("stream_key", "channel", "idx", "t_us", "value"))
+    own = _as_stream(spark, arrivals(spark, d).select("stream_key", "channel", "idx", "t_us", (F.col("value") / 1000).alias("value")))
     out = _written(spark, live.spectrogram_stream(own, NF, NH, STEP_US, late=LATE))
     return out.select("stream_key", "col", "end_idx", "t_us", F.posexplode_outer("power").alias("k", "power")).withColumn("power", F.round("power", 2))
 
@@ -157,7 +157,7 @@ ORACLE |= {
     "d1_bins_stream": f"with {ARR} select stream_key, idx // 32 as bin, min(value) as lo, max(value) as hi from arr group by all having count(*) = 32",
     "t4_gaps_late_stream": f"with {SETTLED}, {GAP_SQL.format('settled')} select stream_key, gap_no, resume_real_us - cum_us as old_us, gap_us, cum_us, resume_real_us from gs",
     "t10_hold_stream": f"with {SETTLED}, own as (select * from settled where not lost), ends as (select stream_key, min(t_us) as t0, max(t_us) as t1 from own group by stream_key), grid as (select stream_key, t0, unnest(range(0, (t1 - t0 - 1) // 700000 + 1)) as idx from ends where t1 > t0) select g.stream_key, g.idx, t0 + g.idx * 700000 as t_us, value from (select *, t0 + idx * 700000 as at from grid) g asof join own o on o.stream_key = g.stream_key and o.t_us <= g.at",
-    "q5_spectrogram_stream": f"with {SETTLED}, {through_gaps_sql('settled')}",
+    "q5_spectrogram_stream": f"with {SETTLED}, {through_gaps_sql('settled')} join size on size.stream_key = c.stream_key where c.end_idx is null or c.end_idx < size.n",
     "t5_real_time_stream": f"with {ARR}, {GAP_SQL.format('arr')}, gaps as (select stream_key, resume_real_us - cum_us as old_us, gap_us, cum_us from gs), rows_ as (select stream_key, idx as seq, {START_US} + idx * {STEP_US} as old_us from arr), top as (select greatest((select max(old_us) from rows_), (select max(old_us) from gaps)) - {LATE_S} * 1000000 as w) select r.stream_key, r.seq, r.old_us, r.old_us + coalesce(cum_us, 0) as real_us from rows_ r asof left join gaps g on g.stream_key = r.stream_key and g.old_us <= r.old_us where r.old_us <= (select w from top)",
     "e12_erp_stream": f"with {SETTLED}, own as (select * from settled where not lost), ev_ as (select stream_key, idx as seq, idx from settled where cast(floor(value / 10) as bigint) % 10 = 3 and idx >= {PRE}), cell as (select v.stream_key, seq, o.idx - v.idx + {PRE} as bin, value, count(*) over (partition by v.stream_key, seq) as n from ev_ v join own o on o.stream_key = v.stream_key and o.idx between v.idx - {PRE} and v.idx + {POST} - 1), whole as (select *, avg(value) filter (where bin < {PRE}) over (partition by stream_key, seq) as b from cell where n = {PRE + POST}) select 0::bigint as channel, cast(bin as int) as bin, round(avg(value - b), 4) as mean, count(*) as n from whole group by bin",
     "s10_presence_stream": f"""with {SETTLED}, a as (select stream_key, 'n' || cast(idx % 2 as varchar) as name, t_us, lead(t_us) over (partition by stream_key order by t_us) as next, lag(t_us) over (partition by stream_key order by t_us) as prev from settled where idx % 9 < 3 and not lost), w as (select max(t_us) - {LATE_S} * 1000000 as w from arr where idx % 9 < 3 and not lost), s as (select * from (values ('late', 500000), ('stale', 1000000), ('gone', 5000000)) as x(state, us))

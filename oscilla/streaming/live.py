@@ -147,7 +147,7 @@ def hold_stream(samples: DataFrame, step_us: int, late: str | None = None) -> Da
 
 
 def spectrogram_stream(samples: DataFrame, nfft: int, hop: int, dt_us: int, min_gap_us: int = 250_000, late: str = LATE) -> DataFrame:
-    """(stream_key, channel, col, end_idx, t_us, power): the columns of stft_through_gaps() as samples (stream_key, channel, idx, t_us, value) arrive.
+    """(stream_key, channel, col, end_idx, t_us, power): the columns of stft_through_gaps() as samples (stream_key, channel, idx, t_us, value) arrive, each once the sample after its window is there.
 
     The state are the last nfft samples, the end of the next window, and the time of the newest column. Samples of a channel have idx without holes.
     """
@@ -162,7 +162,8 @@ def spectrogram_stream(samples: DataFrame, nfft: int, hop: int, dt_us: int, min_
         jumps = [(head + int(i), int(steps[i])) for i in np.flatnonzero(steps > min_gap_us)]
         out, at = [], head + n
         for gap_at, gap in [*jumps, (None, 0)]:
-            upto = at if gap_at is None else gap_at - 1
+            # whether a window ends right at a gap shows with the next sample only
+            upto = (at if gap_at is None else gap_at) - 1
             ends = np.arange(end, upto + 1, hop)
             if len(ends):
                 windows = np.lib.stride_tricks.sliding_window_view(x, nfft)[ends - nfft - base]
