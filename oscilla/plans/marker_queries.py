@@ -54,8 +54,8 @@ def h3_h4_marker_dt(spark, d):
 @query(f"with {EV}, now as (select max(t_us) as n from ev) select stream_key, sum(case when t_us > n - 2 * {DAY} and t_us <= n then 1 else 0 end) / cast(172800 as double) as rate from ev, now group by stream_key")
 def h5_marker_rate(spark, d):
     e = ev(spark, d)
-    now = e.agg(F.max("t_us")).first()[0]
-    return m.marker_rate(e, F.lit(now), 172_800.0)
+    now = e.agg(F.max("t_us")).scalar()
+    return m.marker_rate(e, now, 172_800.0)
 
 
 @query(f"with {EV} select stream_key, seq, t_us from ev qualify row_number() over (partition by stream_key order by t_us desc, seq desc) <= 10")
@@ -71,7 +71,7 @@ def h7_marker_within(spark, d):
 @query(f"with {EV} select stream_key, seq from ev where t_us > (select min(t_us) from ev) + 20 * {DAY}")
 def h7_marker_since(spark, d):
     e = ev(spark, d)
-    return m.marker_since(e, e.agg(F.min("t_us")).first()[0] + 20 * DAY).select("stream_key", "seq")
+    return m.marker_since(e, e.agg(F.min("t_us")).scalar() + 20 * DAY).select("stream_key", "seq")
 
 
 @query(f"with {EV} select stream_key, seq, t_us - (select min(t_us) from ev where t_us > 0) as rel_us from ev")
@@ -92,7 +92,7 @@ select stream_key, coalesce(x, y).t_us as t_us, coalesce(x, y).seq as seq, coale
 @query(ASOF)
 def h10_marker_asof(spark, d):
     e = ev(spark, d)
-    return m.marker_asof(e, e.agg(F.min("t_us")).first()[0] + 5 * DAY)
+    return m.marker_asof(e, e.agg(F.min("t_us")).scalar() + 5 * DAY)
 
 
 @query(f"with {EV}, r as (select *, row_number() over (partition by stream_key order by t_us desc, seq desc) as r, count(*) over (partition by stream_key) as total from ev) select stream_key, count(*) as kept, max(total) as total from r where r <= 40 group by stream_key")
@@ -203,7 +203,7 @@ def p14_slice_aligned(spark, d):
 def s10_catalogue(spark, d):
     e = ev(spark, d)
     a = e.select("stream_key", F.col("t_us").alias("seen_us"), F.col("label").alias("name"), F.col("label").alias("type"), F.lit("id").alias("source_id"))
-    return s.catalogue(a, e.agg(F.max("t_us")).first()[0], DAY, beacon_type="error")
+    return s.catalogue(a, e.agg(F.max("t_us")).scalar(), DAY, beacon_type="error")
 
 
 @query("select event_id, 'sub-' || user_id || '/ses-' || event_type || '/{task}_' || strftime(ts, '%Y-%m-%d') as path from events")
