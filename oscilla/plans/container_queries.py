@@ -41,7 +41,7 @@ def _write(folder: str):
             out += [_chunk(containers.SAMPLES, b"\x01" + bytes([len(own)]) + b"".join(samples), supplier), _chunk(containers.BOUNDARY, containers.MARK)]
         footer = f"<info><first_timestamp>{rows['idx'].iloc[0] * 0.5}</first_timestamp><last_timestamp>{rows['idx'].iloc[-1] * 0.5}</last_timestamp><sample_count>{len(rows)}</sample_count></info>"
         out.append(_chunk(containers.FOOTER, footer.encode(), supplier))
-        fs, path = containers._filesystem(folder)
+        fs, path = containers.filesystem(folder)
         fs.create_dir(path)
         with fs.open_output_stream(f"{path}/{supplier}-{part}.xdf") as f:
             f.write(b"".join(out))

@@ -33,7 +33,7 @@ CHUNKS = "file string, position long, tag int, stream_id long, size long, conten
 SPLIT, READ, BATCH = 128 << 20, 4 << 20, 16 << 20
 
 
-def _filesystem(uri: str):
+def filesystem(uri: str):
     from pyarrow.fs import FileSystem
 
     return FileSystem.from_uri(uri)
@@ -45,7 +45,7 @@ def container_files(path: str) -> list[tuple[str, int]]:
 
     wild = re.search(r"[*?\[]", path)
     base = path[: path.rindex("/", 0, wild.start())] if wild else path
-    fs, root = _filesystem(base)
+    fs, root = filesystem(base)
     if not wild and fs.get_file_info(root).type == FileType.File:
         return [(path, fs.get_file_info(root).size)]
     found = [x for x in fs.get_file_info(FileSelector(root, recursive=bool(wild))) if x.type == FileType.File]
@@ -121,7 +121,7 @@ class ContainerReader(DataSourceReader):
     def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
         if not partition.file:
             return
-        fs, path = _filesystem(partition.file)
+        fs, path = filesystem(partition.file)
         with fs.open_input_file(path) as f:
             rows, held = [], 0
             for row in range_chunks(_Bytes(f, partition.size), partition, self.tags):

@@ -153,7 +153,7 @@ def spectrogram_stream(samples: DataFrame, nfft: int, hop: int, dt_us: int, min_
     """
 
     def step(pdf, state):
-        tail, head, end, last_t, newest, col, resumed = state or ([], int(pdf["idx"].iloc[0]), nfft, None, int(pdf["at_us"].iloc[0]), 0, 0)
+        tail, head, end, last_t, newest, col = state or ([], int(pdf["idx"].iloc[0]), nfft, None, int(pdf["at_us"].iloc[0]), 0)
         t, n = pdf["at_us"].to_numpy(), len(pdf)
         x = np.concatenate([np.asarray(tail, float), pdf["value"].to_numpy(float)])
         base = head - len(tail)
@@ -182,10 +182,10 @@ def spectrogram_stream(samples: DataFrame, nfft: int, hop: int, dt_us: int, min_
                 end = gap_at + nfft
         keep = x[max(0, len(x) - nfft) :]
         told = pd.DataFrame(out, columns=["col", "end_idx", "t_us", "power"]).astype({"end_idx": "Int64"})
-        return told, (keep.tolist(), int(at), int(end), int(t[-1]), int(newest), int(col), 0)
+        return told, (keep.tolist(), int(at), int(end), int(t[-1]), int(newest), int(col))
 
     own = samples.select("stream_key", "channel", "idx", "t_us", "value")
-    return in_order(own, ["stream_key", "channel"], "t_us", ["idx"], step, "col long, end_idx long, t_us long, power array<double>", "tail array<double>, head long, next_end long, last_us long, newest_us long, col long, spare long", late)
+    return in_order(own, ["stream_key", "channel"], "t_us", ["idx"], step, "col long, end_idx long, t_us long, power array<double>", "tail array<double>, head long, next_end long, last_us long, newest_us long, col long", late)
 
 
 def real_time_stream(rows: DataFrame, gaps: DataFrame, late: str = LATE) -> DataFrame:
