@@ -91,7 +91,7 @@ def test_pipeline_against_a_plain_version(spark, data):
 
 
 def test_queries_and_sql_match_by_name():
-    assert set(ORACLE) <= set(QUERIES) and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert set(ORACLE) <= set(QUERIES) and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
 
 
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
