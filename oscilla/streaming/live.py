@@ -28,8 +28,8 @@ def read_markers(spark: SparkSession, path: str, schema: str, parts: list[str],
 
 
 def record_stream(samples: DataFrame, path: str, checkpoint: str):
-    """Appends raw samples, partitioned by stream; the checkpoint makes each batch count once."""
-    return samples.writeStream.format("parquet").partitionBy("stream_key").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Appends raw samples, a file a task and batch however many streams there are; the checkpoint makes each batch count once."""
+    return samples.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _with_state(samples: DataFrame, keys: list[str], order: list[str], step, out: str, state: str) -> DataFrame:

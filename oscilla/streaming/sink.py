@@ -28,11 +28,11 @@ class RecordingSink:
             place = lambda table: f"{self.path}/{table}/batch={batch_id}"
             samples = own.drop("offset_us") if "offset_us" in own.columns else own
             # the footer last: what has one is whole
-            samples.repartition("stream_key").sortWithinPartitions("stream_key", "seq").write.mode("overwrite").partitionBy("stream_key").parquet(place("samples"))
+            samples.hint("rebalance", "stream_key").sortWithinPartitions("stream_key", "seq").write.mode("overwrite").parquet(place("samples"))
             if "offset_us" in own.columns:
                 clock_offsets(own.where("offset_us is not null")).write.mode("overwrite").parquet(place("clock_offsets"))
             ends = own.groupBy("stream_key").agg(F.min(F.struct("seq", "t_us")).alias("first"), F.max(F.struct("seq", "t_us")).alias("last"), F.count("*").alias("n"))
-            ends.coalesce(1).write.mode("overwrite").parquet(place("footers"))
+            ends.write.mode("overwrite").parquet(place("footers"))
             if batch_id and batch_id % FOLD == 0:
                 self._fold(own.sparkSession, batch_id)
         finally:
@@ -61,8 +61,7 @@ class RecordingSink:
         return own.unionByName(later)
 
     def samples(self, spark: SparkSession) -> DataFrame:
-        own = spark.read.option("basePath", f"{self.path}/samples").parquet(f"{self.path}/samples")
-        return own.withColumn("stream_key", F.col("stream_key").cast("string")).drop("batch")
+        return spark.read.option("basePath", f"{self.path}/samples").parquet(f"{self.path}/samples").drop("batch")
 
     def clock_offsets(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/clock_offsets").drop("batch")
