@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oscilla.operators import events as e
 from oscilla.operators import timebase
@@ -48,51 +49,78 @@ def t4_gaps_stream(spark, d):
 QUERIES |= {"t4_gaps_stream": t4_gaps_stream}
 ORACLE |= {"t4_gaps_stream": f"with {GAPS} {GAP_ROWS}"}
 
-#: Arrivals come in files of 150 seconds, the last of which holds all that is left; of the last ten seconds of a file every other sample comes in the next one.
+#: Arrivals come in parts of 150 seconds, the last of which holds all that is left; of the last ten seconds of a part every other sample comes in the next one.
 FILE_US, TAIL_US, FILES, LATE_S = 150_000_000, 140_000_000, 4, 30
 LATE = f"{LATE_S} seconds"
 #: What the watermark has passed in the end.
 SETTLED = f"{ARR}, settled as (select * from arr where t_us <= (select max(t_us) from arr) - {LATE_S} * 1000000)"
 
 
-def _as_stream(spark, df):
-    """df (with t_us or old_us) as a stream that comes file by file, some rows late."""
-    folder = recording.fresh_folder(spark, "arrivals")
-    at = F.col("t_us" if "t_us" in df.columns else "old_us") - START_US
-    late = (F.pmod(at, F.lit(FILE_US)) >= TAIL_US) & (F.pmod(at / STEP_US, F.lit(2)) < 1)
-    filed = df.withColumn("file", F.least(F.floor(at / FILE_US) + late.cast("int"), F.lit(FILES - 1)))
-    for k in range(FILES):
-        filed.where(F.col("file") == k).drop("file").coalesce(1).write.parquet(f"{folder}/{k}")
-    return live.read_stream(spark, f"{folder}/*", df.schema, maxFilesPerTrigger="1")
+class Arriving:
+    """df (with t_us or old_us) as a ``stream`` that comes part by part, some rows late. A part is a folder, of as many files as its size needs."""
+
+    def __init__(self, spark, df):
+        self.spark, self.schema, self.folder = spark, df.schema, recording.fresh_folder(spark, "arrivals")
+        at = F.col("t_us" if "t_us" in df.columns else "old_us") - START_US
+        late = (F.pmod(at, F.lit(FILE_US)) >= TAIL_US) & (F.pmod(at / STEP_US, F.lit(2)) < 1)
+        filed = df.withColumn("file", F.least(F.floor(at / FILE_US) + late.cast("int"), F.lit(FILES - 1)).cast("int"))
+        filed.write.partitionBy("file").parquet(f"{self.folder}/all")
+        self.stream = live.read_stream(spark, f"{self.folder}/come/*", df.schema)
+
+    def come(self, k: int) -> None:
+        """Puts part k where the stream looks."""
+        stored = T.StructType([*self.schema.fields, T.StructField("file", T.IntegerType())])
+        self.spark.read.schema(stored).parquet(f"{self.folder}/all").where(F.col("file") == k).drop("file").write.parquet(f"{self.folder}/come/{k}")
+
+
+def _as_it_comes(start, *arriving: Arriving) -> None:
+    """Runs a stream once after each part has come, from its checkpoint; so a batch is a part, whatever the number of its files. Only the last run lets the watermark's move be a batch of its own."""
+    conf, name = arriving[0].spark.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    try:
+        for k in range(FILES):
+            for a in arriving:
+                a.come(k)
+            conf.set(name, str(k == FILES - 1).lower() if before == "true" else before)
+            start().awaitTermination()
+    finally:
+        conf.set(name, before)
+
+
+def _settled(spark, df, *arriving: Arriving):
+    """What the stream df over ``arriving`` has written when all parts have come."""
+    folder = recording.fresh_folder(spark, "stream")
+    _as_it_comes(lambda: live.record_stream(df, f"{folder}/data", f"{folder}/checkpoint"), *arriving)
+    return recording.read_recording(spark, f"{folder}/data")
 
 
 def d1_bins_stream(spark, d):
-    own = _as_stream(spark, arrivals(spark, d).select("stream_key", "channel", "idx", "t_us", "value"))
-    return _written(spark, live.closed_bins_stream(own, 32)).select("stream_key", "bin", "lo", "hi")
+    own = Arriving(spark, arrivals(spark, d).select("stream_key", "channel", "idx", "t_us", "value"))
+    return _settled(spark, live.closed_bins_stream(own.stream, 32), own).select("stream_key", "bin", "lo", "hi")
 
 
 def t4_gaps_late_stream(spark, d):
-    own = _as_stream(spark, arrivals(spark, d).select("stream_key", F.col("idx").alias("seq"), "t_us"))
-    return _written(spark, live.gaps_stream(own, STEP_US, late=LATE)).select("stream_key", "gap_no", "old_us", "gap_us", "cum_us", "resume_real_us")
+    own = Arriving(spark, arrivals(spark, d).select("stream_key", F.col("idx").alias("seq"), "t_us"))
+    return _settled(spark, live.gaps_stream(own.stream, STEP_US, late=LATE), own).select("stream_key", "gap_no", "old_us", "gap_us", "cum_us", "resume_real_us")
 
 
 def t10_hold_stream(spark, d):
-    own = _as_stream(spark, arrivals(spark, d).where("not lost").select("stream_key", "channel", F.col("idx").alias("seq"), "t_us", "value"))
-    return _written(spark, live.hold_stream(own, 700_000, LATE)).select("stream_key", "idx", "t_us", "value")
+    own = Arriving(spark, arrivals(spark, d).where("not lost").select("stream_key", "channel", F.col("idx").alias("seq"), "t_us", "value"))
+    return _settled(spark, live.hold_stream(own.stream, 700_000, LATE), own).select("stream_key", "idx", "t_us", "value")
 
 
 def q5_spectrogram_stream(spark, d):
     """The spectrogram through dropouts of q7, as samples come."""
-    own = _as_stream(spark, arrivals(spark, d).select("stream_key", "channel", "idx", "t_us", (F.col("value") / 1000).alias("value")))
-    out = _written(spark, live.spectrogram_stream(own, NF, NH, STEP_US, late=LATE))
+    own = Arriving(spark, arrivals(spark, d).select("stream_key", "channel", "idx", "t_us", (F.col("value") / 1000).alias("value")))
+    out = _settled(spark, live.spectrogram_stream(own.stream, NF, NH, STEP_US, late=LATE), own)
     return out.select("stream_key", "col", "end_idx", "t_us", F.posexplode_outer("power").alias("k", "power")).withColumn("power", F.round("power", 2))
 
 
 def t5_real_time_stream(spark, d):
     own = arrivals(spark, d).withColumn("seq", F.col("idx"))
-    rows = _as_stream(spark, own.select("stream_key", (F.col("idx") * STEP_US + START_US).alias("old_us"), "seq"))
-    gaps = _as_stream(spark, timebase.detect_gaps(own, STEP_US).select("stream_key", "old_us", "gap_us"))
-    return _written(spark, live.real_time_stream(rows, gaps, LATE)).select("stream_key", "seq", "old_us", "real_us")
+    rows = Arriving(spark, own.select("stream_key", (F.col("idx") * STEP_US + START_US).alias("old_us"), "seq"))
+    gaps = Arriving(spark, timebase.detect_gaps(own, STEP_US).select("stream_key", "old_us", "gap_us"))
+    return _settled(spark, live.real_time_stream(rows.stream, gaps.stream, LATE), rows, gaps).select("stream_key", "seq", "old_us", "real_us")
 
 
 #: Samples before and after an event; events are the prices whose tens end with 3.
@@ -102,28 +130,28 @@ PRE, POST = 4, 8
 def e12_erp_stream(spark, d):
     """The average of the epochs that are whole, over a stream that lacks some samples."""
     own = arrivals(spark, d)
-    samples = _as_stream(spark, own.where("not lost").select("stream_key", "channel", "idx", "t_us", "value"))
-    marks = _as_stream(spark, own.where("floor(value / 10) % 10 = 3").select("stream_key", F.col("idx").alias("seq"), "idx", "t_us"))
-    ep = _written(spark, live.epochs_stream(samples, marks, PRE, POST, LATE))
+    samples = Arriving(spark, own.where("not lost").select("stream_key", "channel", "idx", "t_us", "value"))
+    marks = Arriving(spark, own.where("floor(value / 10) % 10 = 3").select("stream_key", F.col("idx").alias("seq"), "idx", "t_us"))
+    ep = _settled(spark, live.epochs_stream(samples.stream, marks.stream, PRE, POST, LATE), samples, marks)
     return e.erp(e.baseline(ep, PRE)).select(F.col("channel").cast("long").alias("channel"), "bin", F.round("mean", 4).alias("mean"), "n")
 
 
 def s10_presence_stream(spark, d):
     """Announcements of three seconds in nine, with beacons among them."""
-    own = arrivals(spark, d).where("idx % 9 < 3").select("stream_key", F.concat(F.lit("n"), (F.col("idx") % 2).cast("string")).alias("name"), F.when(F.col("lost"), "Control").otherwise("EEG").alias("type"), F.lit("id").alias("source_id"), "t_us")
-    return _written(spark, live.presence_stream(_as_stream(spark, own), LATE)).select("stream_key", "name", "state", "t_us")
+    own = Arriving(spark, arrivals(spark, d).where("idx % 9 < 3").select("stream_key", F.concat(F.lit("n"), (F.col("idx") % 2).cast("string")).alias("name"), F.when(F.col("lost"), "Control").otherwise("EEG").alias("type"), F.lit("id").alias("source_id"), "t_us"))
+    return _settled(spark, live.presence_stream(own.stream, LATE), own).select("stream_key", "name", "state", "t_us")
 
 
 def h2_markers_stream(spark, d):
-    own = arrivals(spark, d).select("stream_key", "t_us", F.floor("value").cast("string").alias("label"))
-    return _written(spark, live.markers_stream(_as_stream(spark, own), 100, LATE)).select("stream_key", "seq", "t_us", "label")
+    own = Arriving(spark, arrivals(spark, d).select("stream_key", "t_us", F.floor("value").cast("string").alias("label")))
+    return _settled(spark, live.markers_stream(own.stream, 100, LATE), own).select("stream_key", "seq", "t_us", "label")
 
 
 def h11_retained_stream(spark, d):
     """The ring of the newest 100 that the stream's state holds in the end."""
-    own = arrivals(spark, d).select("stream_key", "t_us", F.floor("value").cast("string").alias("label"))
+    own = Arriving(spark, arrivals(spark, d).select("stream_key", "t_us", F.floor("value").cast("string").alias("label")))
     folder = recording.fresh_folder(spark, "stream")
-    live.record_stream(live.markers_stream(_as_stream(spark, own), 100, LATE), f"{folder}/data", f"{folder}/checkpoint").awaitTermination()
+    _as_it_comes(lambda: live.record_stream(live.markers_stream(own.stream, 100, LATE), f"{folder}/data", f"{folder}/checkpoint"), own)
     return live.retained(spark, f"{folder}/checkpoint")
 
 
@@ -134,7 +162,8 @@ def s3_s5_sink(spark, d):
     own = arrivals(spark, d).select("stream_key", F.col("idx").alias("seq"), "t_us", "value")
     folder = recording.fresh_folder(spark, "sink")
     out = RecordingSink(f"{folder}/recording")
-    out.start(_as_stream(spark, own), f"{folder}/checkpoint").awaitTermination()
+    arriving = Arriving(spark, own)
+    _as_it_comes(lambda: out.start(arriving.stream, f"{folder}/checkpoint"), arriving)
     out.write(own.where("false"), FILES)
     held = out.samples(spark).groupBy("stream_key").agg(F.count("*").alias("held"), F.sum("seq").alias("seqs"))
     return out.footers(spark).join(held, "stream_key")

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
 
 LATE = "60 seconds"
@@ -29,7 +31,9 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        # the rows of a key that wait are one value: a list of them costs a call and a conversion a row
+        self.arrow = to_arrow_schema(self.schema)
+        self.waiting = handle.getValueState("waiting", "rows binary")
         self.kept = handle.getValueState("kept", self.state)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -45,25 +49,28 @@ class Ordered(StatefulProcessor):
             yield rows[self.out]
 
     def _release(self, key, new: pd.DataFrame | None, times) -> Iterator[pd.DataFrame]:
-        old = pd.DataFrame(list(self.waiting.get()), columns=self.columns) if self.waiting.exists() else None
+        held = self.waiting.get()
+        old = pa.ipc.read_record_batch(pa.py_buffer(held[0]), self.arrow).to_pandas() if held else None
         rows = new if old is None else old if new is None else pd.concat([old, new])
         mark = times.getCurrentWatermarkInMs() * 1000
         if rows is not None:
             passed = rows["at_us"] <= mark
             if passed.any():
                 ready = rows[passed].sort_values(["at_us", *self.order], kind="stable")
-                told, state = self.step(ready, tuple(self.kept.get()) if self.kept.exists() else None)
+                kept = self.kept.get()
+                told, state = self.step(ready, tuple(kept) if kept else None)
                 self.kept.update(state)
                 yield from self._told(key, told)
             left = rows[~passed]
             if passed.any() or new is not None:
-                self.waiting.clear()
                 if len(left):
-                    self.waiting.put([tuple(r) for r in left.astype(object).where(left.notna(), None).itertuples(index=False)])
+                    self.waiting.update((pa.RecordBatch.from_pandas(left, self.arrow, preserve_index=False).serialize().to_pybytes(),))
+                elif held:
+                    self.waiting.clear()
             if len(left):
                 self._call_at(int(left["at_us"].min()))
-        if self.tick and self.kept.exists():
-            told, state, again = self.tick(tuple(self.kept.get()), mark)
+        if self.tick and (kept := self.kept.get()):
+            told, state, again = self.tick(tuple(kept), mark)
             self.kept.update(state)
             yield from self._told(key, told)
             if again is not None:
