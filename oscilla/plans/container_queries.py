@@ -1,4 +1,4 @@
-"""Queries that write the price signals of suppliers as containers, a few chunks a file, and read them back."""
+"""Queries that write the price signals of suppliers as containers, a few chunks of a few suppliers a file, and read them back."""
 
 from __future__ import annotations
 
@@ -14,8 +14,10 @@ from oscilla.sources import containers, recording
 from oscilla.sources.views import DENSE, dense
 
 QUERIES, ORACLE = {}, {}
-#: Samples of a chunk, chunks of a file and bytes of a range that one task reads.
+#: Samples of a chunk, chunks of a stream in a file and bytes of a range.
 CHUNK, CHUNKS_A_FILE, SPLIT = 16, 8, 1024
+#: Streams of a file.
+STREAMS_A_FILE = 16
 
 
 def _chunk(tag: int, body: bytes, stream: int | None = None) -> bytes:
@@ -29,21 +31,31 @@ def _header(stream: int, name: str, unit: str) -> bytes:
 
 
 def _write(folder: str):
-    """A file of each group: header, chunks of two channels with boundaries between them, a clock offset and a footer."""
+    """A file of each group: of each stream header, clock offset, chunks of two channels with boundaries between them, and footer."""
+
+    def stream(supplier: int, part: int, name: str, unit: str, idx: list[int], values: list[float]) -> list[bytes]:
+        out = [_chunk(containers.HEADER, _header(supplier, name, unit), supplier), _chunk(containers.OFFSET, struct.pack("<dd", part, 0.25), supplier)]
+        # every third sample leaves its stamp to the rate
+        samples = [struct.pack("<Bdd", 0, v, 2 * v) if i % 3 == 1 else struct.pack("<Bddd", 8, i * 0.5, v, 2 * v) for i, v in zip(idx, values, strict=True)]
+        for at in range(0, len(samples), CHUNK):
+            own = samples[at : at + CHUNK]
+            out += [_chunk(containers.SAMPLES, b"\x01" + bytes([len(own)]) + b"".join(own), supplier), _chunk(containers.BOUNDARY, containers.MARK)]
+        footer = f"<info><first_timestamp>{idx[0] * 0.5}</first_timestamp><last_timestamp>{idx[-1] * 0.5}</last_timestamp><sample_count>{len(idx)}</sample_count></info>"
+        return [*out, _chunk(containers.FOOTER, footer.encode(), supplier)]
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        supplier, part, name, unit = key
-        rows = rows.sort_values("idx")
-        out = [containers.MAGIC, _chunk(1, b"<info/>"), _chunk(containers.HEADER, _header(supplier, name, unit), supplier), _chunk(containers.OFFSET, struct.pack("<dd", part, 0.25), supplier)]
-        for _, own in rows.groupby(rows["idx"] // CHUNK):
-            # every third sample leaves its stamp to the rate
-            samples = [(b"\x00" if i % 3 == 1 else b"\x08" + struct.pack("<d", i * 0.5)) + np.array([v, 2 * v], "<f8").tobytes() for i, v in zip(own["idx"], own["value"], strict=True)]
-            out += [_chunk(containers.SAMPLES, b"\x01" + bytes([len(own)]) + b"".join(samples), supplier), _chunk(containers.BOUNDARY, containers.MARK)]
-        footer = f"<info><first_timestamp>{rows['idx'].iloc[0] * 0.5}</first_timestamp><last_timestamp>{rows['idx'].iloc[-1] * 0.5}</last_timestamp><sample_count>{len(rows)}</sample_count></info>"
-        out.append(_chunk(containers.FOOTER, footer.encode(), supplier))
+        pack, part = key
+        out = [containers.MAGIC, _chunk(1, b"<info/>")]
+        rows = rows.sort_values(["supplier", "idx"])
+        suppliers = rows["supplier"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(suppliers)) + 1).tolist(), len(rows)]
+        columns = [rows[c].tolist() for c in ("name", "unit", "idx", "value")]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            name, unit, idx, values = (c[a:b] for c in columns)
+            out += stream(int(suppliers[a]), part, name[0], unit[0], idx, values)
         fs, path = containers.filesystem(folder)
         fs.create_dir(path)
-        with fs.open_output_stream(f"{path}/{supplier}-{part}.xdf") as f:
+        with fs.open_output_stream(f"{path}/{pack}-{part}.xdf") as f:
             f.write(b"".join(out))
         return pd.DataFrame({"n": [len(rows)]})
 
@@ -55,7 +67,7 @@ def _recorded(spark, d, label="recording", unit="'euros'") -> str:
     folder = recording.fresh_folder(spark, label)
     names = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("stream_key"), F.col("s_name").alias("name"), F.expr(unit).alias("unit"))
     rows = dense(spark, d).join(names, "stream_key").select(F.col("stream_key").cast("long").alias("supplier"), F.expr(f"idx div {CHUNK * CHUNKS_A_FILE}").alias("part"), "name", "unit", "idx", "value")
-    written = rows.groupBy("supplier", "part", "name", "unit").applyInPandas(_write(folder), "n long")
+    written = rows.groupBy(F.expr(f"supplier div {STREAMS_A_FILE}").alias("pack"), "part").applyInPandas(_write(folder), "n long")
     written.agg(F.sum("n")).collect()
     return folder
 

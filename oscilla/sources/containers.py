@@ -2,7 +2,7 @@
 
 A container is a magic word and then chunks, each with its length. Boundary chunks hold a fixed 16-byte mark, so a reader may begin anywhere: a
 file is cut into byte ranges, and a range holds the chunks from the first mark that begins in it up to that of a later range.
-So many tasks read one file, no task holds more of it than a few megabytes and one chunk, and a file that ends in the middle of a chunk gives all
+So many tasks read one file, a task reads many small ones, no task holds more of it than a few megabytes and one chunk, and a file that ends in the middle of a chunk gives all
 whole ones. Chunks whose content is not asked for are passed over without reading it.
 """
 
@@ -29,8 +29,10 @@ FORMATS = {"float32": "<f4", "double64": "<f8", "int8": "<i1", "int16": "<i2", "
 HEADER, SAMPLES, OFFSET, BOUNDARY, FOOTER = 2, 3, 4, 5, 6
 
 CHUNKS = "file string, position long, tag int, stream_id long, size long, content binary"
-#: Bytes of a file that one task reads, of a read, and of the contents of one batch.
+#: Bytes of a range, of a read, and of the contents of one batch.
 SPLIT, READ, BATCH = 128 << 20, 4 << 20, 16 << 20
+#: Bytes that a task reads, and how many more a file counts for.
+TASK, OPEN = 128 << 20, 4 << 20
 
 
 def filesystem(uri: str):
@@ -67,7 +69,7 @@ class _Bytes:
     def find(self, what: bytes, begin: int, end: int) -> int:
         """Where ``what`` first begins within begin..end, or -1."""
         for at in range(begin, end, READ):
-            n = min(READ + len(what) - 1, self.size - at)
+            n = min(min(READ, end - at) + len(what) - 1, self.size - at)
             found = self.get(at, n).find(what) if n >= len(what) else -1
             if found >= 0 and at + found < end:
                 return at + found
@@ -79,6 +81,28 @@ class FileRange(InputPartition):
         self.file, self.size, self.begin, self.end = file, size, begin, end
 
 
+class Share(InputPartition):
+    """What one task reads: pieces of files, each of one or more ranges."""
+
+    def __init__(self, pieces: list[FileRange]):
+        self.pieces = pieces
+
+
+def shares(files: list[tuple[str, int]], split: int) -> list[Share]:
+    """The files dealt to tasks: TASK bytes each (a range at least), a file counting OPEN more, so that the tasks go with the bytes and files and not with the ranges."""
+    out, held, room = [], [], TASK
+    step = max(TASK // split, 1) * split
+    for file, size in files:
+        for at in range(0, max(size, 1), step):
+            end = min(at + step, size)
+            if held and end - at + OPEN > room:
+                out.append(Share(held))
+                held, room = [], TASK
+            held.append(FileRange(file, size, at, end))
+            room -= end - at + OPEN
+    return [*out, Share(held)]
+
+
 def range_chunks(read: _Bytes, part: FileRange, tags: set[int] | None) -> Iterator[tuple[int, int, int | None, int, bytes | None]]:
     """(position, tag, stream id, size, content) of the chunks of a range; content is None if its tag is not among ``tags``."""
     if part.begin == 0:
@@ -115,23 +139,28 @@ class ContainerReader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("split", SPLIT))
         self.tags = {int(t) for t in options["tags"].split(",") if t} if "tags" in options else None
 
-    def partitions(self) -> list[FileRange]:
-        return [FileRange(file, size, at, min(at + self.split, size)) for file, size in container_files(self.path) for at in range(0, max(size, 1), self.split)] or [FileRange("", 0, 0, 0)]
-
-    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
-        if not partition.file:
-            return
-        fs, path = filesystem(partition.file)
-        with fs.open_input_file(path) as f:
-            rows, held = [], 0
-            for row in range_chunks(_Bytes(f, partition.size), partition, self.tags):
-                rows.append((partition.file, *row))
-                held += len(row[-1] or b"") + 64
-                if held >= BATCH:
-                    yield _batch(rows)
-                    rows, held = [], 0
-            if rows:
+    def partitions(self) -> list[Share]:
+        return shares(container_files(self.path), self.split)
+
+    def _chunks(self, share: Share) -> Iterator[tuple]:
+        for piece in share.pieces:
+            fs, path = filesystem(piece.file)
+            with fs.open_input_file(path) as f:
+                own = _Bytes(f, piece.size)
+                for at in range(piece.begin, max(piece.end, piece.begin + 1), self.split):
+                    for row in range_chunks(own, FileRange(piece.file, piece.size, at, min(at + self.split, piece.end)), self.tags):
+                        yield piece.file, *row
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row in self._chunks(partition):
+            rows.append(row)
+            held += len(row[-1] or b"") + 64
+            if held >= BATCH:
                 yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -5,7 +5,7 @@ import glob
 from pyspark.sql import functions as F
 
 from oscilla.plans import stream_queries
-from oscilla.sources import recording
+from oscilla.sources import containers, recording
 from oscilla.streaming import live, sink
 
 
@@ -42,3 +42,16 @@ def test_a_part_of_arrivals_is_one_batch_of_many_files(spark):
     stream_queries._as_it_comes(start, own)
     assert [k for k, _, _ in seen] == list(range(stream_queries.FILES)) and sum(n for _, n, _ in seen) == 4000
     assert max(f for _, _, f in seen) > 1
+
+
+def test_tasks_go_with_the_bytes_and_files_of_containers_not_with_ranges():
+    small, large = [(f"{i}", 50_000) for i in range(1000)], ("x", 3 * containers.TASK + 5)
+    for split in (1024, containers.SPLIT):
+        dealt = containers.shares([*small, large], split)
+        assert len(dealt) <= 1000 * (containers.OPEN + 50_000) // containers.TASK + 8
+        spans = {}
+        for piece in (p for share in dealt for p in share.pieces):
+            spans.setdefault(piece.file, []).append((piece.begin, piece.end))
+            assert piece.begin % split == 0
+        assert all(x[0][0] == 0 and all(a[1] == b[0] for a, b in zip(x, x[1:])) for x in spans.values())
+        assert {f: x[-1][1] for f, x in spans.items()} == dict([*small, large])
