@@ -11,7 +11,7 @@ from oscilla.operators import events as e
 from oscilla.operators import reconcile as r
 from oscilla.operators import spectral as q
 from oscilla.operators import timebase
-from oscilla.plans.signal_queries import GAPS, HELD, gaps, held
+from oscilla.plans.signal_queries import GAPS, HELD, gaps, held, held_chunks
 from oscilla.sources.views import ARR, EV, HOUR, STEP_US, TRIALS, arrivals, events, trials
 
 QUERIES, ORACLE = {}, {}
@@ -69,7 +69,7 @@ win as (select stream_key, s + {NFFT} as end_idx, v[s + 1 : s + {NFFT}] as v fro
 
 
 def columns(spark, d):
-    return q.stft(c.to_chunks(held(spark, d), 128), NFFT, HOP, 1.0)
+    return q.stft(held_chunks(spark, d, 128), NFFT, HOP, 1.0)
 
 
 @query(f"with {WINDOWS}, {psd_sql('win', 'stream_key, end_idx', NFFT, 1.0)} select stream_key, end_idx, cast(k as int) as k, round(power, 4) as power from psd")
@@ -113,7 +113,7 @@ WIDE = q.stft_hop(0.001, NFFT)
 
 @query(f"""with {HELD}, sig as (select stream_key, count(*) as n from held group by stream_key) select stream_key, unnest(range(0, n - {NFFT} + 1, 30)) + {NFFT} as end_idx from sig where n >= {NFFT}""")
 def q6_hop(spark, d):
-    return q.stft(c.to_chunks(held(spark, d), 128), NFFT, WIDE, 1000.0).select("stream_key", "end_idx")
+    return q.stft(held_chunks(spark, d, 128), NFFT, WIDE, 1000.0).select("stream_key", "end_idx")
 
 
 @query(f"""with {WINDOWS}, {psd_sql('win', 'stream_key, end_idx', NFFT, 1.0)}, db as (select stream_key, end_idx, k, 10 * log10(power + 1e-12) as db from psd), pk as (select stream_key, max(db) as p from db group by stream_key having max(db) > -120),
@@ -141,7 +141,7 @@ def index(spark, d):
 
 
 def cut(spark, d):
-    return e.epochs(c.to_chunks(held(spark, d), CHUNK), index(spark, d), PRE, POST, CHUNK)
+    return e.epochs(held_chunks(spark, d, CHUNK), index(spark, d), PRE, POST, CHUNK)
 
 
 def cells(ep):

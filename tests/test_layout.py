@@ -55,3 +55,21 @@ def test_tasks_go_with_the_bytes_and_files_of_containers_not_with_ranges():
             assert piece.begin % split == 0
         assert all(x[0][0] == 0 and all(a[1] == b[0] for a, b in zip(x, x[1:])) for x in spans.values())
         assert {f: x[-1][1] for f, x in spans.items()} == dict([*small, large])
+
+
+def test_holding_exchanges_samples_and_not_points(spark):
+    """Long pauses, nulls first, ties within a step, and pieces without a sample; chunks are the same points."""
+    from oscilla.operators import condition, timebase
+
+    own = [("a", "x", i, t, v) for i, (t, v) in enumerate([(0, None), (2500, 1.0), (2600, 2.0), (2600, 3.0), (99_000, 4.0), (100_700, 5.0)])] + [("a", "y", 9, 40_000, None), ("b", "x", 1, 7, 6.0)]
+    df = spark.createDataFrame(own, "stream_key string, channel string, seq long, t_us long, value double")
+    held = timebase.sample_and_hold(df, 1000, 16)
+    got = {(r.stream_key, r.channel, r.idx): (r.t_us, r.value) for r in held.collect()}
+    x = lambda i: None if i < 3 else 3.0 if i < 99 else 4.0
+    want = {("a", c, i): (1000 * i, x(i) if c == "x" else None) for c in "xy" for i in range(101)} | {("b", "x", 0): (7, 6.0)}
+    assert got == want and held.count() == len(want)
+    chunks = timebase.hold_chunks(df, 1000, 16)
+    assert sorted(map(str, chunks.collect())) == sorted(map(str, condition.to_chunks(held, 16).collect()))
+    # one exchange of samples and pieces holds the points: none comes after the run lengths
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode(sequence(first")]
