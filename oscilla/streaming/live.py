@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from oscilla.operators.condition import Chain, Options
 from oscilla.operators.markers import marker_text
 from oscilla.operators.spectral import power
-from oscilla.streaming.ordered import LATE, in_order
+from oscilla.streaming.ordered import LATE, Grouped, by_group, in_order
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -34,17 +35,8 @@ def record_stream(samples: DataFrame, path: str, checkpoint: str):
 
 def _with_state(samples: DataFrame, keys: list[str], order: list[str], step, out: str, state: str) -> DataFrame:
     """step(pdf in order, state or None) -> (rows out, state) for each key's rows of a batch; one small state a key."""
-
-    def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows, now = step(pd.concat(list(batches)).sort_values(order), held.get if held.exists else None)
-        if now is not None:
-            held.update(now)
-        for name, k in zip(reversed(keys), reversed(key), strict=True):
-            rows.insert(0, name, k)
-        yield rows
-
-    types = {f.name: f.dataType.simpleString() for f in samples.schema}
-    return samples.groupBy(*keys).applyInPandasWithState(run, ", ".join([*(f"{k} {types[k]}" for k in keys), out]), state, "append", GroupStateTimeout.NoTimeout)
+    call = Grouped(T.StructType([samples.schema[k] for k in keys]), samples.columns, order, step)
+    return by_group(samples, keys, call, out, state, GroupStateTimeout.NoTimeout)
 
 
 def _stream(samples: DataFrame, keys: list[str], time: str, order: list[str], step, out: str, state: str, late: str | None) -> DataFrame:
@@ -97,7 +89,7 @@ def gaps_stream(samples: DataFrame, dt_us: int, min_gap_us: int = 250_000, late:
         out = []
         t = pdf["t_us"].to_numpy()
         steps = np.diff(t, prepend=t[0] if last is None else last) - dt_us
-        for i in np.flatnonzero(steps > min_gap_us):
+        for i in np.flatnonzero(steps > min_gap_us).tolist():
             number, total = number + 1, total + int(steps[i])
             out.append((number, int(t[i]) - total, int(steps[i]), total, int(t[i])))
         return pd.DataFrame(out, columns=["gap_no", "old_us", "gap_us", "cum_us", "resume_real_us"]), (int(t[-1]), number, total)
@@ -222,8 +214,8 @@ def markers_stream(markers: DataFrame, keep: int = 20_000, late: str = LATE) ->
 
 def retained(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(stream_key, seq, t_us, label) of the rings that a query over markers_stream() holds in its checkpoint."""
-    rings = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "kept").load()
-    own = rings.select(F.col("key.stream_key").alias("stream_key"), F.col("value.n").alias("n"), F.size("value.times").alias("held"), F.posexplode(F.arrays_zip("value.times", "value.labels")).alias("k", "m"))
+    rings = spark.read.format("statestore").option("path", checkpoint).load().select(F.explode("value.groupState.kept").alias("ring")).select("ring.*")
+    own = rings.select("stream_key", "n", F.size("times").alias("held"), F.posexplode(F.arrays_zip("times", "labels")).alias("k", "m"))
     return own.select("stream_key", (F.col("n") - F.col("held") + F.col("k") + 1).alias("seq"), F.col("m.times").alias("t_us"), F.col("m.labels").alias("label"))
 
 

@@ -149,3 +149,15 @@ def test_presence_tells_streams_that_are_there(spark, tmp_path):
     got = run(spark, tmp_path, [(rows, "stream_key string, name string, type string, source_id string, t_us long")], lambda s: live.presence_stream(s, "1 second"), (0.3, 0.6), "a")
     told = sorted((r.stream_key, (r.t_us - T0) / 1e6, r.name, r.state) for r in got.collect())
     assert told == sorted([("a", 0.0, "A", "there"), ("b", 0.1, "B", "there"), ("b", 0.6, "B", "late"), ("b", 1.1, "B", "stale"), ("b", 1.5, "B2", "there"), ("b", 2.0, "B2", "late"), ("b", 2.5, "B2", "stale"), ("b", 6.5, "B2", "gone"), ("e", 0.0, "E", "there"), ("e", 0.5, "E", "late"), ("e", 1.0, "E", "stale"), ("e", 5.0, "E", "gone")])
+
+
+def test_streams_share_calls_and_states_by_group(spark, tmp_path):
+    """More streams than groups, in two batches: each is told by itself, but a call and a state are a group's."""
+    from oscilla.streaming.ordered import GROUPS
+
+    rows = [(f"s{k}", i, T0 + i * 100_000 + (k + 1) * 1_000_000 * (i >= 3)) for i in range(5) for k in range(GROUPS + 300)]
+    schema = "stream_key string, seq long, t_us long"
+    got = run(spark, tmp_path, [(rows, schema)], lambda s: live.gaps_stream(s, 100_000), (0.5,), "many")
+    assert same(got, timebase.detect_gaps(spark.createDataFrame(rows, schema), 100_000)) and got.count() == GROUPS + 300
+    states = spark.read.format("statestore").load(f"file://{tmp_path}/many/cp")
+    assert states.count() <= GROUPS
