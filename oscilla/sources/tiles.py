@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ class Tiles:
     """A table of min/max bins below ``path``: level 0 has bins of ``width`` samples, each level above FACTOR times as many.
 
     Bins never change once they are closed, so a recording that grows only adds tiles: add() takes samples of whole tiles of the
-    topmost level and writes them to folders of their own, named by level and range; one that is added again is overwritten.
+    topmost level and writes them to folders of their own, named by level and range; one that is added again is overwritten. ``added`` marks the bins of one call.
     """
 
     def __init__(self, path: str, width: int, levels: int = 5, tile: int = TILE):
@@ -27,19 +29,18 @@ class Tiles:
 
     def add(self, samples: DataFrame) -> None:
         """Bins of samples (stream_key, channel, idx, value). A bin that is not whole in them is left to a later call, which must have all of its samples."""
-        spark = samples.sparkSession
+        spark, call = samples.sparkSession, uuid4().hex
         before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:
             bins = minmax(samples, self.width)
             for level in range(self.levels):
                 folder = f"{self.path}/level={level}"
-                cut = bins.withColumn("range", F.expr(f"bin div {self.tile}"))
+                cut = bins.withColumn("added", F.lit(call)).withColumn("range", F.expr(f"bin div {self.tile}"))
                 cut.repartition("range", "stream_key").sortWithinPartitions("stream_key", "channel", "bin").write.mode("overwrite").partitionBy("range").parquet(folder)
-                # the level above is made of what has just been written, not of the samples again
-                ranges = cut.select("range").distinct()
-                whole = spark.read.schema(cut.schema).parquet(folder)
-                bins = minmax_pyramid(whole.join(ranges, "range", "left_semi").drop("range"), FACTOR)
+                # the level above is made of what this call has just written, told by its mark: the samples are not worked on again
+                whole = spark.read.schema(cut.schema).parquet(folder).where(F.col("added") == call)
+                bins = minmax_pyramid(whole.drop("added", "range"), FACTOR)
         finally:
             spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 

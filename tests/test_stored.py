@@ -65,3 +65,16 @@ def test_tiles_give_what_bins_give_and_read_few_files(spark, tmp_path):
         assert level == 4 or (last - first + 1) // tiles.bin_width(level + 1) < px
     files = lambda a, b: len(tiles.view(spark, a, b, px).select(F.input_file_name()).distinct().collect())
     assert files(20_000, 20_700) <= 4 * 2 and files(0, n - 1) <= 2 * (n // step + 1)
+
+
+def test_tiles_work_on_their_samples_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(4000).select(F.lit("s").alias("stream_key"), F.lit(0).alias("channel"), F.col("id").alias("idx"), F.sin("id").alias("value"))
+    Tiles(f"file://{tmp_path}/once", 4, 4, 16).add(df.mapInArrow(counted, df.schema))
+    assert seen.value == 4000
