@@ -260,9 +260,11 @@ def dense_channels(spark, d):
     """Two channels of each supplier's prices, the second one longer by ten samples, and a third that begins late."""
     from oscilla.sources.views import dense
 
-    own = dense(spark, d).select("stream_key", "idx", "value")
-    part = lambda name, cond, v: own.where(cond).select("stream_key", F.lit(name).alias("channel"), "idx", v.alias("value"))
-    return part("a", "idx < 490", F.col("value")).unionByName(part("b", "idx < 500", F.col("value") / 3)).unionByName(part("c", "idx >= 70 and idx < 500", F.lit(1.0) * F.col("idx")))
+    idx, value = F.col("idx"), F.col("value")
+    part = lambda name, cond, v: F.when(cond, F.struct(F.lit(name).alias("channel"), v.alias("value")))
+    # one pass: three branches with bounds of their own on idx are three windows over the table
+    parts = F.array(part("a", idx < 490, value), part("b", idx < 500, value / 3), part("c", (idx >= 70) & (idx < 500), F.lit(1.0) * idx))
+    return dense(spark, d).where("idx < 500").select("stream_key", "idx", F.explode(F.array_compact(parts)).alias("p")).select("stream_key", "p.channel", "idx", "p.value")
 
 
 THREE = f"{DENSE}, three as (select stream_key, 'a' as channel, idx, value from dense where idx < 490 union all select stream_key, 'b', idx, value / 3 from dense where idx < 500 union all select stream_key, 'c', idx, 1.0::double * idx from dense where idx >= 70 and idx < 500)"

@@ -151,3 +151,10 @@ def test_runs_of_chunks_equal_one_run(spark, run):
     whole = {r.idx: r.value for r in c.to_samples(c.condition(tone(spark, 1000, 7, 500, 3, 2, 4000), o)).collect()}
     got = {r.idx: r.value for r in c.to_samples(c.condition(tone(spark, 1000, 7, 500, 3, 2, 70), o, run)).collect()}
     assert got.keys() == whole.keys() and all(abs(got[k] - whole[k]) < 1e-9 for k in got)
+
+
+def test_channels_made_of_one_signal_are_one_pass_over_it(spark, data):
+    from oscilla.plans.signal_queries import dense_channels
+
+    plan = dense_channels(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Relation [") == 1
