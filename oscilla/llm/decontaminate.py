@@ -7,9 +7,9 @@ one to one from the item to the document: so a question with other numbers or na
 not. A document leaks an item if windows that lie near each other and agree cover 0.8 or more of the item's tokens; they need
 not share one alignment, so words may be added or dropped between them.
 
-A document is first met by key windows: those with a word in them that few items share (or that are as rare as any of their item's). Only where one
-meets are all windows of document and item compared, those without a word and those that many items share among them. So what
-stands in every item makes no pairs by itself.
+A document leaks an item only if they share a window with a word in it, and is first met by key windows: of an item's windows with a word the
+rarest (shared by the fewest items), up to where all its other windows cover less than 0.8 of its tokens. So whatever leaks an item meets one of
+them, and what stands in every item makes no pairs unless it is 0.8 of one. Only where one meets are all windows of document and item compared.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import text_bytes, written
@@ -32,9 +31,9 @@ COVER = 0.8
 LEAST_ITEM = 4
 #: Templates are made of items of which so large a share are words.
 LEAST_WORDS = 0.2
-#: A window is a key if so many items share it at most.
-FEW = 8
 FILTER_BITS = 24
+#: More than any number of items.
+MOST = (1 << 63) - 1
 
 # Units that follow a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs ms kb mb gb tb hz khz mhz ghz w kw mw v kv a pa kpa j kj cal kcal k c f usd eur gbp dollars euros pounds cents percent meters metres kilometers kilometres miles feet inches grams kilograms liters litres seconds minutes hours days weeks months years degrees".split()
@@ -291,7 +290,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     An item of fewer than four words leaks where it stands as a line or as whole sentences; one without a word never does. Null and
     empty texts leak nothing; an empty table on either side gives no rows; rows that repeat are one; a very long text is worked on whole, in time in
     proportion to its words. Of an alignment whose slots do not map one to one only windows with equal slots count. Items with fewer than LEAST_WORDS of
-    their tokens words are found by their words only. Document windows are filtered by a table of 2 ** ``filter_bits`` bits
+    their tokens words are found by their words only. Text that is COVER of many items leaks each of them: a row a pair. Document windows are filtered by a table of 2 ** ``filter_bits`` bits
     (6 at least) of the benchmark's before the join decides: a fixed size, whatever the benchmark's.
     """
     every = template_windows(benchmark, item_col, item_text, least=0).where((F.col("form") == WORDS) | (F.col("n_words") >= LEAST_WORDS * F.col("n_tokens")))
@@ -299,12 +298,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     every = written(every, "item-windows")
     shared = every.groupBy("size", "h", "template").agg(F.count_distinct(F.coalesce("item_id", F.lit(-1))).alias("sharing"))
     counted = every.join(shared, ["size", "h", "template"])
-    least = F.min(F.when(F.col("worded"), F.col("sharing"))).over(W.partitionBy("item_id"))
-    items = written(counted.withColumn("key", F.col("worded") & (F.col("sharing") <= F.greatest(least, F.lit(FEW)))).drop("sharing", "worded"), "items")
+    # without windows shared by ``upto`` items or fewer, fewer tokens than needed are covered; a window without a word is never left out
+    spots = counted.select("item_id", "item_tokens", F.when(F.col("worded"), F.col("sharing")).otherwise(MOST).alias("sharing"), F.explode(F.sequence("at", F.col("item_till") - 1)).alias("spot"))
+    spots = spots.groupBy("item_id", "item_tokens", "spot").agg(F.max("sharing").alias("sharing"))
+    needed = F.ceil(COVER * F.col("item_tokens")).cast("int")
+    upto = spots.groupBy("item_id", "item_tokens").agg(F.sort_array(F.collect_list("sharing"), asc=False).alias("s")).select(F.col("item_id").alias("of"), F.col("item_tokens").alias("of_tokens"), F.get("s", needed - 1).alias("upto"))
+    counted = counted.join(upto, counted["item_id"].eqNullSafe(upto["of"]) & (counted["item_tokens"] == upto["of_tokens"])).where("upto is not null")
+    items = written(counted.withColumn("key", F.col("worded") & (F.col("sharing") <= F.col("upto"))).drop("sharing", "worded", "of", "of_tokens", "upto"), "items")
     keys = items.where("key")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     met = template_windows(docs, id_col, text_col, sizes or [WINDOW], window_bits(keys, filter_bits)).select("id", "mark", "size", "h", "template")
-    candidates = written(met.join(keys.select("item_id", "size", "h", "template").distinct(), ["size", "h", "template"]).select("id", "mark", F.struct("item_id").alias("item")).distinct(), "candidates")
+    candidates = written(met.join(keys.select("item_id", "item_tokens", "size", "h", "template").distinct(), ["size", "h", "template"]).select("id", "mark", F.struct("item_id", "item_tokens").alias("item")).distinct(), "candidates")
     # documents with a candidate are looked at again, with all windows
     text = F.col(f"`{text_col}`").cast("string")
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
@@ -312,9 +316,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     which = candidates.select("id", "mark").distinct()
     near = own.join(which, same(own, which), "left_semi").select("id", "text")
     found = template_windows(near, "id", "text", sizes or [WINDOW], window_bits(items, filter_bits), 0).drop("n_tokens", "n_words")
-    paired = found.join(candidates, same(found, candidates)).select(found["*"], F.col("item.item_id").alias("item_id"))
-    of_item = paired["item_id"].eqNullSafe(items["item_id"])
-    hits = paired.join(items, of_item & (paired["size"] == items["size"]) & (paired["h"] == items["h"]) & (paired["template"] == items["template"])).drop(paired["item_id"], paired["size"], paired["h"], paired["template"])
+    paired = found.join(candidates, same(found, candidates)).select(found["*"], "item.*")
+    of_item = paired["item_id"].eqNullSafe(items["item_id"]) & (paired["item_tokens"] == items["item_tokens"])
+    hits = paired.join(items, of_item & (paired["size"] == items["size"]) & (paired["h"] == items["h"]) & (paired["template"] == items["template"])).drop(paired["item_id"], paired["item_tokens"], paired["size"], paired["h"], paired["template"])
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     hit = F.struct((F.col("pos") - F.col("at")).alias("shift"), (3 * F.col("item_form") + F.col("form")).alias("forms"), "at", F.col("item_till").alias("till"), (F.col("slots") == F.col("item_slots")).alias("equal"), pairs.alias("pairs"))
     grouped = hits.groupBy("id", "mark", "item_id", "item_tokens").agg(F.collect_set(hit).alias("hits"))

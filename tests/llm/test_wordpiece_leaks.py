@@ -118,3 +118,22 @@ def test_verbatim_passages_are_found(spark, data):
     want = {(d, r.item_id) for r in items.collect() for d, t in texts if f" {' '.join(plain(r.text))} " in t}
     got = {(r.doc_id, r.item_id) for r in decontaminate.leak_report(docs, items).collect()}
     assert want and want <= got and len(got - want) <= 0.05 * len(want)
+
+
+def test_what_many_items_share_is_found_where_it_covers_them(spark):
+    """Against all windows of all pairs; no window that the leaking documents hold is in fewer than ten items."""
+    part = lambda c, i: " ".join(f"{c}{i}{x}" for x in "abcdefghijklmno")
+    tail = lambda k: " ".join(f"tail{k}{x}" for x in "abcdef")
+    combined = [(i, j, k) for i in "pq" for j in "rst" for k in range(10)]
+    items = [(n, f"{part('x', i)} {part('y', j)} {tail(k)}{i}{j}") for n, (i, j, k) in enumerate(combined)]
+    docs = [f"{part('x', i)} {part('y', j)}" for i in "pq" for j in "rst"] + [part("x", "p"), f"{PAD} {part('y', 'r')} {part('x', 'p')}", f"{part('x', 'q')} {part('y', 's')[:-9]} {tail(4)}"]
+    windows = lambda t: {tuple(w): range(k, k + 8) for k in range(len(t.split()) - 7) if (w := t.split()[k : k + 8])}
+    want = set()
+    for d, t in enumerate(docs):
+        for n, x in items:
+            covered = {at for w, own in windows(x).items() if w in windows(t) for at in own}
+            if len(covered) >= 0.8 * len(x.split()):
+                want.add((d, n))
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leak_report(rows, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) == 70
