@@ -1,7 +1,8 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates meet at a band of five minima of permuted shingle hashes, of which a document has 20: a pair of similarity 0.8
-shares one with probability 0.9996. Bands of up to SMALL members are compared whole. In a larger one members first meet a few leaders,
+Candidates meet first by ball hashing, as in ``simhash``: the fingerprints of their sets of shingles differ in three bits at most. Such a pair is
+linked if its texts are near copies. Since the fingerprints of most pairs of similarity 0.8 differ in more, what is of different components then
+meets at bands of five minima of permuted shingle hashes, of which a document has 20: a pair of similarity 0.8 shares one with probability 0.9996. Bands of up to SMALL members are compared whole. In a larger one members first meet a few leaders,
 members of the component that has most of the band: a number of pairs in proportion to the documents, which merges copies of one
 text. Then every member that is still of another component is compared with the whole band, in blocks of bounded size, by
 exact overlaps; so no link in a band is missed, however large it is, and what a block tells is no more than a spanning forest of its links.
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import text_bytes, written
 from .components import connected_components
+from .simhash import ball_links, majority
 
 SEED = 42
 WIDTH = 5
@@ -70,7 +72,7 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark, node, n, minima, bands) of every row: a hash of the text, one of its set of shingles, their number, one byte of each minimum, and the bands."""
+    """(doc_id, mark, node, n, minima, bands, fp) of every row: a hash of the text, one of its set of shingles, their number, one byte of each minimum, the bands, and the fingerprint."""
 
     def run(batches):
         for b in batches:
@@ -79,10 +81,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             least = [minima(s) for s in sets]
             short = pa.array([(x >> np.uint64(56) ^ x >> np.uint64(20)).astype(np.uint8).tobytes() for x in least], pa.binary())
             own = pa.array([bands(x).view(np.int64) for x in least], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), short, own], names=["doc_id", "mark", "node", "n", "minima", "bands"])
+            fps = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), short, own, fps], names=["doc_id", "mark", "node", "n", "minima", "bands", "fp"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(run, "doc_id long, mark long, node long, n long, minima binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(run, "doc_id long, mark long, node long, n long, minima binary, bands array<long>, fp long")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -184,9 +187,8 @@ def _cell(key, t):
     return pa.table({"a": pa.array(node[a[i[needed]]], pa.int64()), "b": pa.array(node[b[j[needed]]], pa.int64())})
 
 
-def _rooted(keyed: DataFrame, roots: DataFrame | None) -> DataFrame:
-    rows = keyed.select("node", "n", "band")
-    return rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _rooted(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    return keyed.select("node", "n", "band").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _split(rooted: DataFrame, turn: int) -> DataFrame:
@@ -213,25 +215,43 @@ def _rest(rooted: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.join(texts, "node").groupBy("band", "with_main", "i", "j").applyInArrow(_cell, "a long, b long")
 
 
-def near_links(keyed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of every linked node. keyed: node, n, band, members (of the band); nodes: node, minima, bands; texts: node, text (compressed)."""
+def _pair(x, y):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _like_size(x, y):
+    return LEAST[1] * F.least(x, y) >= LEAST[0] * F.greatest(x, y)
+
+
+def ball_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of like size whose fingerprints are at most three bits apart: stars around one node of a fingerprint, and pairs of those that ball_links() tells. nodes: node, n, fp."""
+    # a fingerprint's first node, and whether it has others
+    first = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")), "first")
+    stars = nodes.join(first.where("members > 1").select("fp", "first"), "fp").select(F.col("first.node").alias("x"), F.col("first.n").alias("xn"), F.col("node").alias("y"), F.col("n").alias("yn"))
+    of = lambda c, k: first.select(F.col("fp").alias(c), F.col("first.node").alias(k), F.col("first.n").alias(f"{k}n"))
+    between = ball_links(first).join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "xn", "y", "yn")
+    return stars.unionByName(between).where((F.col("x") != F.col("y")) & _like_size(F.col("xn"), F.col("yn"))).select(*_pair("x", "y")).distinct()
+
+
+def near_links(keyed: DataFrame, nodes: DataFrame, texts: DataFrame, balls: DataFrame) -> DataFrame:
+    """(node, root) of every linked node. keyed: node, n, band, members (of the band); nodes: node, minima, bands; texts: node, text (compressed); balls: ball_pairs()."""
     small, large = keyed.where(F.col("members") <= SMALL), keyed.where(F.col("members") > SMALL)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    like_size = lambda x, y: LEAST[1] * F.least(x, y) >= LEAST[0] * F.greatest(x, y)
-    other = small.select("band", F.col("node").alias("node2"), F.col("n").alias("n2"))
-    within = small.join(other, "band").where((F.col("node") < F.col("node2")) & like_size("n", "n2")).select(*pair("node", "node2"))
-    roots = None
+    roots = written(connected_components(written(_verified(_alike(balls, nodes), texts), "links")), "roots")
+    # what balls have made one is not compared again
+    left = _rooted(small, roots)
+    other = left.select("band", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    within = left.join(other, "band").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _like_size("n", "n2")).select(*_pair("node", "node2"))
     for turn in range(TURNS):
         rooted = _rooted(large, roots)
         met = rooted.join(_split(rooted, turn), "band").where("root <> main")
-        met = met.select("node", F.filter("of", lambda x: like_size(x["n"], F.col("n"))).alias("of")).where(F.size("of") > 0)
+        met = met.select("node", F.filter("of", lambda x: _like_size(x["n"], F.col("n"))).alias("of")).where(F.size("of") > 0)
         # of all the leaders that a member meets a few, the same ones for many members: the count is bounded by the members, not by their bands
         few = met.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("of")))).alias("of"))
-        pairs = few.select("node", F.explode(F.slice("of", 1, LEADERS)).alias("l")).select(*pair("node", "l.node"))
+        pairs = few.select("node", F.explode(F.slice("of", 1, LEADERS)).alias("l")).select(*_pair("node", "l.node"))
         pairs = written((pairs if turn else pairs.unionByName(within)).distinct(), "pairs")
         new = written(_verified(_alike(pairs, nodes), texts), "links")
-        if roots is None or not new.isEmpty():
-            roots = written(connected_components(new) if roots is None else _merged(roots, new), "roots")
+        if not new.isEmpty():
+            roots = written(_merged(roots, new), "roots")
     rest = written(_rest(_rooted(large, roots), texts), "links")
     return roots if rest.isEmpty() else written(_merged(roots, rest), "roots")
 
@@ -247,16 +267,17 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a row's key: its id as text (none for null) and a hash of its text
     key = lambda doc, mark: (F.coalesce(F.col(doc).cast("string"), F.lit("")).alias("key"), F.col(mark).alias("mark"))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    nodes = written(sketches(rows), "sketches").groupBy("node").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bands").alias("bands"))
+    nodes = written(sketches(rows), "sketches").groupBy("node").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
     nodes = written(nodes, "nodes")
-    # only bands that two share are paired, and only texts of their nodes are read
+    balls = written(ball_pairs(nodes), "balls")
+    # only bands that two share are paired, and only texts of their nodes and those of balls are read
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = nodes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     keyed = written(banded.join(shared, "band"), "bands")
-    met = written(nodes.join(keyed.select("node").distinct(), "node", "left_semi").select("node", "place", "minima", "bands"), "met")
+    met = written(nodes.join(keyed.select("node").unionByName(balls.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node", "left_semi").select("node", "place", "minima", "bands"), "met")
     marked = rows.withColumn("mark", F.xxhash64("text"))
     texts = marked.select(*key("doc_id", "mark"), "text").join(met.select("node", *key("place.doc_id", "place.mark")), ["key", "mark"])
     texts = texts.dropDuplicates(["key", "mark"]).select("node", "text").mapInArrow(_squeezed, "node long, text binary")
-    roots = near_links(keyed, met, written(texts, "texts"))
+    roots = near_links(keyed, met, written(texts, "texts"), balls)
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("place").alias("place")).select(*key("place.doc_id", "place.mark"))
     return marked.select("row", *key("doc_id", "mark")).join(kept, ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"]).select("row.*")

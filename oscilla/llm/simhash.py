@@ -50,6 +50,12 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits set in more than half of some hashes; zero for none."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, mark, fp) of every row: a hash of the text and the fingerprint, both as signed 64-bit integers. Null or empty texts: zero."""
 

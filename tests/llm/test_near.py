@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from oscilla.llm import near
+from oscilla.llm import near, simhash
+from oscilla.llm.components import connected_components
 
 
 def slow_set(text):
@@ -111,3 +112,26 @@ def test_overlaps():
     got = near.overlaps(sets, np.arange(5), np.arange(5, 12))
     assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[5:]] for x in sets[:5]]
     assert near.overlaps([sets[0][:0]] * 2, np.arange(2), np.arange(2)).tolist() == [[0, 0], [0, 0]]
+
+
+def test_balls_meet_first(spark):
+    """Components of the ball pairs are those of all pairs at most three bits apart, and link near copies that share no band."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(f"w{(7 * i + k) % 9973}" for k in range(3000)) if k == 0 else f"{' '.join(f'w{(7 * i + k) % 9973}' for k in range(2999))} x{k}") for i in range(0, 900, 100) for k in range(2)]
+    rows = [(n, t) for n, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = near.sketches(docs).cache()
+    fps = {r.node: r.fp & (1 << 64) - 1 for r in nodes.collect()}
+    for r in nodes.collect():
+        hashes = near.shingles(rows[r.doc_id][1].encode()).tolist()
+        assert fps[r.node] == sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+    pairs = near.ball_pairs(nodes)
+    close = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS]
+    together = lambda edges: {frozenset(x) for x in edges.groupBy("root").agg(F.collect_list("node")).toPandas().iloc[:, 1]}
+    assert close and together(connected_components(pairs)) == together(connected_components(spark.createDataFrame(close, "a long, b long")))
+    texts = docs.join(nodes, "doc_id").select("node", "text").mapInArrow(near._squeezed, "node long, text binary")
+    none = nodes.select("node", "n", F.lit(0).cast("long").alias("band"), F.lit(0).alias("members")).where("false")
+    roots = near.near_links(none, nodes, texts, pairs)
+    assert {len(x) for x in together(roots)} == {2}
+    assert sorted(r.doc_id for r in near.drop_near_copies(docs).collect()) == list(range(0, len(rows), 2))
