@@ -5,11 +5,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 
+#: Windows that are transformed at a time.
+BLOCK = 4096
+#: Beyond any index.
+NO_LIMIT = 1 << 62
+
+
 def power(x: np.ndarray, fs: float) -> np.ndarray:
     """One-sided power of each row: mean taken off, symmetric Hann window, DC and Nyquist not doubled."""
     n = x.shape[1]
@@ -75,17 +82,26 @@ def _columns(joined: DataFrame, nfft: int, hop: int, fs: float) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for key, channel, start, n, more, values, parts in zip(*(b.column(c).to_pylist() for c in ("stream_key", "channel", "start_idx", "n", "more", "values", "parts")), strict=True):
-                if more and n < nfft - 1:
-                    raise ValueError(f"a chunk of {n} samples is too short for windows of {nfft}")
-                x = np.asarray(values, float)
-                for part in parts:
-                    first = part["begin"] + max(0, -(-(start - part["begin"]) // hop)) * hop
-                    last = start + min(n, len(x) - nfft + 1)
-                    at = np.arange(first, last if part["limit"] is None else min(last, part["limit"] - nfft + 1), hop) - start
-                    if len(at):
-                        p = power(np.lib.stride_tricks.sliding_window_view(x, nfft)[at], fs)
-                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(at)), pa.array([channel] * len(at), b.column("channel").type), pa.array(start + at + nfft, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=["stream_key", "channel", "end_idx", "power"])
+            start, n, more = (b.column(c).to_numpy(zero_copy_only=False) for c in ("start_idx", "n", "more"))
+            if (short := more & (n < nfft - 1)).any():
+                raise ValueError(f"a chunk of {n[short][0]} samples is too short for windows of {nfft}")
+            sizes, parts = (pc.list_value_length(b.column(c)).to_numpy(zero_copy_only=False) for c in ("values", "parts"))
+            x, own = b.column("values").flatten().to_numpy(zero_copy_only=False), b.column("parts").flatten()
+            # of each part its chunk, and the first samples of its windows there
+            row = np.repeat(np.arange(b.num_rows), parts)
+            begin, limit = own.field("begin").to_numpy(zero_copy_only=False), pc.fill_null(own.field("limit"), NO_LIMIT).to_numpy(zero_copy_only=False)
+            first = begin + np.maximum(0, -(-(start[row] - begin) // hop)) * hop
+            last = np.minimum(start[row] + np.minimum(n, sizes - nfft + 1)[row], limit - nfft + 1)
+            count = np.maximum(0, -(-(last - first) // hop))
+            at = np.repeat(first, count) + hop * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+            row = np.repeat(row, count)
+            place = at - start[row] + (np.cumsum(sizes) - sizes)[row]
+            for i in range(0, len(at), BLOCK):
+                some = slice(i, i + BLOCK)
+                p = power(np.lib.stride_tricks.sliding_window_view(x, nfft)[place[some]], fs)
+                rows = pa.array(row[some])
+                powers = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("stream_key").take(rows), b.column("channel").take(rows), pa.array(at[some] + nfft, pa.int64()), powers], names=["stream_key", "channel", "end_idx", "power"])
 
     return joined.select("stream_key", "channel", "start_idx", "n", "more", "values", "parts").mapInArrow(run, f"{schema}, end_idx long, power array<double>")
 

@@ -12,6 +12,7 @@ from oscilla.operators import reconcile as r
 from oscilla.operators import spectral as q
 from oscilla.operators import timebase
 from oscilla.plans.signal_queries import GAPS, HELD, gaps, held, held_chunks
+from oscilla.sources import recording
 from oscilla.sources.views import ARR, EV, HOUR, STEP_US, TRIALS, arrivals, events, trials
 
 QUERIES, ORACLE = {}, {}
@@ -99,12 +100,24 @@ timed as (select r.stream_key, r.no, 1 as kind, end_idx as o, end_idx, a.t_us +
 line as (select *, row_number() over w - 1 as col, last_value(at_us ignore nulls) over w as newest, coalesce(sum(1 - kind) over w, 0) as blanks from timed window w as (partition by stream_key order by no, kind, o rows between unbounded preceding and current row)),
 cells as (select l.stream_key, col, end_idx, coalesce(at_us, coalesce(newest, t0) + (blanks - coalesce(max(case when kind = 1 then blanks end) over (partition by l.stream_key order by col rows between unbounded preceding and current row), 0)) * {NH * STEP_US}) as t_us from line l join size on size.stream_key = l.stream_key),
 win as (select c.stream_key, end_idx, list(a.value / 1000 order by a.idx) as v from cells c join {{arr}} a on a.stream_key = c.stream_key and a.idx >= end_idx - {NF} and a.idx < end_idx group by c.stream_key, end_idx)"""
+
+
+def _stored(df, name: str):
+    """df, written to the shared folder and read from it."""
+    folder = recording.fresh_folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 @query(f"with {ARR}, {through_gaps_sql('arr')}")
 def q7_stft_gaps(spark, d):
     """Blanks are rows without a bin."""
     own = arrivals(spark, d).withColumn("seq", F.col("idx")).withColumn("value", F.col("value") / 1000)
-    anchors = own.groupBy("stream_key").agg(F.min("t_us").alias("t0_us"))
-    out = q.stft_through_gaps(c.to_chunks(own, 128), anchors, timebase.detect_gaps(own, STEP_US), NF, NH, STEP_US, 128)
+    # what several branches need is worked out once
+    own = _stored(own.select("stream_key", "channel", "idx", "seq", "t_us", "value"), "arrivals")
+    anchors = _stored(own.groupBy("stream_key").agg(F.min("t_us").alias("t0_us")), "anchors")
+    chunks, gaps_ = _stored(c.to_chunks(own, 128), "chunks"), _stored(timebase.detect_gaps(own, STEP_US), "gaps")
+    out = q.stft_through_gaps(chunks, anchors, gaps_, NF, NH, STEP_US, 128)
     return out.select("stream_key", "col", "end_idx", "t_us", F.posexplode_outer("power").alias("k", "power")).withColumn("power", F.round("power", 2))
 
 

@@ -158,3 +158,11 @@ def test_channels_made_of_one_signal_are_one_pass_over_it(spark, data):
 
     plan = dense_channels(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1 and plan.count("Relation [") == 1
+
+
+def test_spectrogram_through_gaps_works_the_arrivals_out_once(spark, data):
+    """What is left to run reads what has been stored, not the table."""
+    from oscilla.plans import epoch_queries
+
+    files = epoch_queries.q7_stft_gaps(spark, data).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
